@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing
+from . import mixing, tokenization
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,5 +45,10 @@ SELECT doc_id, size, source_size, target,
 FROM p LEFT JOIN b ON p.source IS NOT DISTINCT FROM b.source
 """
 
-QUERIES: dict[str, Query] = {"op3_mix_sources": op3_mix_sources}
+
+def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenization.encode_digests(_table(spark, sf_dir, "documents"), tokenization.tokenizer_path())
+
+
+QUERIES: dict[str, Query] = {"op3_mix_sources": op3_mix_sources, "op7_bpe_round_trip": op7_bpe_round_trip}
 ORACLE_SQL: dict[str, str] = {"op3_mix_sources": OP3_SQL}
