@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, tokenization
+from . import mixing, near_dedup, tokenization
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_superminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicate_groups(_table(spark, sf_dir, "documents"), n=4, percent=80)
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken, _ = mixing.mix_sources(_table(spark, sf_dir, "documents"))
     return taken.select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.col("_copies")).alias("taken"))
@@ -50,5 +54,5 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenization.encode_digests(_table(spark, sf_dir, "documents"), tokenization.tokenizer_path())
 
 
-QUERIES: dict[str, Query] = {"op3_mix_sources": op3_mix_sources, "op7_bpe_round_trip": op7_bpe_round_trip}
+QUERIES: dict[str, Query] = {"op2_superminhash_dedup": op2_superminhash_dedup, "op3_mix_sources": op3_mix_sources, "op7_bpe_round_trip": op7_bpe_round_trip}
 ORACLE_SQL: dict[str, str] = {"op3_mix_sources": OP3_SQL}
