@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, near_dedup, token_store, tokenization, workspace
+from . import mixing, near_dedup, substring_dedup, token_store, tokenization, workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -54,11 +54,15 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenization.encode_digests(_table(spark, sf_dir, "documents"), tokenization.tokenizer_path())
 
 
+def op8_fm_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.removal_digests(_table(spark, sf_dir, "documents"))
+
+
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = workspace.fresh_path(spark, "token-store")
     token_store.write_store(_table(spark, sf_dir, "documents"), folder, tokenization.tokenizer_path(), end_id=1)
     return token_store.read_checksums(spark, folder)
 
 
-QUERIES: dict[str, Query] = {"op2_superminhash_dedup": op2_superminhash_dedup, "op3_mix_sources": op3_mix_sources, "op7_bpe_round_trip": op7_bpe_round_trip, "op10_token_store": op10_token_store}
+QUERIES: dict[str, Query] = {"op2_superminhash_dedup": op2_superminhash_dedup, "op3_mix_sources": op3_mix_sources, "op7_bpe_round_trip": op7_bpe_round_trip, "op8_fm_index_dedup": op8_fm_index_dedup, "op10_token_store": op10_token_store}
 ORACLE_SQL: dict[str, str] = {"op3_mix_sources": OP3_SQL}
