@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, near_dedup, substring_dedup, token_store, tokenization, workspace
+from . import language_id, mixing, near_dedup, quality, substring_dedup, token_store, tokenization, workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_co_trained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    return quality.score(documents, quality.co_train(documents, _table(spark, sf_dir, "labels")))
+
+
 def op2_superminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicate_groups(_table(spark, sf_dir, "documents"), n=4, percent=80)
 
@@ -58,11 +63,15 @@ def op8_fm_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.removal_digests(_table(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.held_out(_table(spark, sf_dir, "documents"))
+
+
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = workspace.fresh_path(spark, "token-store")
     token_store.write_store(_table(spark, sf_dir, "documents"), folder, tokenization.tokenizer_path(), end_id=1)
     return token_store.read_checksums(spark, folder)
 
 
-QUERIES: dict[str, Query] = {"op2_superminhash_dedup": op2_superminhash_dedup, "op3_mix_sources": op3_mix_sources, "op7_bpe_round_trip": op7_bpe_round_trip, "op8_fm_index_dedup": op8_fm_index_dedup, "op10_token_store": op10_token_store}
+QUERIES: dict[str, Query] = {"op1_co_trained_quality": op1_co_trained_quality, "op2_superminhash_dedup": op2_superminhash_dedup, "op3_mix_sources": op3_mix_sources, "op7_bpe_round_trip": op7_bpe_round_trip, "op8_fm_index_dedup": op8_fm_index_dedup, "op9_language_id": op9_language_id, "op10_token_store": op10_token_store}
 ORACLE_SQL: dict[str, str] = {"op3_mix_sources": OP3_SQL}
