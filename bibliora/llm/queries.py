@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, near_dedup, quality, substring_dedup, token_store, tokenization, workspace
+from . import exact_topk, language_id, mixing, near_dedup, one_bit_search, quality, substring_dedup, token_store, tokenization, workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,6 +55,28 @@ FROM p LEFT JOIN b ON p.source IS NOT DISTINCT FROM b.source
 """
 
 
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.top_k(_table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0", k=10)
+
+
+OP5_SQL = """
+WITH e AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM e q JOIN e c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
+def op6_one_bit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return one_bit_search.nearest_neighbours(_table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0", k=5)
+
+
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenization.encode_digests(_table(spark, sf_dir, "documents"), tokenization.tokenizer_path())
 
@@ -73,5 +95,5 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_checksums(spark, folder)
 
 
-QUERIES: dict[str, Query] = {"op1_co_trained_quality": op1_co_trained_quality, "op2_superminhash_dedup": op2_superminhash_dedup, "op3_mix_sources": op3_mix_sources, "op7_bpe_round_trip": op7_bpe_round_trip, "op8_fm_index_dedup": op8_fm_index_dedup, "op9_language_id": op9_language_id, "op10_token_store": op10_token_store}
-ORACLE_SQL: dict[str, str] = {"op3_mix_sources": OP3_SQL}
+QUERIES: dict[str, Query] = {"op1_co_trained_quality": op1_co_trained_quality, "op2_superminhash_dedup": op2_superminhash_dedup, "op3_mix_sources": op3_mix_sources, "op5_exact_topk": op5_exact_topk, "op6_one_bit_search": op6_one_bit_search, "op7_bpe_round_trip": op7_bpe_round_trip, "op8_fm_index_dedup": op8_fm_index_dedup, "op9_language_id": op9_language_id, "op10_token_store": op10_token_store}
+ORACLE_SQL: dict[str, str] = {"op3_mix_sources": OP3_SQL, "op5_exact_topk": OP5_SQL}
