@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_topk, language_id, mixing, near_dedup, one_bit_search, quality, substring_dedup, token_store, tokenization, workspace
+from . import exact_topk, language_id, mixing, near_dedup, one_bit_search, quality, substring_dedup, token_store, tokenization, warc, workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,6 +55,23 @@ FROM p LEFT JOIN b ON p.source IS NOT DISTINCT FROM b.source
 """
 
 
+def op4_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = workspace.fresh_path(spark, "warc")
+    runs = workspace.saved(warc.write_archives(_table(spark, sf_dir, "pages"), folder), "warc-runs")
+    index = workspace.saved(warc.merged_index(runs, int(spark.conf.get("spark.sql.shuffle.partitions"))), "warc-index")
+    return warc.read_archives(spark, folder, index)
+
+
+OP4_SQL = """
+WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS d, octet_length(encode(coalesce(html, '')))::BIGINT AS n FROM pages),
+w AS (SELECT d, max(page_id) AS winner FROM p WHERE n >= 1000 GROUP BY d)
+SELECT page_id, n AS payload_bytes, p.d AS payload_digest,
+       CASE WHEN page_id < winner THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < winner THEN winner END AS refers_to
+FROM p LEFT JOIN w ON p.d = w.d
+"""
+
+
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.top_k(_table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0", k=10)
 
@@ -95,5 +112,5 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_checksums(spark, folder)
 
 
-QUERIES: dict[str, Query] = {"op1_co_trained_quality": op1_co_trained_quality, "op2_superminhash_dedup": op2_superminhash_dedup, "op3_mix_sources": op3_mix_sources, "op5_exact_topk": op5_exact_topk, "op6_one_bit_search": op6_one_bit_search, "op7_bpe_round_trip": op7_bpe_round_trip, "op8_fm_index_dedup": op8_fm_index_dedup, "op9_language_id": op9_language_id, "op10_token_store": op10_token_store}
-ORACLE_SQL: dict[str, str] = {"op3_mix_sources": OP3_SQL, "op5_exact_topk": OP5_SQL}
+QUERIES: dict[str, Query] = {"op1_co_trained_quality": op1_co_trained_quality, "op2_superminhash_dedup": op2_superminhash_dedup, "op3_mix_sources": op3_mix_sources, "op4_warc_archives": op4_warc_archives, "op5_exact_topk": op5_exact_topk, "op6_one_bit_search": op6_one_bit_search, "op7_bpe_round_trip": op7_bpe_round_trip, "op8_fm_index_dedup": op8_fm_index_dedup, "op9_language_id": op9_language_id, "op10_token_store": op10_token_store}
+ORACLE_SQL: dict[str, str] = {"op3_mix_sources": OP3_SQL, "op4_warc_archives": OP4_SQL, "op5_exact_topk": OP5_SQL}
