@@ -231,7 +231,8 @@ def removal_digests(documents: DataFrame, window: int = WINDOW) -> DataFrame:
 def without_repeats(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     """``documents`` with its texts after removal: texts that lose words become their kept words joined by spaces."""
     intervals, _ = repeated_passages(documents, window)
-    at = documents.columns.index("text")
+    names = documents.columns
+    at = names.index("text")
     rows = documents.join(intervals.withColumnRenamed("doc_id", "_id"), F.col("doc_id").cast("long") == F.col("_id"), "left").drop("_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,6 +243,6 @@ def without_repeats(documents: DataFrame, window: int = WINDOW) -> DataFrame:
                 kept = [b" ".join(k).decode() if c else t for (k, _), c, t in zip(_kept_words(part), cut, texts, strict=True)]
                 columns = list(part.columns)
                 columns[at] = pa.array(kept, pa.string())
-                yield pa.RecordBatch.from_arrays(columns[:-1], names=documents.columns)
+                yield pa.RecordBatch.from_arrays(columns[:-1], names=names)
 
     return rows.mapInArrow(run, documents.schema)
