@@ -13,10 +13,11 @@ document stops as soon as no register can fall any more: about one rank for a lo
 BANDS bands of ROWS registers each make two documents of similarity 0.8 candidates but for one case in
 1 / (1 - 0.8**4)**24, 300,000.
 
-Copies (equal sets) are one class, which its smallest doc_id represents, before any pair is formed. In each bucket of
-a band only pairs with the bucket's smallest member are verified at first, which joins most of what belongs together.
-Then the members outside a bucket's largest group are paired with all members of other groups; so no candidate between
-two groups is left out, and within a group no more pairs are formed than it takes to join it.
+Copies (equal sets) are one class, which its smallest doc_id represents, before any pair is formed. A bucket of a
+band names its smallest member its head; first every member is verified against its head, which joins most of what
+belongs together. A head with all that share a bucket with it is a family, and every candidate pair lies in one. Where
+a family still has several groups, the members outside the largest are verified against all others, in blocks. So no
+candidate between two groups is left out, and the pairs that are rows of a table number one per member and head.
 
 Defined results: null text is as empty; ties and repeated rows (of one doc_id) fall into one class; an empty table
 gives an empty result; columns other than the named ones are not read. A row whose doc_id is null has no component and
@@ -36,7 +37,7 @@ from .components import component_roots
 from .words import gram_hashes, mix, slices, text_bytes, word_hashes, word_spans
 from .workspace import saved
 
-REGISTERS, BANDS, ROWS = 97, 24, 4
+REGISTERS, BANDS, ROWS, BLOCK = 97, 24, 4, 512
 
 
 def shingle_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -115,16 +116,66 @@ def _sets(documents: DataFrame, n: int) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, shingles array<long>")
 
 
-def verified(pairs: DataFrame, documents: DataFrame, n: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets are similar enough; the texts of the named documents are read again."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
-    sets = saved(_sets(texts, n), "shingles")
+def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose full sets are similar enough."""
     of = lambda side: sets.select(F.col("doc_id").alias(side), F.col("shingles").alias(f"{side}_set"))
     common = F.size(F.array_intersect("a_set", "b_set"))
     return pairs.join(of("a"), "a").join(of("b"), "b").filter(100 * common >= percent * (F.size("a_set") + F.size("b_set") - common)).select("a", "b")
 
 
+def _common_sizes(some: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of two lists of sets: products of 0/1 matrices over the elements that both have."""
+    x, y = np.concatenate(some), np.concatenate(others)
+    shared = np.intersect1d(x, y)
+    rows = [np.repeat(np.arange(len(sets)), [len(s) for s in sets]) for sets in (some, others)]
+    places = [np.searchsorted(shared, v) for v in (x, y)]
+    known = [(p < len(shared)) & (shared[np.minimum(p, len(shared) - 1)] == v) if len(shared) else np.zeros(len(v), bool) for p, v in zip(places, (x, y), strict=True)]
+    found = np.zeros((len(some), len(others)), np.float32)
+    for at in range(0, len(shared), 4096):
+        parts = []
+        for sets, row, place, there in zip((some, others), rows, places, known, strict=True):
+            now = there & (place >= at) & (place < at + 4096)
+            bits = np.zeros((len(sets), min(4096, len(shared) - at)), np.float32)
+            bits[row[now], place[now] - at] = 1
+            parts.append(bits)
+        found += parts[0] @ parts[1].T
+    return found.astype(np.int64)
+
+
+def links_between_groups(families: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members of one family that have different roots, at least one for each linked pair of roots.
+
+    families: (head, doc_id, root). In each family the members outside its largest root are outsiders; blocks of at
+    most about BLOCK outsiders meet blocks of as many members, so that no task has a whole family, and all
+    intersections of two blocks are counted at once. Pairs are never rows; what comes out is a link per two roots.
+    """
+    sizes = families.groupBy("head", "root").count()
+    main = sizes.groupBy("head").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.sum("count").alias("all"), (F.sum("count") - F.max("count")).alias("out")).filter("out > 0")
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    rows = families.join(main, "head").withColumn("outer", F.col("root") != F.col("main"))
+    block = lambda n: F.pmod(F.xxhash64("doc_id"), blocks(n)).cast("int")
+    as_member = rows.select("head", "doc_id", "root", F.lit(False).alias("outer"), block("all").alias("m"), F.explode(F.sequence(F.lit(0), blocks("out") - 1)).alias("o"))
+    as_outer = rows.filter("outer").select("head", "doc_id", "root", "outer", F.explode(F.sequence(F.lit(0), blocks("all") - 1)).alias("m"), block("out").alias("o"))
+
+    def run(rows: pa.Table) -> pa.Table:
+        outer = rows.column("outer").to_numpy()
+        doc, root = rows.column("doc_id").to_numpy(), rows.column("root").to_numpy()
+        lists = rows.column("shingles").combine_chunks()
+        whole, offsets = lists.flatten().to_numpy(), np.asarray(lists.offsets) - lists.offsets[0].as_py()
+        of = lambda which: [whole[offsets[k] : offsets[k + 1]] for k in np.flatnonzero(which)]
+        a = b = np.empty(0, np.int64)
+        if outer.any() and not outer.all():
+            common = _common_sizes(of(outer), of(~outer))
+            size = np.diff(offsets)
+            union = size[outer][:, None] + size[~outer][None, :] - common
+            x, y = np.nonzero((100 * common >= percent * union) & (root[outer][:, None] != root[~outer][None, :]))
+            _, first = np.unique(np.stack([root[outer][x], root[~outer][y]]), axis=1, return_index=True)
+            a, b = doc[outer][x[first]], doc[~outer][y[first]]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return as_member.unionByName(as_outer).join(sets, "doc_id").groupBy("head", "m", "o").applyInArrow(run, "a long, b long")
+
+
 def near_duplicate_groups(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``documents`` (doc_id, text).
 
@@ -133,28 +184,24 @@ def near_duplicate_groups(documents: DataFrame, n: int = 5, percent: int = 80) -
     """
     signed = saved(_signed(documents, n), "signatures")
     classes = saved(signed.filter("n_shingles > 0").groupBy("n_shingles", "p", "q").agg(F.min("doc_id").alias("rep")).filter("rep IS NOT NULL"), "classes")
-    members = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
+    named = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     buckets = (
-        members.join(classes, (members.doc_id == classes.rep) & (members.n_shingles == classes.n_shingles) & (members.p == classes.p) & (members.q == classes.q), "left_semi")
+        named.join(classes, (named.doc_id == classes.rep) & (named.n_shingles == classes.n_shingles) & (named.p == classes.p) & (named.q == classes.q), "left_semi")
         .select("doc_id", F.explode("bands").alias("bucket"))
         .distinct()
     )
     heads = buckets.groupBy("bucket").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    shared = saved(buckets.join(heads, "bucket"), "buckets")
-    pairs = saved(shared.filter("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
-    links = saved(verified(pairs, documents, n, percent), "links")
+    pairs = saved(buckets.join(heads, "bucket").filter("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
+    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.hint("merge"), "doc_id", "left_semi")
+    sets = saved(_sets(texts, n), "shingles")
+    links = saved(linked(pairs, sets, percent), "links")
     roots = component_roots(links)
-    now = shared.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("root", "doc_id").alias("root"))
-    split = now.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("bucket")
-    mixed = saved(now.join(split, "bucket"), "mixed-buckets")
-    largest = mixed.groupBy("bucket", "root").count().groupBy("bucket").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
-    outside = mixed.join(largest, "bucket").filter("root <> main").select("bucket", F.col("doc_id").alias("x"), F.col("root").alias("x_root"))
-    across = outside.alias("o").join(mixed.alias("m"), (F.col("o.bucket") == F.col("m.bucket")) & (F.col("x_root") != F.col("root")))
-    fresh = saved(across.select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
-    if not fresh.isEmpty():
-        more = saved(verified(fresh, documents, n, percent), "links")
-        if not more.isEmpty():
-            roots = component_roots(links.union(more))
+    members = pairs.select(F.col("a").alias("head"), F.col("b").alias("doc_id")).union(pairs.select("a", "a").distinct())
+    families = saved(members.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("head", "doc_id", F.coalesce("root", "doc_id").alias("root")), "families")
+    more = saved(links_between_groups(families, sets, percent), "links")
+    if not more.isEmpty():
+        roots = component_roots(links.union(more))
     of_class = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("n_shingles", "p", "q", F.coalesce("root", "rep").alias("root"))
     return (
         signed.drop("bands")
