@@ -30,6 +30,12 @@ WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{DIGITS}]|[^{SPACES}{
 CACHE_LIMIT = 300_000
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies."""
+    others = [b for b in range(256) if b not in PLAIN_BYTES]
+    return {b: chr(b) for b in PLAIN_BYTES} | {b: chr(256 + n) for n, b in enumerate(others)}
+
+
 class _Table:
     """A map from non-negative 64-bit integers to non-negative integers, read and filled by arrays; emptied when half full."""
 
@@ -192,8 +198,7 @@ class WordTokenizer:
             content = json.load(file)
         model = content["model"]
         vocabulary, end = model["vocab"], model["end_of_word_suffix"]
-        others = [b for b in range(256) if b not in PLAIN_BYTES]
-        letters = {b: chr(b) for b in PLAIN_BYTES} | {b: chr(256 + n) for n, b in enumerate(others)}
+        letters = byte_letters()
         self.labels = [letters[b] for b in range(256)] + [letters[b] + end for b in range(256)]
         number = {text: n for n, text in enumerate(self.labels)}
         merges = []

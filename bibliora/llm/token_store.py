@@ -32,18 +32,32 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .bpe_automaton import UNSETTLED, WORDS, byte_letters
 from .words import powers, slices
 
-WINDOW, MASK_BITS, LEAST, MOST = 16, 9, 64, 4096
-CACHE_LIMIT = 300_000
+WINDOW, MASK_BITS, LEAST, MOST = 16, 10, 128, 8192
+CACHE_LIMIT = 500_000
 CHUNK = "digest binary, ids binary, length int"
 RECIPE = "doc_id long, n_tokens long, recipe array<binary>, root binary"
 
 
+class _Numbers(dict):
+    """Numbers words as they turn up, and lists the new ones."""
+
+    def __init__(self) -> None:
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        self.fresh.append(word)
+        return number
+
+
 class IdEncoder:
-    """The tokenizers library over texts, with a bounded cache by chunk of text between ASCII white space.
+    """The tokenizers library over many texts, for tokenizers that drop white space and mark the ends of words.
 
-    For tokenizers that drop white space: no word, and no normalisation, crosses it.
+    Texts of settled letters are split into words, and the library's model encodes each different word once while a
+    bounded table lasts. All other texts go to the library as they are.
     """
 
     def __init__(self, path: str, width: int) -> None:
@@ -52,18 +66,48 @@ class IdEncoder:
         self.library, self.kind = Tokenizer.from_file(path), np.dtype(f"<u{width}")
         self.library.no_truncation()
         self.library.no_padding()
-        self.known: dict[bytes, bytes] = {}
+        self.word_ids = self.library.model.tokenize
+        self.letters = {b: letter for b, letter in byte_letters().items() if chr(b) != letter}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.numbers, self.pool, self.first = _Numbers(), np.empty(0, self.kind), np.zeros(1, np.int64)
+
+    def _library(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
+
+    def _learn(self) -> None:
+        """Encode the words that are new, written in the letters of byte-level vocabularies."""
+        words, self.numbers.fresh = self.numbers.fresh, []
+        if words:
+            ids: list[int] = []
+            ends = []
+            for word in words:
+                if not (word.isascii() and word.isprintable()):
+                    word = word.encode().decode("latin-1").translate(self.letters)
+                ids += [token.id for token in self.word_ids(word)]
+                ends.append(len(ids))
+            self.first = np.concatenate([self.first, np.array(ends, np.int64) + len(self.pool)])
+            self.pool = np.concatenate([self.pool, np.array(ids, self.kind)])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        pieces = [text.encode().split() for text in texts]
-        if len(self.known) > CACHE_LIMIT:
-            self.known.clear()
-        known = self.known
-        if new := list({p for some in pieces for p in some if p not in known}):
-            for piece, found in zip(new, self.library.encode_batch_fast([p.decode() for p in new], add_special_tokens=False), strict=True):
-                known[piece] = np.array(found.ids, self.kind).tobytes()
-        return [np.frombuffer(b"".join(map(known.__getitem__, some)), self.kind) for some in pieces]
+        if len(self.numbers) > CACHE_LIMIT:
+            self._forget()
+        number = self.numbers.__getitem__
+        found: list[np.ndarray] = []
+        for text in texts:
+            if "<|" in text or not (text.isascii() or not UNSETTLED.search(text)):
+                found.append(self._library(text).astype(self.kind))
+            else:
+                found.append(np.fromiter(map(number, WORDS.findall(text.lower())), np.int32))
+        self._learn()
+        return [f if f.dtype == self.kind else self._ids(f) for f in found]
+
+    def _ids(self, words: np.ndarray) -> np.ndarray:
+        starts, sizes = self.first[words], self.first[words + 1] - self.first[words]
+        before = np.cumsum(sizes) - sizes
+        return self.pool[np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))]
 
 
 @lru_cache(maxsize=2)
@@ -256,12 +300,20 @@ def read_checksums(spark: SparkSession, folder: str, width: int = 2) -> DataFram
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            crcs = []
-            for row in batch.to_pylist():
-                crc = 0
-                for chunk in _verified_recipe(row):
-                    crc = crc_joined(crc, chunk["crc"], 4 * chunk["length"])
-                crcs.append(crc)
+            lists = batch.column("chunks")
+            flat, ends = lists.flatten(), (np.asarray(lists.offsets)[1:] - lists.offsets[0].as_py()).tolist()
+            row = np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths()))
+            order = np.lexsort((flat.field("at").to_numpy(), row)).tolist()
+            digest, length, crc = (flat.field(c).to_pylist() for c in ("digest", "length", "crc"))
+            crcs, first = [], 0
+            for end, needed, many, root, doc in zip(ends, *(batch.column(c).to_pylist() for c in ("needed", "n_tokens", "root", "doc_id")), strict=True):
+                own, first = order[first:end], end
+                if len(own) != needed or sum([length[k] for k in own]) != many or merkle_root([digest[k] for k in own]) != root:
+                    raise ValueError(f"document {doc} cannot be put together again")
+                joined = 0
+                for k in own:
+                    joined = crc_joined(joined, crc[k], 4 * length[k]) if joined else crc[k]
+                crcs.append(joined)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "start", "n_tokens")), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     checked = _chunks(spark, folder).mapInArrow(check, "digest binary, length int, crc long")
