@@ -1,47 +1,6 @@
-"""All queries over the library's own operators, with equivalent DuckDB SQL."""
+"""All queries over the library's own operators."""
 
-from __future__ import annotations
+from . import aggregates, arrays, joins, normalised, projections, rankings, statistics, texts  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Register a query under a name, with its SQL if there is any."""
-
-    def register(function):
-        if name in QUERIES:
-            raise ValueError(f"two queries are named {name}")
-        QUERIES[name] = function
-        if sql is not None:
-            ORACLE_SQL[name] = sql
-        return function
-
-    return register
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-@query(
-    "citation_metrics",
-    """SELECT d.source, count(*) AS n_papers, avg(d.n_chars) AS aac,
-              sum(CASE WHEN l.quality = 1 THEN 1 ELSE 0 END)::BIGINT AS n_journal,
-              avg(CASE WHEN l.quality = 1 THEN d.n_chars END) AS jac
-       FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY d.source""",
-)
-def citation_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    papers = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
-    flags = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    journal = F.col("quality") == 1
-    return (
-        papers.join(flags, "doc_id", "left")
-        .groupBy("source")
-        .agg(F.count("*").alias("n_papers"), F.avg("n_chars").alias("aac"), F.count_if(journal).alias("n_journal"), F.avg(F.when(journal, F.col("n_chars"))).alias("jac"))
-    )
+__all__ = ["ORACLE_SQL", "QUERIES"]
