@@ -245,8 +245,7 @@ def write_store(documents: DataFrame, folder: str, path: str, end_id: int, width
     mixed = _chunked(documents, path, end_id, width)
     spread = mixed.repartition(parts, F.xxhash64("digest", "doc_id"))
     spread.mapInArrow(once, spread.schema).write.partitionBy("is_recipe").parquet(f"{folder}/new")
-    recipes = spark.read.schema(RECIPE).parquet(f"{folder}/new/is_recipe=true")
-    ordered = recipes.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "root")
+    ordered = _new(spark, folder, RECIPE).filter("is_recipe").drop("is_recipe").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "root")
     ordered.withColumn("part", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id()).write.parquet(f"{folder}/recipes")
     roots = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "root"))), lambda r: F.hex(r["root"])), "")
     by_part = _recipes(spark, folder).groupBy("part").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count("*").alias("documents"), F.sum("n_tokens").alias("tokens"), F.sha2(F.encode(roots, "UTF-8"), 256).alias("root"))
@@ -258,8 +257,12 @@ def _recipes(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(f"{RECIPE}, part int, place long").parquet(f"{folder}/recipes")
 
 
+def _new(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    return spark.read.schema(f"{schema}, is_recipe boolean").parquet(f"{folder}/new")
+
+
 def _chunks(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.schema(CHUNK).parquet(f"{folder}/new/is_recipe=false")
+    return _new(spark, folder, CHUNK).filter("NOT is_recipe").drop("is_recipe")
 
 
 def _placed(spark: SparkSession, folder: str) -> DataFrame:

@@ -193,7 +193,7 @@ class LoserTree:
 def merged_index(runs: DataFrame, ranges: int) -> DataFrame:
     """The captures of all runs in order of URL key, timestamp, page_id: globally, along the partitions.
 
-    ``place`` numbers the captures of one URL key, the key's history, within its range.
+    ``part`` is the range and ``place`` the place in it, which together are the order, however the table is read back.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,21 +205,20 @@ def merged_index(runs: DataFrame, ranges: int) -> DataFrame:
                 parts.setdefault(row[8], []).append(row)
         if schema is None:
             return
-        for part in parts.values():  # sorted runs whose pages may have come in another order
-            part.sort(key=_order)
-        out: list[tuple] = []
+        for captures in parts.values():  # a run's pages may have come in another order
+            captures.sort(key=_order)
+        part, kinds, place, out = TaskContext.get().partitionId(), [*schema.types[:8], pa.int32(), pa.int64()], 0, []
+        names = [*schema.names[:8], "part", "place"]
         for row in LoserTree(list(parts.values()), _order):
-            out.append(row)
+            out.append((*row[:8], part, place))
+            place += 1
             if len(out) == 10_000:
-                yield _batch(out, schema)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
                 out = []
         if out:
-            yield _batch(out, schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
-    def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows, strict=True))[:8], schema, strict=False)], names=schema.names[:8])
-
-    return runs.repartitionByRange(ranges, "url_key", "timestamp", F.col("page_id")).mapInArrow(run, CAPTURE)
+    return runs.repartitionByRange(ranges, "url_key", "timestamp", F.col("page_id")).mapInArrow(run, f"{CAPTURE}, part int, place long")
 
 
 def read_archives(spark: SparkSession, folder: str, index: DataFrame) -> DataFrame:
