@@ -32,4 +32,4 @@ def sections(rows: DataFrame, text: str) -> DataFrame:
     title = F.trim(F.regexp_extract("_section", r"PAPER:\s*([^\n]+)", 1))
     body = F.regexp_replace(F.regexp_replace("_section", r"^PAPER:[^\n]*\n?", ""), r"(?m)^-{70,}\s*$\n?", "")
     found = rows.select(part).select(F.nullif(title, F.lit("")).alias("title"), F.trim(F.regexp_replace(body, r"(?m)^AFFILIATION SECTION:\s*", "")).alias("body"))
-    return found.filter("title IS NOT NULL")
+    return found.withColumn("body", F.btrim("body", F.lit(" \n\t"))).filter("title IS NOT NULL")
