@@ -51,7 +51,7 @@ def mask_filter(t: Tables) -> DataFrame:
 @query("SELECT o_orderkey, CAST(o_orderdate AS DATE)::VARCHAR AS day FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1996-01-01' AND DATE '1996-03-31'")
 def date_range(t: Tables) -> DataFrame:
     """Bounds on the timestamp column itself, so that they reach the scan."""
-    inside = (F.col("o_orderdate") >= F.lit("1996-01-01").cast("timestamp")) & (F.col("o_orderdate") < F.lit("1996-04-01").cast("timestamp"))
+    inside = (F.col("o_orderdate") >= F.lit("1996-01-01").cast("timestamp_ntz")) & (F.col("o_orderdate") < F.lit("1996-04-01").cast("timestamp_ntz"))
     return t.orders.filter(inside).select("o_orderkey", F.to_date("o_orderdate").cast("string").alias("day"))
 
 

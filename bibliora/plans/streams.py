@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..streaming import increments
 from .registry import Tables, query
@@ -14,6 +15,8 @@ def _drained(t: Tables, table: str, transform, mode: str) -> DataFrame:
     """A stream over a table's file, transformed and read until nothing is left, as a table."""
     schema = t.__getattr__(table).schema
     stream = t.spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(t.folder)
+    # watermarks need instants; stored times without zone are in the session's
+    stream = stream.withColumns({c: F.col(c).cast("timestamp") for c, kind in stream.dtypes if kind == "timestamp_ntz"})
     name = f"{table}_{uuid.uuid4().hex[:8]}"
     run = transform(stream).writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     run.awaitTermination()
