@@ -7,7 +7,7 @@ boundary bucket by its next 15 bits, and so on. Documents are filtered, never so
 
 Defined results: null and empty texts have size 0 and are taken with 0 words; a null source is a source of its own;
 rows with the same doc_id have the same position and are taken together; an empty table gives an empty result;
-columns named ``_*`` are this module's, other extra columns pass through untouched.
+extra columns of any name but ``__copies`` and ``__copy`` pass through untouched.
 """
 
 from __future__ import annotations
@@ -125,12 +125,6 @@ def mixed_documents(documents: DataFrame, weights: tuple[float, ...] = (1, 2, 3)
     """
     _, cuts = mix_sources(documents, weights, most)
     place = position(F.col("d.doc_id"))
-    copies = F.col("whole") + ((place < F.col("below")) | ((place == F.col("below")) & F.col("more"))).cast("long")
-    return (
-        documents.alias("d")
-        .join(cuts.alias("c"), F.col("d.source").eqNullSafe(F.col("c.source")))
-        .withColumn("_copies", copies)
-        .filter("_copies > 0")
-        .select("d.*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_copy"))
-        .drop("_copy")
-    )
+    copies = F.col("c.whole") + ((place < F.col("c.below")) | ((place == F.col("c.below")) & F.col("c.more"))).cast("long")
+    rows = documents.alias("d").join(cuts.alias("c"), F.col("d.source").eqNullSafe(F.col("c.source"))).select("d.*", copies.alias("__copies"))
+    return rows.filter("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).drop("__copies", "__copy")

@@ -194,9 +194,9 @@ def repeated_passages(documents: DataFrame, window: int = WINDOW) -> tuple[DataF
     return found.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("intervals")), texts
 
 
-def _kept_words(part: pa.RecordBatch) -> Iterator[tuple[list[bytes], int]]:
+def _kept_words(part: pa.RecordBatch, column: str = "intervals") -> Iterator[tuple[list[bytes], int]]:
     """The words that each text keeps, and how many it has."""
-    intervals = part.column("intervals").to_pylist()
+    intervals = part.column(column).to_pylist()
     for text, cuts in zip(part.column("text").to_pylist(), intervals, strict=True):
         words = (text or "").encode().split()
         if cuts:
@@ -233,14 +233,15 @@ def without_repeats(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     intervals, _ = repeated_passages(documents, window)
     names = documents.columns
     at = names.index("text")
-    rows = documents.join(intervals.withColumnRenamed("doc_id", "_id"), F.col("doc_id").cast("long") == F.col("_id"), "left").drop("_id")
+    found = intervals.toDF("__doc", "__intervals")
+    rows = documents.join(found, documents["doc_id"].cast("long") == F.col("__doc"), "left").drop("__doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 texts = part.column("text").to_pylist()
-                cut = part.column("intervals").is_valid().to_pylist()
-                kept = [b" ".join(k).decode() if c else t for (k, _), c, t in zip(_kept_words(part), cut, texts, strict=True)]
+                cut = part.column("__intervals").is_valid().to_pylist()
+                kept = [b" ".join(k).decode() if c else t for (k, _), c, t in zip(_kept_words(part, "__intervals"), cut, texts, strict=True)]
                 columns = list(part.columns)
                 columns[at] = pa.array(kept, pa.string())
                 yield pa.RecordBatch.from_arrays(columns[:-1], names=names)
