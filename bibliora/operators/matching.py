@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words of titles that do not count.
 TITLE_STOP_WORDS = ("the", "a", "an", "of", "in", "on", "for", "and", "with", "from", "to", "by", "its", "their", "using", "study", "new", "based")
-#: Titles before and suffixes after a person's name.
+#: Titles before and suffixes after a person's name, and punctuation that does not count in it.
 NAME_PREFIX, NAME_SUFFIX = r"^(dr\.?|prof\.?|mr\.?|ms\.?|mrs\.?)\s+", r"\s+(jr\.?|sr\.?|iii|ii|iv)$"
+NAME_PUNCTUATION = "[.,;:\\-'\"`]"
 
 
 def mapped(value: Column, names: dict[str, str]) -> Column:
@@ -49,7 +50,7 @@ def fuzzy_title_matches(queries: DataFrame, query_id: str, candidates: DataFrame
 def normal_name(name: Column) -> Column:
     """A person's name in lower case without title, suffix and punctuation."""
     bare = F.regexp_replace(F.regexp_replace(F.lower(name), NAME_PREFIX, ""), NAME_SUFFIX, "")
-    return F.trim(F.regexp_replace(F.regexp_replace(bare, "[.,;:\\-'\"`]", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(bare, NAME_PUNCTUATION, " "), r"\s+", " "))
 
 
 def name_matches(left: DataFrame, right: DataFrame, name: str) -> DataFrame:
