@@ -190,7 +190,10 @@ def repeated_passages(documents: DataFrame, window: int = WINDOW) -> tuple[DataF
     if not shared.filter("hot").isEmpty():
         windows = with_runs("hot").mapInArrow(lambda b: _hot_windows(b, window), "hash long, doc_id long, a int")
         earliest = windows.groupBy("hash").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
-        found = found.union(windows.join(earliest, "hash").filter("lo < doc_id").select("doc_id", "a", (F.col("a") + window).alias("b")))
+        # a key of its own deals both sides anew, so that Spark may split the windows of a very common passage
+        key = F.xxhash64("hash").alias("key")
+        hits = windows.select(key, "doc_id", "a").join(earliest.select(key, "lo"), "key").filter("lo < doc_id")
+        found = found.union(hits.select("doc_id", "a", (F.col("a") + window).alias("b")))
     return found.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("intervals")), texts
 
 
