@@ -25,7 +25,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0..n-1 of the hash base and of its inverse modulo 2**64."""
     if len(_powers[0]) < n:
         for k, base in enumerate((_BASE, _BASE_INVERSE)):
-            row = np.full(max(n, 1 << 21), base, np.uint64)
+            row = np.full(max(n, (1 << 20) + 64), base, np.uint64)
             row[0] = 1
             _powers[k] = np.multiply.accumulate(row)
     return _powers[0][:n], _powers[1][:n]
