@@ -242,8 +242,8 @@ def read_archives(spark: SparkSession, folder: str, index: DataFrame) -> DataFra
                 rows.append(parse_record(zlib.decompress(source.read_at(length, offset), 31)))
             yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds, strict=True)], names=names)
 
-    places = index.select("file", "offset", "length")
-    return places.repartition("file", F.floor(F.col("offset") / READ_BLOCK)).sortWithinPartitions("file", "offset").mapInArrow(run, RECORD)
+    places, parts = index.select("file", "offset", "length"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return places.repartition(parts, "file", F.floor(F.col("offset") / READ_BLOCK)).sortWithinPartitions("file", "offset").mapInArrow(run, RECORD)
 
 
 def read_whole_file(content: bytes) -> list[dict]:
