@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import saved
+from .workspace import discard, saved
 
 EDGE = "a long, b long"
 
@@ -54,6 +54,7 @@ def component_roots(edges: DataFrame) -> DataFrame:
         lowest = large.groupBy("a").agg(F.min("b").alias("least"))
         small = large.join(lowest, "a").select(F.when(F.col("b") == F.col("least"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("least").alias("b")).filter("a <> b").distinct()
         after = saved(small, "edges")
+        discard(tree)
         # stars: no node has two edges up, and no root is below another
         up = after.groupBy("a").agg(F.count("*").alias("n"))
         if up.filter("n > 1").isEmpty() and after.join(after.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():

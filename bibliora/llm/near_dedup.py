@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .components import component_roots
 from .words import gram_hashes, mix, slices, text_bytes, word_hashes, word_spans
-from .workspace import saved
+from .workspace import discard, saved
 
 REGISTERS, BANDS, ROWS, BLOCK = 97, 24, 4, 512
 
@@ -202,6 +202,7 @@ def near_duplicate_groups(documents: DataFrame, n: int = 5, percent: int = 80) -
     more = saved(links_between_groups(families, sets, percent), "links")
     if not more.isEmpty():
         roots = component_roots(links.union(more))
+    discard(pairs, sets, links, families, more)
     of_class = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("n_shingles", "p", "q", F.coalesce("root", "rep").alias("root"))
     return (
         signed.drop("bands")
