@@ -7,6 +7,7 @@ next one's docs. All but the last return the columns of ``documents``.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,14 +16,31 @@ from bibliora.llm import mixing, near_dedup, quality, substring_dedup, tokenizat
 from bibliora.llm.workspace import saved
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Rows that Spark hands to a Python worker at once: whole rows of documents go through, so that batches stay small.
+BATCH_ROWS = 1000
 
 
+def _small_batches(stage: Stage) -> Stage:
+    """The stage in a session that keeps Arrow batches to BATCH_ROWS rows, unless they are smaller already."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+            spark.conf.set(name, str(BATCH_ROWS))
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@_small_batches
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier keeps; it learns from ``labels``."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.without_low_quality(docs, quality.co_train(docs, labels))
 
 
+@_small_batches
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: the one with the smallest doc_id. Five-word shingles, similarity 0.8.
 
@@ -33,17 +51,20 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).union(kept.filter("doc_id IS NULL"))
 
 
+@_small_batches
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of 50 words that an earlier document has; n_chars follows; emptied documents go."""
     cut = substring_dedup.without_repeats(docs)
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).filter("text IS NULL OR text <> ''")
 
 
+@_small_batches
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them; rows repeat."""
     return mixing.mixed_documents(docs)
 
 
+@_small_batches
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of every text: the end of the pipeline."""
     return tokenization.encode_digests(docs, tokenization.tokenizer_path())
