@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .fm_index import FMIndex
 from .words import gram_hashes, slices, text_bytes, word_hashes, word_spans
-from .workspace import saved
+from .workspace import discard, saved
 
 WINDOW, GRAM, HOT, LONGEST_RUN, SHARD_WORDS = 50, 12, 1000, 64, 400_000
 RUNS = "array<struct<anchor:long,start:int,n:int>>"
@@ -178,6 +178,7 @@ def repeated_passages(documents: DataFrame, window: int = WINDOW) -> tuple[DataF
     runs = saved(_runs(texts, window), "runs")
     anchors = runs.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("runs")).filter("lo < hi")
     shared = saved(runs.join(anchors.select("anchor", (F.col("runs") > HOT).alias("hot")), "anchor"), "shared-runs")
+    discard(runs)
     count = shared.count()
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), count // 50_000)
 
