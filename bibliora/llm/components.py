@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .hot_keys import join_aggregate
 from .workspace import discard, saved
 
 EDGE = "a long, b long"
@@ -41,7 +42,7 @@ def component_roots(edges: DataFrame) -> DataFrame:
     changes: every node passes its larger neighbours to its smallest one, then every node passes its smaller
     neighbours to the smallest of them. Both keep components as they are and the number of edges from growing, and
     leave stars in a number of rounds that grows with the logarithm of the nodes. A node's neighbours are joined
-    with their minimum, which is a partial aggregate, so a node of a great many neighbours is no single task's load.
+    with their minimum, a partial aggregate, in such a way that a node of a great many neighbours can be split.
     """
     tree = saved(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).mapInArrow(_forest, EDGE).distinct(), "edges")
     if tree.isEmpty():
@@ -49,10 +50,10 @@ def component_roots(edges: DataFrame) -> DataFrame:
     while True:
         both = tree.select("a", "b").union(tree.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("least"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).filter("a <> b")
+        large = join_aggregate(both, least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).filter("a <> b")
         large = large.distinct()
         lowest = large.groupBy("a").agg(F.min("b").alias("least"))
-        small = large.join(lowest, "a").select(F.when(F.col("b") == F.col("least"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("least").alias("b")).filter("a <> b").distinct()
+        small = join_aggregate(large, lowest, "a").select(F.when(F.col("b") == F.col("least"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("least").alias("b")).filter("a <> b").distinct()
         after = saved(small, "edges")
         discard(tree)
         # stars: no node has two edges up, and no root is below another

@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import component_roots
+from .hot_keys import join_aggregate
 from .words import gram_hashes, mix, slices, text_bytes, word_hashes, word_spans
 from .workspace import discard, saved
 
@@ -152,7 +153,7 @@ def links_between_groups(families: DataFrame, sets: DataFrame, percent: int) ->
     sizes = families.groupBy("head", "root").count()
     main = sizes.groupBy("head").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.sum("count").alias("all"), (F.sum("count") - F.max("count")).alias("out")).filter("out > 0")
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    rows = families.join(main, "head").withColumn("outer", F.col("root") != F.col("main"))
+    rows = join_aggregate(families, main, "head").withColumn("outer", F.col("root") != F.col("main"))
     block = lambda n: F.pmod(F.xxhash64("doc_id"), blocks(n)).cast("int")
     as_member = rows.select("head", "doc_id", "root", F.lit(False).alias("outer"), block("all").alias("m"), F.explode(F.sequence(F.lit(0), blocks("out") - 1)).alias("o"))
     as_outer = rows.filter("outer").select("head", "doc_id", "root", "outer", F.explode(F.sequence(F.lit(0), blocks("all") - 1)).alias("m"), block("out").alias("o"))
@@ -191,7 +192,7 @@ def near_duplicate_groups(documents: DataFrame, n: int = 5, percent: int = 80) -
         .distinct()
     )
     heads = buckets.groupBy("bucket").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    pairs = saved(buckets.join(heads, "bucket").filter("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
+    pairs = saved(join_aggregate(buckets, heads, "bucket").filter("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.hint("merge"), "doc_id", "left_semi")
     sets = saved(_sets(texts, n), "shingles")
