@@ -33,6 +33,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .hot_keys import join_aggregate
+
 LEAST_REVISIT, LEVEL, READ_BLOCK, EPOCH = 1000, 1, 32 << 20, datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc)
 CAPTURE = "url_key string, timestamp string, url string, page_id long, record_type string, file string, offset long, length long"
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -100,13 +102,14 @@ def parse_record(raw: bytes) -> dict:
 def with_decisions(pages: DataFrame) -> DataFrame:
     """(page_id, url, html, digest, refers_to): which pages revisit which.
 
-    Pages with equal large payloads are counted by partial aggregates; the join brings each page its digest's winner.
+    Pages with equal large payloads are counted by partial aggregates; the join brings each page its digest's winner,
+    and can split the pages of a payload that a great many have.
     """
     body = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha1(body).alias("digest"), F.octet_length(body).alias("_size"))
     large = rows.filter(F.col("_size") >= LEAST_REVISIT)
     winners = large.groupBy("digest").agg(F.max("page_id").alias("winner"), F.count("*").alias("n")).filter("n > 1").select("digest", "winner")
-    joined = rows.join(winners, "digest", "left")
+    joined = join_aggregate(rows, winners, "digest", "left")
     return joined.select("page_id", "url", "html", "digest", F.when(F.col("page_id").isNull() | (F.col("page_id") < F.col("winner")), F.col("winner")).alias("refers_to"))
 
 
