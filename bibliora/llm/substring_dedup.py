@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fm_index import FMIndex
+from .hot_keys import join_aggregate
 from .words import gram_hashes, slices, text_bytes, word_hashes, word_spans
 from .workspace import discard, saved
 
@@ -177,7 +178,7 @@ def repeated_passages(documents: DataFrame, window: int = WINDOW) -> tuple[DataF
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
     runs = saved(_runs(texts, window), "runs")
     anchors = runs.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("runs")).filter("lo < hi")
-    shared = saved(runs.join(anchors.select("anchor", (F.col("runs") > HOT).alias("hot")), "anchor"), "shared-runs")
+    shared = saved(join_aggregate(runs, anchors.select("anchor", (F.col("runs") > HOT).alias("hot")), "anchor"), "shared-runs")
     discard(runs)
     count = shared.count()
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), count // 50_000)
@@ -191,9 +192,7 @@ def repeated_passages(documents: DataFrame, window: int = WINDOW) -> tuple[DataF
     if not shared.filter("hot").isEmpty():
         windows = with_runs("hot").mapInArrow(lambda b: _hot_windows(b, window), "hash long, doc_id long, a int")
         earliest = windows.groupBy("hash").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
-        # a key of its own deals both sides anew, so that Spark may split the windows of a very common passage
-        key = F.xxhash64("hash").alias("key")
-        hits = windows.select(key, "doc_id", "a").join(earliest.select(key, "lo"), "key").filter("lo < doc_id")
+        hits = join_aggregate(windows, earliest.select("hash", "lo"), "hash").filter("lo < doc_id")
         found = found.union(hits.select("doc_id", "a", (F.col("a") + window).alias("b")))
     return found.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("intervals")), texts
 
