@@ -71,6 +71,24 @@ def name_matches(left: DataFrame, right: DataFrame, name: str) -> DataFrame:
     return pairs.filter(same | bare | F.arrays_overlap("_initials_l", "_initials_r")).drop("_surname", "_name_l", "_name_r", "_initials_l", "_initials_r")
 
 
+def name_classes(rows: DataFrame, name: str) -> DataFrame:
+    """Rows with ``surname`` and the sorted ``initials`` of their given names in place of the name.
+
+    Whether names match in ``name_matches`` depends on these two alone, so rows of one class all match each other.
+    """
+    parts = F.split(F.col("_name"), " ")
+    initials = F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda x: F.left(x, F.lit(1)))
+    named = rows.withColumn("_name", normal_name(F.col(name))).drop(name).filter("_name <> ''")
+    return named.select(*[c for c in rows.columns if c != name], F.element_at(parts, -1).alias("surname"), F.array_sort(F.array_distinct(initials)).alias("initials"))
+
+
+def name_class_links(classes: DataFrame) -> DataFrame:
+    """(surname, left_initials, right_initials) of the distinct classes of ``name_classes`` that match, each pair once."""
+    distinct = classes.select("surname", "initials").distinct()
+    pairs = distinct.withColumnRenamed("initials", "left_initials").join(distinct.withColumnRenamed("initials", "right_initials"), "surname").filter("left_initials < right_initials")
+    return pairs.filter((F.size("left_initials") == 0) | (F.size("right_initials") == 0) | F.arrays_overlap("left_initials", "right_initials"))
+
+
 def containing_pairs(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
     """Pairs of texts of which one contains the other; for dimension tables, as no key can bring them together."""
     return left.join(right, F.contains(F.col(a), F.col(b)) | F.contains(F.col(b), F.col(a)))

@@ -127,6 +127,35 @@ def name_match_join(t: Tables) -> DataFrame:
     return pairs.filter("left_id < right_id").select("left_id", "right_id")
 
 
+_ALL_NAMES = """(SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN 'Dr. Ann B. ' WHEN 1 THEN 'A ' WHEN 2 THEN 'Bob ' ELSE '' END || n_name AS name FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
+_CLASSES = f"""n AS (SELECT id, string_split({_NORM}, ' ') AS parts FROM {_ALL_NAMES} WHERE {_NORM} <> ''),
+             k AS (SELECT id, parts[-1] AS surname, list_sort(list_distinct(list_transform(parts[1:len(parts) - 1], lambda x: x[1]))) AS initials FROM n)"""
+
+
+def _people(t: Tables) -> DataFrame:
+    """All customers, named after their nations."""
+    prefix = F.when(F.col("c_custkey") % 4 == 0, "Dr. Ann B. ").when(F.col("c_custkey") % 4 == 1, "A ").when(F.col("c_custkey") % 4 == 2, "Bob ").otherwise("")
+    return t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("id"), F.concat(prefix, "n_name").alias("name"))
+
+
+@query(f"""WITH {_CLASSES} SELECT id, surname, array_to_string(initials, ' ') AS initials FROM k""")
+def name_match_members(t: Tables) -> DataFrame:
+    """The name class of every customer: those of one class match each other, and those of classes that
+    ``name_match_links`` joins."""
+    return matching.name_classes(_people(t), "name").select("id", "surname", F.array_join("initials", " ").alias("initials"))
+
+
+@query(
+    f"""WITH {_CLASSES}, c AS (SELECT DISTINCT surname, initials FROM k)
+        SELECT a.surname, array_to_string(a.initials, ' ') AS left_initials, array_to_string(b.initials, ' ') AS right_initials FROM c a JOIN c b ON a.surname = b.surname AND a.initials < b.initials
+        AND (len(a.initials) = 0 OR len(b.initials) = 0 OR len(list_intersect(a.initials, b.initials)) > 0)"""
+)
+def name_match_links(t: Tables) -> DataFrame:
+    """Name classes of all customers that match each other; with ``name_match_members`` all matches, not one row each."""
+    links = matching.name_class_links(matching.name_classes(_people(t), "name"))
+    return links.select("surname", F.array_join("left_initials", " ").alias("left_initials"), F.array_join("right_initials", " ").alias("right_initials"))
+
+
 @query(
     """WITH w AS (SELECT DISTINCT n_name AS name FROM nation), r AS (SELECT r_name FROM region)
        SELECT n.name AS a, m.name AS b FROM w n JOIN w m ON n.name <> m.name AND (contains(n.name, m.name) OR contains(m.name, n.name))"""
@@ -178,6 +207,18 @@ def self_citation(t: Tables) -> DataFrame:
     return matching.citation_counts(wanted.join(citing, "citing"), papers)
 
 
+@query(
+    """WITH p AS (SELECT l_orderkey AS id, list(DISTINCT l_suppkey) AS authors FROM lineitem GROUP BY 1), e AS (SELECT id AS cited, 2 * id AS citing FROM p UNION SELECT id, id + 1 FROM p)
+        SELECT e.cited, count(*) AS total, count(*) FILTER (len(list_intersect(c.authors, g.authors)) = 0) AS non_self
+        FROM e JOIN p c ON e.cited = c.id JOIN p g ON e.citing = g.id GROUP BY e.cited"""
+)
+def self_citation_all(t: Tables) -> DataFrame:
+    """``self_citation`` over the papers of the whole table."""
+    papers = t.lineitem.groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set("l_suppkey").alias("authors"))
+    wanted = papers.select(F.col("id").alias("cited"), F.explode(F.array_distinct(F.array(2 * F.col("id"), F.col("id") + 1))).alias("citing"))
+    return matching.citation_counts(wanted, papers)
+
+
 @query(
     """WITH p AS (SELECT c.c_nationkey AS a, s.s_nationkey AS b, count(*) AS n FROM customer c JOIN orders o ON o.o_custkey = c.c_custkey JOIN lineitem l ON l.l_orderkey = o.o_orderkey JOIN supplier s ON s.s_suppkey = l.l_suppkey
                   WHERE c.c_nationkey < s.s_nationkey GROUP BY 1, 2)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from bibliora.functions import lists, numbers, text
 from bibliora.operators import cleaning, counting, dictionaries, front_matter, inference, lines, matching, metrics, normalise
+from bibliora.plans import catalog
 
 LITERALS = [None, "", "[]", "['']", "['a', None]", r"['O\'B']", "[\"O'B\", 'x']", r"['caf\xe9']", "not a list", "[None]", "['a, b', \"c\"]", "{'a': 1}"]
 
@@ -42,6 +43,33 @@ def test_names(spark):
         assert matching.name_matches(left, right, "n").count() == int(same), (a, b)
 
 
+def test_name_classes_hold_all_matches_of_a_hot_surname(spark):
+    names = [f"{given}Lee" for given in ("", "Ann ", "Dr. A. B. ", "Bob ", "C ", "Ann C ")] * 30 + ["Ann Li", "Prof. Ann Li", "Mr. ", None]
+    rows = spark.createDataFrame(list(enumerate(names)), "id int, name string")
+    sides = [rows.withColumnRenamed("id", f"{side}_id") for side in ("left", "right")]
+    pairs = {tuple(r) for r in matching.name_matches(*sides, "name").filter("left_id < right_id").collect()}
+    classes = matching.name_classes(rows, "name")
+    of = {r.id: (r.surname, tuple(r.initials)) for r in classes.collect()}
+    links = matching.name_class_links(classes).collect()
+    linked = {((r.surname, tuple(r.left_initials)), (r.surname, tuple(r.right_initials))) for r in links}
+    assert len(links) == len(linked) < 20
+    assert pairs == {(i, j) for i in of for j in of if i < j and (of[i] == of[j] or (of[i], of[j]) in linked or (of[j], of[i]) in linked)}
+
+
+def test_whole_tables_are_matched_and_cited(spark, tmp_path):
+    spark.range(1, 201).selectExpr("id AS c_custkey", "id % 2 AS c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(0, "X"), (1, "Y")], "n_nationkey long, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.range(1, 2001).selectExpr("id AS l_orderkey", "id % 3 AS l_suppkey").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert {r.id for r in catalog.QUERIES["name_match_members"](spark, str(tmp_path)).collect()} == set(range(1, 201))
+    assert {tuple(r) for r in catalog.QUERIES["name_match_links"](spark, str(tmp_path)).collect()} == {("x", "a b", "b"), ("y", "", "a")}
+    expected = {}
+    for k in range(1, 2001):
+        ends = {e for e in (2 * k, k + 1) if e <= 2000}
+        if ends:
+            expected[k] = (len(ends), sum(e % 3 != k % 3 for e in ends))
+    assert {r.cited: (r.total, r.non_self) for r in catalog.QUERIES["self_citation_all"](spark, str(tmp_path)).collect()} == expected
+
+
 def test_fuzzy_titles(spark):
     candidates = spark.createDataFrame([(1, "Dark matter in galaxies"), (2, "Dark energy survey results"), (3, "Dark matter haloes and galaxies")], "c int, t string")
     queries = spark.createDataFrame([(1, "Dark"), (2, "the of and"), (3, "galaxies and dark matter"), (4, "matter haloes")], "q int, t string")
