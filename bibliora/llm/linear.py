@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .words import mix
@@ -29,6 +29,46 @@ def bounded_sample(rows: DataFrame, key: str, most: int) -> list:
     return sorted(rows.filter(hash_order(F.col(key)) <= cut).limit(2 * most).collect(), key=lambda r: str(r[key]))
 
 
+def sample_per_label(rows: DataFrame, key: str, label: str, most: int) -> tuple[list[tuple], dict]:
+    """About ``most`` (key, label) in hash order, and how many keys each label has in all of ``rows`` (key, label).
+
+    Each label has its share of ``most``, but a rarer one up to a tenth of ``most`` (less if there are over ten labels), or
+    all that it has: so no label is missing, and with up to ``most`` labels these are at most about twice ``most``.
+    Rows far above a label's cut are left out by their hash alone before the rest is ranked.
+    """
+    counts = {r[0]: r[1] for r in rows.groupBy(label).agg(F.count_distinct(key)).collect()}
+    if not counts:
+        return [], counts
+    many, least = sum(counts.values()), max(1, most // max(10, len(counts)))
+    quotas = {x: max(round(most * n / many), min(n, least)) for x, n in counts.items()}
+    # hashes are even over the whole range: at this share of it more than the quota is below, but for one chance in billions
+    near = [(x, q, min(2**63 - 1, int((q + 7 * q**0.5 + 40) / counts[x] * 2**64) - 2**63)) for x, q in quotas.items()]
+    cuts = rows.sparkSession.createDataFrame(near, f"_label {rows.schema[label].dataType.simpleString()}, _quota long, _cut long")
+    below = rows.select(key, label, hash_order(F.col(key)).alias("_h")).join(F.broadcast(cuts), F.col(label) == F.col("_label")).filter("_h <= _cut").drop("_label").distinct()
+    place = F.row_number().over(Window.partitionBy(label).orderBy("_h", key))
+    chosen = below.withColumn("_place", place).filter("_place <= _quota").select(key, label).collect()
+    return sorted((tuple(r) for r in chosen), key=lambda r: (str(r[0]), str(r[1]))), counts
+
+
+def rows_of(rows: DataFrame, key: str, chosen: list[tuple], label: str) -> list:
+    """The rows with a chosen (key, label), in the order of the keys: these alone leave their tasks. Rows without labels
+    get them by key."""
+    if not chosen:
+        return []
+    kinds = dict(rows.dtypes)
+    wanted = rows.sparkSession.createDataFrame(chosen, f"{key} {kinds[key]}, {label} {kinds.get(label, 'int')}")
+    found = rows.join(F.broadcast(wanted), [key] + [label] * (label in kinds)).limit(2 * len(chosen)).collect()
+    return sorted(found, key=lambda r: (str(r[key]), str(r[label])))
+
+
+def every_fifth(labels: np.ndarray) -> np.ndarray:
+    """Every fifth row of each label, so that a label's first rows are always trained on."""
+    aside = np.zeros(len(labels), bool)
+    for label in np.unique(labels):
+        aside[np.flatnonzero(labels == label)[4::5]] = True
+    return aside
+
+
 def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Lower-cased texts as code points, each between two line ends, and where each starts (the last is the end)."""
     joined = ["\n" + t.lower() + "\n" for t in texts]

@@ -2,10 +2,11 @@
 
 The text view sees what is written: hashed character n-grams, and how often words repeat, shout or end in symbols.
 The metadata view sees the page: source, language, length, and its layout in lines. Each view is a logistic
-regression (FTRL). Both start from a sample of at most about SAMPLE labelled documents. In each round every view
-labels a pool of about POOL unlabelled documents, and those of which it is most confident become training rows of the
-other view. A fold of the labelled sample that no view trains on calibrates each view's log-odds (Platt) and then
-weighs the two against each other; every document is scored with the combination, whole text.
+regression (FTRL). Both start from a sample of about SAMPLE labelled documents, drawn for each kind by itself, so that
+a rare kind is not missing. In each round every view labels all unlabelled documents, whole texts, and those of all
+of which it is most confident, about EXCHANGED of both kinds, become training rows of the other view. A fold of the
+labelled sample that no view trains on calibrates each view's log-odds (Platt) and then weighs the two against each
+other, at the kinds' shares among all labels; every document is scored with the combination, whole text.
 
 Defined results: texts without words (null, empty, white space) score 0; without labels of both kinds nothing can be
 told apart and every other document scores 1; null metadata is a value of its own; labels with a null doc_id or
@@ -15,6 +16,7 @@ columns are ignored by ``score`` and kept by ``without_low_quality``.
 
 from __future__ import annotations
 
+import string
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,14 +26,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .linear import bounded_sample, by_length, count_matrix, follow_the_leader
+from .linear import by_length, count_matrix, every_fifth, follow_the_leader, hash_order, rows_of, sample_per_label
+from .workspace import discard, saved
 
-SIZES, BUCKETS, SAMPLE, POOL = (2, 3), 2048, 3000, 2000
+SIZES, BUCKETS, SAMPLE = (2, 3), 2048, 3000
 ROUNDS, EXCHANGED, CONFIDENT, KEEP_FROM = 4, 100, 0.95, 0.5
 SOURCES, LANGUAGES = 64, 16
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _letters_and_digits(text: str) -> tuple[int, int]:
+    if text.isascii():
+        plain = text.encode()
+        return tuple(len(plain) - len(plain.translate(None, kind.encode())) for kind in (string.ascii_letters, string.digits))
+    return sum(map(str.isalpha, text)), sum(map(str.isdigit, text))
+
+
 def text_view(texts: list[str]) -> np.ndarray:
     """Features of what is written, a row per text."""
     counts = np.log1p(count_matrix(texts, SIZES, BUCKETS))
@@ -43,8 +53,8 @@ def text_view(texts: list[str]) -> np.ndarray:
         shouting = sum(map(str.isupper, words)) / many
         odd_ends = sum(not w[-1].isalnum() and w[-1] not in ".,;:" for w in words) / many
         pairs = list(zip(words, words[1:], strict=False))
-        letters = sum(map(str.isalpha, text)) / chars
-        rows.append([1.0, shouting, odd_ends, len(set(words)) / many, len(set(pairs)) / max(len(pairs), 1), letters, sum(map(str.isdigit, text)) / chars, min(chars / many / 10, 3.0)])
+        letters, digits = _letters_and_digits(text)
+        rows.append([1.0, shouting, odd_ends, len(set(words)) / many, len(set(pairs)) / max(len(pairs), 1), letters / chars, digits / chars, min(chars / many / 10, 3.0)])
     return np.hstack([counts, np.array(rows, np.float32).reshape(len(texts), 8)])
 
 
@@ -101,41 +111,84 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(odds @ self.blend[:-1] + self.blend[-1], -30, 30)))
 
 
+def _confident(rows: DataFrame, known: DataFrame, weights: list[np.ndarray]) -> DataFrame:
+    """(doc_id, _row, odds0, odds1) of all unlabelled ``rows`` of which a view is CONFIDENT: its log-odds, whole texts.
+
+    Numbers alone leave the tasks, so the labelled documents are taken off afterwards. Each row is summed up by itself,
+    so that its odds do not depend on the rows beside it.
+    """
+    least, ways = np.log(CONFIDENT / (1 - CONFIDENT)), [w[:, 1] - w[:, 0] for w in weights]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in by_length(batch, "text"):
+                texts, languages, sources, sizes = (part.column(c).to_pylist() for c in COLUMNS[1:])
+                views = [text_view(texts), metadata_view(texts, languages, sources, sizes)]
+                odds = [(v * w).sum(axis=1) for v, w in zip(views, ways, strict=True)]
+                sure = pa.array((np.abs(odds) >= least).any(axis=0))
+                columns = [part.column("doc_id"), part.column("_row"), *map(pa.array, odds)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "_row", "odds0", "odds1"]).filter(sure)
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    scored = rows.mapInArrow(run, f"doc_id {kind}, _row long, odds0 double, odds1 double")
+    return scored.join(known.select("doc_id"), "doc_id", "left_anti").distinct()
+
+
+def _exchanged(rows: DataFrame, known: DataFrame, weights: list[np.ndarray], quota: tuple[int, int], taken: set[int]) -> list[tuple[int, int, list]]:
+    """(taker, label, documents) of one round: of all unlabelled documents not yet ``taken`` those of which the other view
+    is most confident. Each task hands over at most a quota of numbers; only the chosen documents' texts follow."""
+    least, given = float(np.log(CONFIDENT / (1 - CONFIDENT))), []
+    scored = saved(_confident(rows, known, weights), "co-training")
+    for giver, taker in ((0, 1), (1, 0)):
+        for label, sure in ((1, F.col(f"odds{giver}")), (0, -F.col(f"odds{giver}"))):
+            free = scored.filter((sure >= least) & ~F.col("_row").isin(list(taken)))
+            best = [r._row for r in free.orderBy(F.desc(sure), hash_order(F.col("doc_id")), "_row").limit(quota[label]).select("_row").collect()]
+            taken.update(best)
+            given.append((taker, label, best))
+    discard(scored)
+    chosen = [(k,) for _, _, best in given for k in best]
+    if not chosen:
+        return []
+    wanted = F.broadcast(rows.sparkSession.createDataFrame(chosen, "_row long"))
+    of = {r._row: r for r in rows.join(wanted, "_row").dropDuplicates(["_row"]).collect()}
+    return [(taker, label, [of[k] for k in best]) for taker, label, best in given if best]
+
+
 def co_train(documents: DataFrame, labels: DataFrame) -> Model | None:
     """A model from documents and labels (doc_id, quality 0 or 1); None if the labels do not tell two kinds apart."""
     known = labels.select("doc_id", "quality").filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rows = documents.select(*COLUMNS).filter("text IS NOT NULL")
-    labelled = bounded_sample(rows.join(known, "doc_id"), "doc_id", SAMPLE)
-    truth = np.array([int(r.quality > 0) for r in labelled])
-    if len(set(truth.tolist())) < 2:
+    rows = documents.select(*COLUMNS).filter("text IS NOT NULL AND doc_id IS NOT NULL")
+    kinds = rows.select("doc_id").join(known, "doc_id").select("doc_id", (F.col("quality") > 0).cast("int").alias("good"))
+    chosen, counts = sample_per_label(kinds, "doc_id", "good", SAMPLE)
+    if len(counts) < 2:
         return None
-    pool = bounded_sample(rows.join(known, "doc_id", "left_anti").filter("doc_id IS NOT NULL"), "doc_id", POOL)
-    views, pool_views = _views(labelled), _views(pool)
-    aside = np.arange(len(truth)) % 5 == 4
+    labelled = rows_of(rows, "doc_id", chosen, "good")
+    truth = np.array([r.good for r in labelled])
+    views = _views(labelled)
+    aside = every_fifth(truth)
     if len(set(truth[aside].tolist())) < 2 or len(set(truth[~aside].tolist())) < 2:
         aside = np.zeros(len(truth), bool)
     train_x, train_y = [v[~aside] for v in views], [truth[~aside]] * 2
-    free = np.ones(len(pool), bool)
-    share = truth.mean()
+    share = counts[1] / (counts[0] + counts[1])
     quota = (max(1, round(EXCHANGED * (1 - share))), max(1, round(EXCHANGED * share)))
+    hashed, taken = rows.withColumn("_row", F.xxhash64(*COLUMNS)), set()
     for _ in range(ROUNDS):
         weights = [follow_the_leader(x, y, 2) for x, y in zip(train_x, train_y, strict=True)]
-        if not free.any():
+        given = _exchanged(hashed, known, weights, quota, taken)
+        if not given:
             break
-        for giver, taker in ((0, 1), (1, 0)):
-            chance = 1 / (1 + np.exp(-np.clip(_log_odds(pool_views[giver], weights[giver]), -30, 30)))
-            for label, sure in ((1, chance), (0, 1 - chance)):
-                best = np.argsort(-np.where(free, sure, -1), kind="stable")[: quota[label]]
-                best = best[free[best] & (sure[best] >= CONFIDENT)]
-                free[best] = False
-                train_x[taker] = np.vstack([train_x[taker], pool_views[taker][best]])
-                train_y[taker] = np.append(train_y[taker], np.full(len(best), label))
+        for taker, label, found in given:
+            train_x[taker] = np.vstack([train_x[taker], _views(found)[taker]])
+            train_y[taker] = np.append(train_y[taker], np.full(len(found), label))
     weights = [follow_the_leader(x, y, 2) for x, y in zip(train_x, train_y, strict=True)]
     fold = aside if aside.any() else ~aside
     odds = [_log_odds(v[fold], w) for v, w in zip(views, weights, strict=True)]
     platt = [_logistic(o[:, None], truth[fold], 0.1) for o in odds]
     calibrated = np.stack([o * p[0] + p[1] for o, p in zip(odds, platt, strict=True)], axis=1)
-    return Model(weights, platt, _logistic(calibrated, truth[fold], 0.1))
+    blend = _logistic(calibrated, truth[fold], 0.1)
+    # a rare kind has more than its share of the sample
+    blend[-1] += np.log(share / (1 - share)) - np.log(truth.mean() / (1 - truth.mean()))
+    return Model(weights, platt, blend)
 
 
 def _scorer(model: Model | None, at: list[int]):

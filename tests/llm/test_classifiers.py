@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from bibliora.llm import language_id, linear, quality
 
@@ -31,6 +32,39 @@ def test_quality_of_unlabelled_documents(spark):
     assert sorted((r.doc_id, round(r.score, 6)) for r in again) == sorted((r.doc_id, round(r.score, 6)) for r in rows)
 
 
+def test_quality_of_a_rare_kind_of_label(spark, monkeypatch):
+    documents, _ = make(spark, 600)
+    bad = [k for k in range(0, 600, 5)]
+    last = linear.hash_order(F.col("doc_id")).desc()  # far from the first in hash order
+    low = [r.doc_id for r in documents.filter("doc_id % 5 = 0").orderBy(last).limit(5).collect()]
+    labels = spark.createDataFrame([(k, 1) for k in range(600) if k % 5] + [(k, 0) for k in low], "doc_id long, quality int")
+    monkeypatch.setattr(quality, "SAMPLE", 50)
+    model = quality.co_train(documents, labels)
+    assert model is not None
+    chances = {r.doc_id: r.score for r in quality.score(documents, model).collect()}
+    assert np.mean([chances[k] for k in bad]) < np.mean([chances[k] for k in chances if k % 5])
+
+
+def test_quality_exchanges_the_surest_of_all_unlabelled_documents(spark):
+    documents, labels = make(spark, 300)
+    rows = documents.select(*quality.COLUMNS).withColumn("_row", F.xxhash64(*quality.COLUMNS))
+    sample = documents.join(labels.filter("doc_id < 100"), "doc_id").orderBy("doc_id").collect()
+    truth = np.array([r.quality for r in sample])
+    weights = [20 * linear.follow_the_leader(v, truth, 2) for v in quality._views(sample)]
+    known = labels.filter("doc_id < 100")
+    free = rows.join(known, "doc_id", "left_anti").orderBy(linear.hash_order(F.col("doc_id"))).collect()
+    taken, expected = set(), []
+    odds = [(v * (w[:, 1] - w[:, 0])).sum(axis=1) for v, w in zip(quality._views(free), weights, strict=True)]
+    for giver in (0, 1):
+        for label, many in ((1, 7), (0, 3)):
+            sure = odds[giver] if label else -odds[giver]
+            best = [k for k in np.argsort(-sure, kind="stable") if k not in taken and sure[k] >= np.log(19)][:many]
+            taken |= set(best)
+            expected.append((1 - giver, label, {free[k].doc_id for k in best}))
+    found = quality._exchanged(rows.union(rows.limit(50)), known, weights, (3, 7), set())
+    assert [(a, b, {r.doc_id for r in c}) for a, b, c in found] == [e for e in expected if e[2]] and found
+
+
 def test_quality_without_evidence(spark, documents, nothing):
     labels = spark.createDataFrame([(3, 1), (3, 1), (None, 0), (4, None)], "doc_id long, quality int")
     assert quality.co_train(documents, labels) is None
