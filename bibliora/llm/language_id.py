@@ -2,8 +2,10 @@
 
 Document frequencies of hashed character n-grams are counted over all training documents. The weights are trained by
 follow-the-regularised-leader with an elastic net (L1 keeps them sparse) on a sample of about SAMPLE training
-documents, whole texts, in the hash order of their ids. A temperature, fitted on every fifth of the sample, which
-training does not see, makes the scores probabilities. Then every document is scored, whole text.
+documents, whole texts, in the hash order of their ids. The sample is drawn for each language of all training
+documents, and rare languages have more than their share of it, so that none is missing at any size. A temperature,
+fitted on every fifth of each language's sample, which training does not see, makes the scores probabilities. Then
+every document is scored, whole text.
 
 Defined results: a null text or one without letters is ``und`` with score 0; without training documents everything
 is ``und``; a single known language is the answer for all others, with score 1; rows with a null doc_id train
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .linear import bounded_sample, by_length, count_matrix, follow_the_leader, softmax, temperature
+from .linear import by_length, count_matrix, every_fifth, follow_the_leader, rows_of, sample_per_label, softmax, temperature
 
 SIZES, BUCKETS, SAMPLE = (1, 2, 3), 4096, 3000
 
@@ -69,15 +71,16 @@ def features(texts: list[str], idf: np.ndarray) -> np.ndarray:
 def train(documents: DataFrame) -> Model:
     """A model from rows (doc_id, text, lang) with languages; rows without text, language or id do not count."""
     known = documents.select("doc_id", "text", "lang").filter("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL")
-    sample = bounded_sample(known, "doc_id", SAMPLE)
-    languages = sorted({r.lang for r in sample})
+    chosen, counts = sample_per_label(known.select("doc_id", "lang"), "doc_id", "lang", SAMPLE)
+    languages = sorted(counts)
     if not languages:
         return Model([], np.zeros(BUCKETS), np.zeros((BUCKETS + 1, 0)), 1.0)
+    sample = rows_of(known, "doc_id", chosen, "lang")
     seen, many = document_frequencies(known)
     idf = np.log((1 + many) / (1 + seen)) + 1
     labels = np.array([languages.index(r.lang) for r in sample])
     rows = np.vstack([features([r.text], idf).astype(np.float32) for r in sample])
-    aside = np.arange(len(sample)) % 5 == 4
+    aside = every_fifth(labels)
     weights = follow_the_leader(rows[~aside], labels[~aside], len(languages))
     fitted = temperature(rows[aside] @ weights, labels[aside]) if aside.any() else 1.0
     return Model(languages, idf, weights, fitted)

@@ -81,6 +81,25 @@ def test_language_of_held_out_documents(spark):
     assert all(r.lang_pred == ("aa", "bb", "cc")[k % 3] and 0 <= r.score <= 1 for k, r in rows.items())
 
 
+def test_language_of_few_training_documents(spark, monkeypatch):
+    documents, _ = make(spark, 900)
+    last = linear.hash_order(F.col("doc_id")).desc()  # far from the first in hash order
+    few = [r.doc_id for r in documents.filter("lang = 'cc'").orderBy(last).limit(6).collect()]
+    monkeypatch.setattr(language_id, "SAMPLE", 60)
+    model = language_id.train(documents.filter((F.col("lang") != "cc") | F.col("doc_id").isin(few)))
+    assert model.languages == ["aa", "bb", "cc"]
+    found = language_id.predict(documents, model).collect()
+    assert all(r.lang_pred == ("aa", "bb", "cc")[r.doc_id % 3] for r in found)
+
+
+def test_sample_has_every_label(spark):
+    rows = spark.range(5000).selectExpr("id AS doc_id", "CASE WHEN id = 77 THEN 'x' WHEN id < 1000 THEN 'y' ELSE 'z' END AS lang")
+    chosen, counts = linear.sample_per_label(rows.union(rows), "doc_id", "lang", 100)
+    assert counts == {"x": 1, "y": 999, "z": 4000}
+    assert {x: sum(c[1] == x for c in chosen) for x in counts} == {"x": 1, "y": 20, "z": 80} and len(set(chosen)) == 101
+    assert chosen == linear.sample_per_label(rows.repartition(9), "doc_id", "lang", 100)[0]
+
+
 def test_language_ignores_labels_of_held_out_documents(spark):
     import zlib
 
