@@ -2,25 +2,46 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..streaming import increments
 from .registry import Tables, query
 
 
+def _shared_folder(spark: SparkSession) -> str:
+    """A fresh path in the folder that ``spark.checkpoint.dir`` names; only local mode makes one of its own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="bibliora-")
+    return f"{named.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
+
+
 def _drained(t: Tables, table: str, transform, mode: str) -> DataFrame:
-    """A stream over a table's file, transformed and read until nothing is left, as a table."""
+    """A stream over a table, one file or a folder of parts, transformed and read until nothing is left, as a table.
+
+    The result is written by the tasks; a batch that is tried again replaces its own rows, and in complete mode each
+    batch replaces all rows.
+    """
     schema = t.__getattr__(table).schema
-    stream = t.spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(t.folder)
+    # a pattern, as the source takes a path without one for a folder
+    stream = t.spark.readStream.schema(schema).parquet(f"{t.folder}/{table}.parque[t]")
     # watermarks need instants; stored times without zone are in the session's
     stream = stream.withColumns({c: F.col(c).cast("timestamp") for c, kind in stream.dtypes if kind == "timestamp_ntz"})
-    name = f"{table}_{uuid.uuid4().hex[:8]}"
-    run = transform(stream).writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    found, path = transform(stream), _shared_folder(t.spark)
+    t.spark.createDataFrame([], found.schema).write.parquet(f"{path}/rows/none")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/{'all' if mode == 'complete' else number}")
+
+    run = found.writeStream.foreachBatch(keep).option("checkpointLocation", f"{path}/checkpoint").outputMode(mode).trigger(availableNow=True).start()
     run.awaitTermination()
-    return t.spark.table(name)
+    return t.spark.read.schema(found.schema).option("recursiveFileLookup", "true").parquet(f"{path}/rows")
 
 
 @query("SELECT ts::DATE::VARCHAR AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")

@@ -70,6 +70,17 @@ def test_whole_tables_are_matched_and_cited(spark, tmp_path):
     assert {r.cited: (r.total, r.non_self) for r in catalog.QUERIES["self_citation_all"](spark, str(tmp_path)).collect()} == expected
 
 
+def test_streams_over_a_folder_of_parts(spark, tmp_path):
+    events = spark.range(40).selectExpr("id AS event_id", "id % 5 AS user_id", "timestamp_seconds(1704067200 + id * 7200) AS ts", "concat('t', id % 2) AS event_type")
+    events.repartition(4).write.parquet(f"{tmp_path}/events.parquet")
+    first = catalog.QUERIES["stream_first_of_each"](spark, str(tmp_path))
+    assert first.inputFiles() and {tuple(r) for r in first.collect()} == {(k, k % 5) for k in range(40)} and first.count() == 40
+    daily = catalog.QUERIES["stream_daily_counts"](spark, str(tmp_path)).collect()
+    assert len(daily) == 8 and sum(r.n for r in daily) == 40
+    spark.createDataFrame([], events.schema).write.parquet(f"{tmp_path}/none/events.parquet")
+    assert catalog.QUERIES["stream_first_of_each"](spark, f"{tmp_path}/none").isEmpty()
+
+
 def test_fuzzy_titles(spark):
     candidates = spark.createDataFrame([(1, "Dark matter in galaxies"), (2, "Dark energy survey results"), (3, "Dark matter haloes and galaxies")], "c int, t string")
     queries = spark.createDataFrame([(1, "Dark"), (2, "the of and"), (3, "galaxies and dark matter"), (4, "matter haloes")], "q int, t string")
