@@ -3,16 +3,22 @@
 A window is ``window`` consecutive words. A word goes if a window that covers it also starts in a document with a
 smaller doc_id.
 
-1. Every window has an anchor, the least hash among its word 12-grams. Consecutive windows with one anchor are a run.
-   Equal windows have equal anchors, so only runs whose anchor occurs in two documents matter.
-2. Runs are brought together by anchor. A shard indexes the different passages of its runs in an FM-index (wavelet
-   matrix over the Burrows-Wheeler transform), streams them backward through it, and gets for each window the class
-   of equal windows and so the smallest doc_id that has one.
-3. An anchor with more than HOT runs (a very common line) is no shard's load: the windows of its runs are told apart
-   one by one, by a 64-bit hash and a partial aggregate, wherever they are.
+1. Every window has an anchor, the least hash among its word 12-grams. Consecutive windows with one anchor are a run,
+   and the words under a run are its passage. Equal windows have equal anchors, so only runs whose anchor occurs in
+   two documents matter. An anchor that very many runs have (a common line) would bring them all to one shard: so such
+   grams, at most MOST_HOT of them, are passed over, wherever a window has any other gram.
+2. Passages that are the same word for word count once, for the smallest doc_id: what is found for one holds for its
+   copies, and all of a later copy goes.
+3. Different passages meet by anchor in shards. In a shard documents are halved, quartered and so on by doc_id: the
+   passages of each first half are put into an FM-index (wavelet tree over the Burrows-Wheeler transform, real words
+   as symbols), and those of the second half are streamed backward through it. Matching statistics tell for each
+   place how long the longest match is, and its interval the smallest doc_id; matches of ``window`` words and more in
+   smaller doc_ids are the intervals reported. Every two documents of an anchor meet once. No document is streamed
+   through an index that holds it, and a passage that is found whole is not looked for, or in, again.
 4. Every document removes the words that its windows cover, judged on the input.
 
-Texts are shuffled once, by doc_id; the exchange serves all joins. Words are compared by 64-bit hashes.
+Texts are shuffled once, by doc_id; the exchange serves all joins. Shards compare words themselves, copies of whole
+passages are told by a 64-bit hash.
 
 Defined results: a null or empty text has no words and the digest of the empty text; rows with one doc_id are not
 earlier than each other; rows with a null doc_id are never removed from and never earlier; an empty table gives an
@@ -23,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,17 +38,20 @@ from pyspark.sql import functions as F
 
 from .fm_index import FMIndex
 from .hot_keys import join_aggregate
-from .words import gram_hashes, slices, text_bytes, word_hashes, word_spans
+from .words import gram_hashes, slices, span_hashes, text_bytes, word_hashes, word_spans
 from .workspace import discard, saved
 
-WINDOW, GRAM, HOT, LONGEST_RUN, SHARD_WORDS = 50, 12, 1000, 64, 400_000
-RUNS = "array<struct<anchor:long,start:int,n:int>>"
+WINDOW, GRAM, LONGEST_RUN = 50, 12, 64
+#: Only where windows meet depends on these: an anchor of over HOT runs is passed over, of which there may be MOST_HOT;
+#: a shard's passages are indexed in parts of whole anchors with about SHARD_WORDS words.
+HOT, MOST_HOT, SHARD_WORDS = 2000, 100_000, 800_000
+RUN = "anchor long, doc_id long, start int, n int, passage long"
 
 
-def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _words(column: pa.Array, hashed: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     data, offsets = text_bytes(column)
     starts, ends, first = word_spans(data, offsets)
-    return data, starts, ends, first, word_hashes(data, starts, ends)
+    return data, starts, ends, first, word_hashes(data, starts, ends) if hashed else np.empty(0, np.uint64)
 
 
 def _least_within(values: np.ndarray, span: int) -> np.ndarray:
@@ -54,17 +64,26 @@ def _least_within(values: np.ndarray, span: int) -> np.ndarray:
     return values
 
 
-def anchor_runs(words: np.ndarray, first: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, ...]:
-    """Runs of windows with one anchor, as arrays: anchor, text, start (in words of the text), number of windows."""
+def anchor_runs(words: np.ndarray, first: np.ndarray, window: int = WINDOW, hot: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Runs of windows with one anchor, as arrays: anchor, text, start (in words of the text), number of windows.
+
+    With ``hot`` (sorted hashes of grams) only the windows whose least gram is among them, by their least other gram.
+    """
+    grams = gram_hashes(words, GRAM)
     if len(words) < window:
         return (np.empty(0, np.int64),) * 4
-    anchors = _least_within(gram_hashes(words, GRAM), window - GRAM + 1)
+    anchors = _least_within(grams, window - GRAM + 1)
     at = np.arange(len(anchors))
     text = np.searchsorted(first, at, "right") - 1
     inside = at + window <= first[text + 1]
+    if hot is not None:
+        last = np.uint64(2**64 - 1)
+        others = _least_within(np.where(_among(grams, hot), last, grams), window - GRAM + 1)
+        inside &= _among(anchors, hot)
+        anchors = np.where(others == last, anchors, others)
     at, text, anchors = at[inside], text[inside], anchors[inside]
     new = np.ones(len(at), bool)
-    new[1:] = (anchors[1:] != anchors[:-1]) | (text[1:] != text[:-1])
+    new[1:] = (anchors[1:] != anchors[:-1]) | (text[1:] != text[:-1]) | (at[1:] != at[:-1] + 1)
     heads = np.flatnonzero(new)
     head_of = np.repeat(heads, np.diff(np.append(heads, len(at))))
     new |= (np.arange(len(at)) - head_of) % LONGEST_RUN == 0
@@ -72,129 +91,163 @@ def anchor_runs(words: np.ndarray, first: np.ndarray, window: int = WINDOW) -> t
     return anchors[heads].view(np.int64), text[heads], at[heads] - first[text[heads]], np.diff(np.append(heads, len(at)))
 
 
-def _runs(documents: DataFrame, window: int) -> DataFrame:
+def _among(values: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which values are among some sorted ones."""
+    if not len(some):
+        return np.zeros(len(values), bool)
+    return some[np.minimum(np.searchsorted(some, values), len(some) - 1)] == values
+
+
+def _runs(documents: DataFrame, window: int, hot: np.ndarray | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 _, _, _, first, words = _words(part.column("text"))
-                anchor, text, start, n = anchor_runs(words, first, window)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), part.column("doc_id").take(pa.array(text)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], names=["anchor", "doc_id", "start", "n"])
+                anchor, text, start, n = anchor_runs(words, first, window, hot)
+                at = first[text] + start
+                passage = span_hashes(words, at, at + n + window - 1).view(np.int64)
+                columns = [pa.array(anchor), part.column("doc_id").take(pa.array(text)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(passage)]
+                yield pa.RecordBatch.from_arrays(columns, names=["anchor", "doc_id", "start", "n", "passage"])
 
-    return documents.mapInArrow(run, "anchor long, doc_id long, start int, n int")
+    return documents.mapInArrow(run, RUN)
 
 
-def _run_rows(part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-    """The list column ``runs`` laid out: row, anchor, start, number of windows."""
-    lists = part.column("runs")
-    flat, sizes = lists.flatten(), np.diff(np.asarray(lists.offsets))
-    fields = [flat.field(name).to_numpy() for name in ("anchor", "start", "n")]
-    return np.repeat(np.arange(len(lists)), sizes), *fields
+def _all_runs(texts: DataFrame, window: int) -> list[DataFrame]:
+    """Tables that together have the runs of all texts."""
+    runs = saved(_runs(texts, window), "runs")
+    counts = runs.groupBy("anchor").count()
+    most = max(HOT, runs.count() // MOST_HOT)  # so at most MOST_HOT anchors have more
+    hot = np.sort(np.array([r.anchor for r in counts.filter(F.col("count") > most).collect()], np.int64).view(np.uint64))
+    if not len(hot):
+        return [runs]
+    hot_anchors = F.broadcast(texts.sparkSession.createDataFrame([(int(h),) for h in hot.view(np.int64)], "anchor long"))
+    return [runs.join(hot_anchors, "anchor", "left_anti"), saved(_runs(texts, window, hot), "runs")]
 
 
 def _passages(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """(anchor, passage, doc_id, start, n, words) of each run; words (hashes) only where this task has not yet sent them."""
+    """(anchor, doc_id, passage, start, n, words) of each run; words only where this task has not just sent them."""
     sent: set[tuple[int, int]] = set()
     for batch in batches:
         for part in slices(batch, "text"):
-            _, _, _, first, words = _words(part.column("text"))
-            row, anchor, start, n = _run_rows(part)
-            passages, hashes = [], []
-            for k, at in enumerate((first[row] + start).tolist()):
-                content = words[at : at + int(n[k]) + window - 1]
-                name = int(gram_hashes(content, len(content))[0].view(np.int64))
-                passages.append(name)
-                key = (int(anchor[k]), name)
-                hashes.append(None if key in sent else content.tobytes())
+            data, starts, ends, first, _ = _words(part.column("text"), hashed=False)
+            data = data.tobytes()
+            lists = part.column("runs")
+            runs = lists.flatten()
+            row = np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths()))
+            start, n = runs.field("start").to_numpy(), runs.field("n").to_numpy()
+            at = first[row] + start
+            docs, names = part.column("doc_id").take(pa.array(row)), runs.field("passage")
+            contents = []
+            for key, a, b in zip(zip(docs.to_pylist(), names.to_pylist(), strict=True), starts[at].tolist(), ends[at + n + window - 2].tolist(), strict=True):
+                contents.append(None if key in sent else data[a:b])
                 sent.add(key)
             if len(sent) > 500_000:
                 sent.clear()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor), pa.array(passages, pa.int64()), part.column("doc_id").take(pa.array(row)), pa.array(start), pa.array(n), pa.array(hashes, pa.binary())],
-                names=["anchor", "passage", "doc_id", "start", "n", "words"],
-            )
+            yield pa.RecordBatch.from_arrays([runs.field("anchor"), docs, names, runs.field("start"), runs.field("n"), pa.array(contents, pa.binary())], names=["anchor", "doc_id", "passage", "start", "n", "words"])
 
 
-def _shard(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Intervals of words to remove, from all runs of the anchors that this partition has."""
-    batches = [b for b in batches if b.num_rows]
-    if not batches:
-        return
-    table = pa.Table.from_batches(batches)
-    anchor, name, doc, start, n = (table.column(c).to_numpy() for c in ("anchor", "passage", "doc_id", "start", "n"))
-    words = table.column("words")
-    has = words.is_valid().to_numpy()
-    # rows in order of anchor and passage, one with words first; cut between anchors into indexes of bounded size
-    order = np.lexsort((~has, name, anchor))
-    anchor, name, doc, start, n = (x[order] for x in (anchor, name, doc, start, n))
-    new = np.ones(len(order), bool)
-    new[1:] = (anchor[1:] != anchor[:-1]) | (name[1:] != name[:-1])
-    passage = np.cumsum(new) - 1
-    heads = np.flatnonzero(new)
-    size = np.cumsum(n[heads] + window - 1)
-    at = 0
-    while at < len(heads):
-        to = int(np.searchsorted(size, (size[at - 1] if at else 0) + SHARD_WORDS, "right"))
-        to = max(to, at + 1)
-        while to < len(heads) and anchor[heads[to]] == anchor[heads[to - 1]]:
-            to += 1
-        content = words.take(pa.array(order[heads[at:to]])).combine_chunks()
-        items = np.frombuffer(b"".join(content.to_pylist()), np.uint64)
-        first = np.concatenate([[0], np.cumsum(n[heads[at:to]].astype(np.int64) + window - 1)])
-        rows = slice(heads[at], heads[to] if to < len(heads) else len(order))
-        yield _intervals(items, first, passage[rows] - at, doc[rows], start[rows], n[rows], window)
-        at = to
-
-
-def _intervals(items: np.ndarray, first: np.ndarray, passage: np.ndarray, doc: np.ndarray, start: np.ndarray, n: np.ndarray, window: int) -> pa.RecordBatch:
-    index = FMIndex(items, first, window)
-    earliest = np.minimum.reduceat(doc, np.flatnonzero(np.diff(passage, prepend=-1)))  # of each passage
-    by_class = np.minimum.reduceat(earliest[index.owner], index.class_starts)
-    row = index.matching_rows(window)
-    first_doc = np.where(row >= 0, by_class[index.class_of_row[np.maximum(row, 0)]], np.iinfo(np.int64).max)
-    # every run's windows, and which of them an earlier document has
-    run = np.repeat(np.arange(len(n)), n)
-    offset = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
-    repeated = first_doc[first[passage[run]] + offset] < doc[run]
-    opens = repeated & ~np.concatenate([[False], repeated[:-1] & (run[1:] == run[:-1])])
-    closes = repeated & ~np.concatenate([repeated[1:] & (run[1:] == run[:-1]), [False]])
-    a, b = np.flatnonzero(opens), np.flatnonzero(closes)
-    return pa.RecordBatch.from_arrays([pa.array(doc[run[a]]), pa.array((start[run[a]] + offset[a]).astype(np.int32)), pa.array((start[run[b]] + offset[b] + window).astype(np.int32))], names=["doc_id", "a", "b"])
-
-
-def _hot_windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+def _by_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Sorted rows in tables of whole anchors with passages of about SHARD_WORDS words (of LONGEST_RUN windows at most)."""
+    kept: list[pa.RecordBatch] = []
+    many = 0
     for batch in batches:
-        for part in slices(batch, "text"):
-            _, _, _, first, words = _words(part.column("text"))
-            row, _, start, n = _run_rows(part)
-            run = np.repeat(np.arange(len(n)), n)
-            at = start[run] + np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
-            hashes = gram_hashes(words, window)[first[row[run]] + at] if len(run) else np.empty(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), part.column("doc_id").take(pa.array(row[run])), pa.array(at.astype(np.int32))], names=["hash", "doc_id", "a"])
+        anchor = batch.column("anchor").to_numpy()
+        while kept or batch.num_rows:
+            before = kept[-1].column("anchor")[-1].as_py() if kept else None
+            cuts = np.flatnonzero(anchor != np.append(before if kept else anchor[:1], anchor[:-1])) if len(anchor) else anchor
+            sizes = np.cumsum(batch.column("n").to_numpy().astype(np.int64) + WINDOW)
+            cuts = cuts[(many + np.append(0, sizes)[cuts]) >= SHARD_WORDS]
+            if not len(cuts):
+                if batch.num_rows:
+                    kept.append(batch)
+                    many += int(sizes[-1])
+                break
+            yield pa.Table.from_batches([*kept, batch.slice(0, int(cuts[0]))])
+            kept, many = [], 0
+            batch, anchor = batch.slice(int(cuts[0])), anchor[int(cuts[0]) :]
+    if kept:
+        yield pa.Table.from_batches(kept)
+
+
+def _shard(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """Intervals of words to remove, from all runs of the anchors that this partition has, in order of anchor, doc_id
+    and passage, those with words first."""
+    for table in _by_anchors(batches):
+        anchor, doc, name, start, n = (table.column(c).to_numpy() for c in ("anchor", "doc_id", "passage", "start", "n"))
+        new_doc, new = np.ones(len(doc), bool), np.ones(len(doc), bool)
+        new_doc[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
+        new[1:] = new_doc[1:] | (name[1:] != name[:-1])
+        heads, passage = np.flatnonzero(new), np.cumsum(new) - 1
+        contents = table.column("words").take(pa.array(heads)).to_pylist()
+        found = _found(contents, anchor[heads], np.cumsum(new_doc)[heads], doc[heads], n[heads], window)
+        # every run's windows, and which of them an earlier document has
+        before = np.cumsum(n[heads]) - n[heads]
+        run = np.repeat(np.arange(len(n)), n)
+        offset = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
+        repeated = found[before[passage[run]] + offset]
+        opens = repeated & ~np.concatenate([[False], repeated[:-1] & (run[1:] == run[:-1])])
+        closes = repeated & ~np.concatenate([repeated[1:] & (run[1:] == run[:-1]), [False]])
+        a, b = np.flatnonzero(opens), np.flatnonzero(closes)
+        yield pa.RecordBatch.from_arrays([pa.array(doc[run[a]]), pa.array((start[run[a]] + offset[a]).astype(np.int32)), pa.array((start[run[b]] + offset[b] + window).astype(np.int32))], names=["doc_id", "a", "b"])
+
+
+def _found(contents: list[bytes], anchor: np.ndarray, number: np.ndarray, doc: np.ndarray, n: np.ndarray, window: int) -> np.ndarray:
+    """Which windows of the passages, one passage after another, a smaller doc_id has. ``number`` counts documents up."""
+    known: dict[bytes, int] = {}
+    numbered = [[known.setdefault(w, len(known)) for w in content.split()] for content in contents]
+    codes = np.fromiter((c for some in numbered for c in some), np.int64)
+    size = n.astype(np.int64) + window - 1
+    first = np.cumsum(size) - size
+    group = np.cumsum(np.concatenate([[True], anchor[1:] != anchor[:-1]])) - 1
+    lowest = np.minimum.reduceat(number, np.flatnonzero(np.diff(group, prepend=-1)))
+    place = number - lowest[group]  # of the document among those of its anchor
+    last = np.maximum.reduceat(place, np.flatnonzero(np.diff(group, prepend=-1)))[group]
+    found = np.zeros(int(n.sum()), bool)
+    before = np.cumsum(n) - n
+    for level in range(int(last.max(initial=0)).bit_length() - 1, -1, -1):
+        half = place >> level
+        open_ = np.logical_and.reduceat(found, before) == 0
+        stored = np.flatnonzero(open_ & (half % 2 == 0) & (half < last >> level))
+        streamed = np.flatnonzero(open_ & (half % 2 == 1))
+        if not len(stored) or not len(streamed):
+            continue
+        inside, outside = (_places(first[x], size[x]) for x in (stored, streamed))
+        alphabet = np.zeros(len(known), np.int64)
+        alphabet[codes[inside]] = 1
+        alphabet *= np.cumsum(alphabet)
+        index = FMIndex(alphabet[codes[inside]], np.append(0, np.cumsum(size[stored])), doc[stored], window)
+        length, row = index.matching_statistics(alphabet[codes[outside]], np.append(0, np.cumsum(size[streamed])))
+        owner = index.least_owners(length, row, np.iinfo(np.int64).max)
+        at = _places(np.cumsum(size[streamed]) - size[streamed], n[streamed])
+        found[_places(before[streamed], n[streamed])] |= owner[at] < np.repeat(doc[streamed], n[streamed])
+    return found
+
+
+def _places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of every start, as many as its size."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
 
 
 def repeated_passages(documents: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """(doc_id, intervals) of the documents with words to remove, as word intervals [a, b) that may overlap; and the texts read."""
     spark = documents.sparkSession
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
-    runs = saved(_runs(texts, window), "runs")
-    anchors = runs.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("runs")).filter("lo < hi")
-    shared = saved(join_aggregate(runs, anchors.select("anchor", (F.col("runs") > HOT).alias("hot")), "anchor"), "shared-runs")
-    discard(runs)
-    count = shared.count()
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), count // 50_000)
-
-    def with_runs(which: str) -> DataFrame:
-        lists = shared.filter(which).groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("runs"))
-        return texts.join(lists, "doc_id")
-
-    passages = with_runs("NOT hot").mapInArrow(lambda b: _passages(b, window), "anchor long, passage long, doc_id long, start int, n int, words binary")
-    found = passages.repartition(parts, "anchor").mapInArrow(lambda b: _shard(b, window), "doc_id long, a int, b int")
-    if not shared.filter("hot").isEmpty():
-        windows = with_runs("hot").mapInArrow(lambda b: _hot_windows(b, window), "hash long, doc_id long, a int")
-        earliest = windows.groupBy("hash").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
-        hits = join_aggregate(windows, earliest.select("hash", "lo"), "hash").filter("lo < doc_id")
-        found = found.union(hits.select("doc_id", "a", (F.col("a") + window).alias("b")))
-    return found.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("intervals")), texts
+    tables = _all_runs(texts, window)
+    runs = reduce(DataFrame.unionByName, tables)
+    anchors = runs.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
+    shared = saved(join_aggregate(runs, anchors.select("anchor"), "anchor"), "shared-runs")
+    discard(*tables)
+    earliest = shared.groupBy("passage").agg(F.min("doc_id").alias("lo"))
+    rows = saved(join_aggregate(shared, earliest, "passage"), "passages")
+    discard(shared)
+    firsts = rows.filter("doc_id = lo")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), firsts.count() // 50_000)
+    lists = firsts.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "passage", "start", "n")).alias("runs"))
+    passages = texts.join(lists, "doc_id").mapInArrow(lambda b: _passages(b, window), "anchor long, doc_id long, passage long, start int, n int, words binary")
+    sharded = passages.repartition(parts, "anchor").sortWithinPartitions("anchor", "doc_id", "passage", F.isnull("words"))
+    found = sharded.mapInArrow(lambda b: _shard(b, window), "doc_id long, a int, b int")
+    copies = rows.filter("doc_id > lo").select("doc_id", F.col("start").alias("a"), (F.col("start") + F.col("n") + (window - 1)).alias("b"))
+    return found.union(copies).groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("intervals")), texts
 
 
 def _kept_words(part: pa.RecordBatch, column: str = "intervals") -> Iterator[tuple[list[bytes], int]]:

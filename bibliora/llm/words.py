@@ -18,6 +18,7 @@ _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _TABLE = np.random.default_rng(20240607).integers(0, 1 << 64, 256, dtype=np.uint64)
 _LOWER_TABLE = _TABLE.copy()
 _LOWER_TABLE[65:91] = _TABLE[97:123]
+_random: list[np.ndarray] = [np.empty(0, np.uint64)]
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -78,11 +79,25 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of every word; with ``lower``, A-Z count as a-z."""
-    up, down = powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((_LOWER_TABLE if lower else _TABLE)[data] * up[:-1], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """A 64-bit hash of every word; with ``lower``, A-Z count as a-z.
+
+    The sum over a word's bytes of random numbers for the byte and its place, multiplied: no words collide by construction, as
+    some do under powers of a base modulo 2**64.
+    """
+    sizes = ends - starts
+    to = np.cumsum(sizes)
+    letters = data[~_SPACE[data]]
+    place = np.arange(len(letters)) - np.repeat(to - sizes, sizes)
+    sums = np.zeros(len(letters) + 1, np.uint64)
+    np.cumsum((_LOWER_TABLE if lower else _TABLE)[letters] * _places(int(sizes.max(initial=0)))[place], out=sums[1:])
+    return mix(sums[to] - sums[to - sizes] + sizes.astype(np.uint64))
+
+
+def _places(n: int) -> np.ndarray:
+    """A random number for each of the places 0..n-1 of a word."""
+    if len(_random[0]) < n:
+        _random[0] = mix(np.arange(max(n, 1024)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x51ED270B))
+    return _random[0]
 
 
 def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -93,3 +108,11 @@ def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     sums = np.zeros(len(hashes) + 1, np.uint64)
     np.cumsum(hashes * up[:-1], out=sums[1:])
     return mix((sums[n:] - sums[:-n]) * down[: len(hashes) - n + 1] + np.uint64(n))
+
+
+def span_hashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the items from each start to its end."""
+    up, down = powers(len(hashes) + 1)
+    sums = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * up[:-1], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
