@@ -153,18 +153,39 @@ class FMIndex:
         length = np.maximum(left, right)
         return np.where(left == length, self.smaller_before[low], low), np.where(right == length, self.smaller_after[high], high), length
 
-    def matching_statistics(self, symbols: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def occurs(self, symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Which of the given sequences are somewhere in the index, whole: a backward search that a mismatch ends."""
+        found = np.ones(len(first) - 1, bool)
+        lanes, low, high = np.arange(len(found)), np.zeros(len(found), np.int64), np.full(len(found), self.size)
+        back = 0
+        while len(lanes):
+            back += 1
+            left = first[lanes + 1] - first[lanes] >= back
+            lanes, low, high = lanes[left], low[left], high[left]
+            symbol = symbols[first[lanes + 1] - back]
+            known = symbol > 0
+            found[lanes[~known]] = False
+            lanes = lanes[known]
+            low, high = self.step(low[known], high[known], symbol[known])
+            found[lanes[low >= high]] = False
+            lanes, low, high = lanes[low < high], low[low < high], high[low < high]
+        return found
+
+    def matching_statistics(self, symbols: np.ndarray, first: np.ndarray, least: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """For every place of the given sequences (symbols that the index lacks are 0) the length of the longest match
         that starts there and the first row of its interval. All sequences are streamed backward at once: a match is
-        prolonged by the symbol before it, or shortened until it can be."""
+        prolonged by the symbol before it, or shortened until it can be. With ``least`` a sequence is left, and all
+        before is 0, where no match that starts further on can have so many symbols."""
         length, row = np.zeros(len(symbols), np.int32), np.zeros(len(symbols), np.int64)
-        sizes = np.diff(first)
-        order = np.argsort(-sizes, kind="stable")
-        ends, sizes = first[1:][order], sizes[order]
-        low, high, matched = np.zeros(len(order), np.int64), np.full(len(order), self.size), np.zeros(len(order), np.int64)
-        for back in range(1, int(sizes.max(initial=0)) + 1):
-            many = int(np.searchsorted(-sizes, -back, "right"))
-            symbol = symbols[ends[:many] - back]
+        starts, ends = first[:-1], first[1:]
+        low, high, matched = np.zeros(len(starts), np.int64), np.full(len(starts), self.size), np.zeros(len(starts), np.int64)
+        back = 0
+        while len(starts):
+            back += 1
+            left = (ends - back >= starts) & ((back == 1) | (ends - back + 1 + matched - starts >= least))
+            if not left.all():
+                starts, ends, low, high, matched = (x[left] for x in (starts, ends, low, high, matched))
+            symbol = symbols[ends - back]
             unknown = np.flatnonzero(symbol == 0)
             low[unknown], high[unknown], matched[unknown] = 0, self.size, 0
             open_ = np.flatnonzero(symbol > 0)
@@ -175,7 +196,10 @@ class FMIndex:
                 low[to], high[to], matched[to] = a[found], b[found], matched[to] + 1
                 open_ = open_[~found]
                 low[open_], high[open_], matched[open_] = self.shorter(low[open_], high[open_])
-            length[ends[:many] - back], row[ends[:many] - back] = matched[:many], low[:many]
+                short = ends[open_] - back + 1 + matched[open_] - starts[open_] < least
+                matched[open_[short]] = 0
+                open_ = open_[~short]
+            length[ends - back], row[ends - back] = matched, low
         return length, row
 
     def least_owners(self, length: np.ndarray, row: np.ndarray, none: int) -> np.ndarray:

@@ -11,8 +11,8 @@ smaller doc_id.
    copies, and all of a later copy goes.
 3. Different passages meet by anchor in shards. In a shard documents are halved, quartered and so on by doc_id: the
    passages of each first half are put into an FM-index (wavelet tree over the Burrows-Wheeler transform, real words
-   as symbols), and those of the second half are streamed backward through it. Matching statistics tell for each
-   place how long the longest match is, and its interval the smallest doc_id; matches of ``window`` words and more in
+   as symbols), and those of the second half are streamed backward through it, if the index has the words that all
+   windows of the passage share. Matching statistics tell for each place how long the longest match is, and its interval the smallest doc_id; matches of ``window`` words and more in
    smaller doc_ids are the intervals reported. Every two documents of an anchor meet once. No document is streamed
    through an index that holds it, and a passage that is found whole is not looked for, or in, again.
 4. Every document removes the words that its windows cover, judged on the input.
@@ -44,7 +44,7 @@ from .workspace import discard, saved
 WINDOW, GRAM, LONGEST_RUN = 50, 12, 64
 #: Only where windows meet depends on these: an anchor of over HOT runs is passed over, of which there may be MOST_HOT;
 #: a shard's passages are indexed in parts of whole anchors with about SHARD_WORDS words.
-HOT, MOST_HOT, SHARD_WORDS = 2000, 100_000, 800_000
+HOT, MOST_HOT, SHARD_WORDS = 2000, 100_000, 600_000
 RUN = "anchor long, doc_id long, start int, n int, passage long"
 
 
@@ -204,22 +204,37 @@ def _found(contents: list[bytes], anchor: np.ndarray, number: np.ndarray, doc: n
     last = np.maximum.reduceat(place, np.flatnonzero(np.diff(group, prepend=-1)))[group]
     found = np.zeros(int(n.sum()), bool)
     before = np.cumsum(n) - n
+    levels: list[tuple[np.ndarray, np.ndarray]] = []
     for level in range(int(last.max(initial=0)).bit_length() - 1, -1, -1):
         half = place >> level
-        open_ = np.logical_and.reduceat(found, before) == 0
-        stored = np.flatnonzero(open_ & (half % 2 == 0) & (half < last >> level))
-        streamed = np.flatnonzero(open_ & (half % 2 == 1))
+        open_ = ~np.logical_and.reduceat(found, before)
+        levels.append((np.flatnonzero(open_ & (half % 2 == 0) & (half < last >> level)), np.flatnonzero(open_ & (half % 2 == 1))))
+        if level and sum(int(size[x].sum()) for both in levels for x in both) < SHARD_WORDS:
+            continue
+        # the levels so far in one index, in which words of different levels are different symbols
+        stored, streamed = (np.concatenate([both[k] for both in levels]) for k in (0, 1))
+        apart = [np.repeat(np.arange(len(levels)) * len(known), [len(both[k]) for both in levels]) for k in (0, 1)]
+        levels = []
         if not len(stored) or not len(streamed):
             continue
-        inside, outside = (_places(first[x], size[x]) for x in (stored, streamed))
-        alphabet = np.zeros(len(known), np.int64)
-        alphabet[codes[inside]] = 1
+        inside = np.repeat(apart[0], size[stored]) + codes[_places(first[stored], size[stored])]
+        alphabet = np.zeros(int(inside.max()) + 1, np.int64)
+        alphabet[inside] = 1
         alphabet *= np.cumsum(alphabet)
-        index = FMIndex(alphabet[codes[inside]], np.append(0, np.cumsum(size[stored])), doc[stored], window)
-        length, row = index.matching_statistics(alphabet[codes[outside]], np.append(0, np.cumsum(size[streamed])))
+        index = FMIndex(alphabet[inside], np.append(0, np.cumsum(size[stored])), doc[stored], window)
+
+        def symbols(starts: np.ndarray, sizes: np.ndarray, tags: np.ndarray, alphabet: np.ndarray = alphabet) -> tuple[np.ndarray, np.ndarray]:
+            there = np.repeat(tags, sizes) + codes[_places(starts, sizes)]
+            return np.where(there < len(alphabet), alphabet[np.minimum(there, len(alphabet) - 1)], 0), np.append(0, np.cumsum(sizes))
+
+        core = np.maximum(window + 1 - n[streamed].astype(np.int64), 0)  # the words that all windows of a passage share
+        kept = index.occurs(*symbols(first[streamed] + n[streamed] - 1, core, apart[1]))
+        streamed, tags = streamed[kept], apart[1][kept]
+        length, row = index.matching_statistics(*symbols(first[streamed], size[streamed], tags), window)
         owner = index.least_owners(length, row, np.iinfo(np.int64).max)
         at = _places(np.cumsum(size[streamed]) - size[streamed], n[streamed])
-        found[_places(before[streamed], n[streamed])] |= owner[at] < np.repeat(doc[streamed], n[streamed])
+        repeated = _places(before[streamed], n[streamed])[owner[at] < np.repeat(doc[streamed], n[streamed])]
+        found[repeated] = True
     return found
 
 

@@ -68,7 +68,7 @@ def test_a_shard_finds_what_brute_force_finds(monkeypatch, most):
 def test_without_the_index_nothing_is_found(monkeypatch):
     table, expected = rows_of_a_shard(np.random.default_rng(1))
     assert expected
-    monkeypatch.setattr(FMIndex, "matching_statistics", lambda self, symbols, first: (np.zeros(len(symbols), np.int32), np.zeros(len(symbols), np.int64)))
+    monkeypatch.setattr(FMIndex, "matching_statistics", lambda self, symbols, first, least: (np.zeros(len(symbols), np.int32), np.zeros(len(symbols), np.int64)))
     assert sum(part.num_rows for part in substring_dedup._shard(iter(table.to_batches()), 8)) == 0
 
 
