@@ -5,15 +5,15 @@ zero bits, so equal passages give equal chunks wherever they stand. The store is
 
 - ``new/is_recipe=false``, the chunks: digest, ids (little-endian unsigned integers of ``width`` bytes, zstd-compressed), length.
   A chunk is stored once however many documents have it; rows are spread by digest.
-- ``recipes``: doc_id, n_tokens, the digests of its chunks in order, and the Merkle root over them. Files and rows
-  are in ascending doc_id order, and that is the order of the stream.
-- ``manifest``: per recipe file its doc_id range, documents, tokens, the stream position where it starts, and the
-  Merkle root over its recipes' roots.
+- ``recipes/is_manifest=false``: doc_id, n_tokens, the digests of its chunks in order, and the Merkle root over them.
+  Files and rows are in ascending doc_id order, and that is the order of the stream.
+- ``manifest``: per recipe file its doc_id range, documents, tokens, the Merkle root over its recipes' roots (which the
+  task that writes the file computes as rows pass), the stream position where it starts, and how many files there are.
 
 Writing encodes each text once and shuffles each task's different chunks once. ``read_tokens`` joins recipes with
 chunks into whole streams; ``read_checksums`` gathers no stream, but combines the CRC-32 of the chunks, each read and
-verified once, by the CRC's linearity. Both verify chunks against their digests and recipes against their Merkle
-roots, and fail if anything is missing or changed.
+verified once, by the CRC's linearity. Both verify chunks against their digests, recipes against their Merkle roots,
+and files against the manifest's documents, tokens and roots, and fail if a chunk, recipe or file is missing or changed.
 
 Defined results: a null or empty text is the end id alone; documents with one doc_id follow each other in any order,
 and a null doc_id comes first; an empty table gives an empty store; other columns are not read.
@@ -29,6 +29,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +40,7 @@ WINDOW, MASK_BITS, LEAST, MOST = 16, 10, 128, 8192
 CACHE_LIMIT = 500_000
 CHUNK = "digest binary, ids binary, length int"
 RECIPE = "doc_id long, n_tokens long, recipe array<binary>, root binary"
+MANIFEST = "part int, first_doc long, last_doc long, documents long, tokens long, file_root binary"
 
 
 class _Numbers(dict):
@@ -143,6 +145,27 @@ def merkle_root(digests: list[bytes]) -> bytes:
     return level[0]
 
 
+class MerkleTree:
+    """The root that ``merkle_root`` gives, for digests that come one by one: a digest per level is kept."""
+
+    def __init__(self) -> None:
+        self.full: list[tuple[int, bytes]] = []
+
+    def add(self, digest: bytes) -> None:
+        height = 0
+        while self.full and self.full[-1][0] == height:
+            digest, height = hashlib.sha256(self.full.pop()[1] + digest).digest(), height + 1
+        self.full.append((height, digest))
+
+    def root(self) -> bytes:
+        if not self.full:
+            return merkle_root([])
+        found = self.full[-1][1]
+        for _, left in self.full[-2::-1]:
+            found = hashlib.sha256(left + found).digest()
+        return found
+
+
 @lru_cache(maxsize=64)
 def _zeros_operator(bits: int) -> tuple[int, ...]:
     """The CRC-32 register after 2**bits zero bytes, as a linear map: the images of its 32 bits."""
@@ -246,15 +269,35 @@ def write_store(documents: DataFrame, folder: str, path: str, end_id: int, width
     spread = mixed.repartition(parts, F.xxhash64("digest", "doc_id"))
     spread.mapInArrow(once, spread.schema).write.partitionBy("is_recipe").parquet(f"{folder}/new")
     ordered = _new(spark, folder, RECIPE).filter("is_recipe").drop("is_recipe").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "root")
-    ordered.withColumn("part", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id()).write.parquet(f"{folder}/recipes")
-    roots = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "root"))), lambda r: F.hex(r["root"])), "")
-    by_part = _recipes(spark, folder).groupBy("part").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count("*").alias("documents"), F.sum("n_tokens").alias("tokens"), F.sha2(F.encode(roots, "UTF-8"), 256).alias("root"))
+    ordered.mapInArrow(_numbered, f"{RECIPE}, place long, {MANIFEST}, is_manifest boolean").write.partitionBy("is_manifest").parquet(f"{folder}/recipes")
+    files = spark.read.schema(f"{MANIFEST}, is_manifest boolean").parquet(f"{folder}/recipes").filter("is_manifest").drop("is_manifest")
     start = F.coalesce(F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per file
-    by_part.withColumn("start", start).withColumn("width", F.lit(width)).coalesce(1).write.parquet(f"{folder}/manifest")
-
-
-def _recipes(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.schema(f"{RECIPE}, part int, place long").parquet(f"{folder}/recipes")
+    files.withColumn("start", start).withColumn("width", F.lit(width)).withColumn("files", F.count("*").over(Window.partitionBy("width"))).coalesce(1).write.parquet(f"{folder}/manifest")
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The recipes of one file with their places, and then the row of the manifest on them."""
+    context = TaskContext.get()
+    part, tree, many, tokens, docs = context.partitionId() if context else 0, MerkleTree(), 0, 0, []
+    kinds = {"part": pa.int32(), "first_doc": pa.int64(), "last_doc": pa.int64(), "documents": pa.int64(), "tokens": pa.int64(), "file_root": pa.binary()}
+    recipe = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("recipe", pa.list_(pa.binary())), ("root", pa.binary())]
+    names = [*[n for n, _ in recipe], "place", *kinds, "is_manifest"]
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        for root in batch.column("root").to_pylist():
+            tree.add(root)
+        seen = batch.column("doc_id").drop_null()
+        docs = [docs[0] if docs else seen[0].as_py(), seen[-1].as_py()] if len(seen) else docs
+        place = (part << 40) + many + np.arange(batch.num_rows)
+        many, tokens = many + batch.num_rows, tokens + int(batch.column("n_tokens").to_numpy().sum())
+        none = [pa.nulls(batch.num_rows, k) for k in kinds.values()]
+        none[0] = pa.array(np.full(batch.num_rows, part, np.int32))
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n, _ in recipe), pa.array(place), *none, pa.array([False] * batch.num_rows)], names=names)
+    if many:
+        values = [part, *(docs or [None, None]), many, tokens, tree.root()]
+        row = [*(pa.nulls(1, k) for _, k in recipe), pa.nulls(1, pa.int64()), *(pa.array([v], k) for v, k in zip(values, kinds.values(), strict=True)), pa.array([True])]
+        yield pa.RecordBatch.from_arrays(row, names=names)
 
 
 def _new(spark: SparkSession, folder: str, schema: str) -> DataFrame:
@@ -266,23 +309,52 @@ def _chunks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _placed(spark: SparkSession, folder: str) -> DataFrame:
-    """Recipes with ``start``, the stream position of each document."""
-    manifest = spark.read.parquet(f"{folder}/manifest").select("part", F.col("start").alias("_start"))
-    before = Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    return _recipes(spark, folder).withColumn("_before", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).join(manifest, "part").withColumn("start", F.col("_start") + F.col("_before")).drop("_start", "_before")
+    """Recipes with ``start``, the stream position of each document; files that do not agree with the manifest fail."""
+    manifest = spark.read.parquet(f"{folder}/manifest")
+    files, expected = manifest.agg(F.count("*"), F.max("files")).first()
+    if files != (expected or 0):
+        raise ValueError(f"the manifest of {folder} has {files} of {expected} files")
+    recipes = spark.read.schema(f"{RECIPE}, part int, place long, is_manifest boolean").parquet(f"{folder}/recipes").filter("NOT is_manifest").drop("is_manifest")
+    known = manifest.select(F.col("part").alias("_part"), "start", "documents", "tokens", "file_root")
+    both = recipes.join(known, recipes["part"] == known["_part"], "full")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, tree, many, tokens, wanted = None, MerkleTree(), 0, 0, None
+
+        def close() -> None:
+            if part is not None and (many, tokens, tree.root()) != wanted:
+                raise ValueError(f"recipe file {part} has lost or changed documents")
+
+        for batch in batches:
+            starts = []
+            columns = [batch.column(c).to_pylist() for c in ("part", "_part", "n_tokens", "root", "start", "documents", "tokens", "file_root")]
+            for own, listed, n, root, start, documents, all_tokens, file_root in zip(*columns, strict=True):
+                if own is None or listed is None:
+                    raise ValueError(f"recipe file {listed if own is None else own} is missing, or not in the manifest")
+                if own != part:
+                    close()
+                    part, tree, many, tokens, wanted = own, MerkleTree(), 0, 0, (documents, all_tokens, file_root)
+                tree.add(root)
+                starts.append(start + tokens)
+                many, tokens = many + 1, tokens + n
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "n_tokens", "recipe", "root", "place")), pa.array(starts, pa.int64())], names=["doc_id", "n_tokens", "recipe", "root", "place", "start"])
+        close()
+
+    return both.sortWithinPartitions("part", "place").mapInArrow(run, f"{RECIPE}, place long, start long")
 
 
 def _with_chunks(spark: SparkSession, folder: str, chunks: DataFrame) -> DataFrame:
-    """Each document's columns and its list ``chunks`` of (place in the recipe, digest, ...) in any order."""
+    """Each document's columns and its list ``chunks`` of (place in the recipe, digest, ...) in any order; null for a
+    chunk that is not there."""
     placed = _placed(spark, folder).withColumn("needed", F.size("recipe"))
     links = placed.select("place", F.posexplode("recipe").alias("at", "digest"))
-    lists = links.join(chunks, "digest").groupBy("place").agg(F.collect_list(F.struct("at", "digest", *[c for c in chunks.columns if c != "digest"])).alias("chunks"))
-    return placed.join(lists, "place").select("doc_id", "start", "n_tokens", "root", "needed", "chunks")
+    lists = links.join(chunks, "digest", "left").groupBy("place").agg(F.collect_list(F.struct("at", "digest", *[c for c in chunks.columns if c != "digest"])).alias("chunks"))
+    return placed.join(lists, "place", "left").select("doc_id", "start", "n_tokens", "root", "needed", "chunks")
 
 
 def _verified_recipe(row: dict) -> list[dict]:
-    chunks = sorted(row["chunks"], key=lambda c: c["at"])
-    if len(chunks) != row["needed"] or sum(c["length"] for c in chunks) != row["n_tokens"] or merkle_root([c["digest"] for c in chunks]) != row["root"]:
+    chunks = sorted(row["chunks"] or [], key=lambda c: c["at"])
+    if any(c["length"] is None for c in chunks) or len(chunks) != row["needed"] or sum(c["length"] for c in chunks) != row["n_tokens"] or merkle_root([c["digest"] for c in chunks]) != row["root"]:
         raise ValueError(f"document {row['doc_id']} cannot be put together again")
     return chunks
 
@@ -311,7 +383,7 @@ def read_checksums(spark: SparkSession, folder: str, width: int = 2) -> DataFram
             crcs, first = [], 0
             for end, needed, many, root, doc in zip(ends, *(batch.column(c).to_pylist() for c in ("needed", "n_tokens", "root", "doc_id")), strict=True):
                 own, first = order[first:end], end
-                if len(own) != needed or sum([length[k] for k in own]) != many or merkle_root([digest[k] for k in own]) != root:
+                if len(own) != needed or any(length[k] is None for k in own) or sum([length[k] for k in own]) != many or merkle_root([digest[k] for k in own]) != root:
                     raise ValueError(f"document {doc} cannot be put together again")
                 joined = 0
                 for k in own:

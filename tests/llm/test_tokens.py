@@ -1,8 +1,10 @@
 import random
+import shutil
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from bibliora.llm import token_store, tokenization, workspace
@@ -80,15 +82,49 @@ def test_store_round_trip(spark, documents, library):
     assert chunks.count() == chunks.select("digest").distinct().count()
 
 
-def test_store_notices_damage(spark, documents):
+@pytest.fixture(scope="module")
+def store(spark, documents):
     folder = workspace.fresh_path(spark, "store")
-    token_store.write_store(documents.limit(30), folder, PATH, end_id=1)
-    recipes = spark.read.parquet(f"{folder}/recipes")
-    rows = recipes.selectExpr("doc_id", "n_tokens + 1 AS n_tokens", "recipe", "root", "part", "place").collect()
-    workspace.remove(spark, f"{folder}/recipes")
-    spark.createDataFrame(rows, recipes.schema).write.parquet(f"{folder}/recipes")
-    with pytest.raises(Exception, match="cannot be put together"):
-        token_store.read_checksums(spark, folder).collect()
+    token_store.write_store(documents.filter("doc_id < 60"), folder, PATH, end_id=1)
+    return folder
+
+
+def rewritten(spark, store, table, change):
+    """A copy of the store in which ``change`` has been made to the rows of one table."""
+    folder = workspace.fresh_path(spark, "damaged")
+    shutil.copytree(store.removeprefix("file://"), folder.removeprefix("file://"))
+    rows = spark.read.parquet(f"{store}/{table}")
+    workspace.remove(spark, f"{folder}/{table}")
+    change(rows).write.parquet(f"{folder}/{table}")
+    return folder
+
+
+@pytest.mark.parametrize(
+    ("table", "change"),
+    [
+        ("new/is_recipe=false", lambda rows: rows.filter("xxhash64(digest) % 2 = 0")),
+        ("new/is_recipe=false", lambda rows: rows.filter("false")),
+        ("recipes/is_manifest=false", lambda rows: rows.filter("doc_id % 7 <> 3")),
+        ("recipes/is_manifest=false", lambda rows: rows.filter("part <> 1")),
+        ("recipes/is_manifest=false", lambda rows: rows.withColumn("n_tokens", F.col("n_tokens") + F.when(F.col("doc_id") == 5, 1).otherwise(0))),
+        ("recipes/is_manifest=false", lambda rows: rows.withColumn("root", F.when(F.col("doc_id") == 5, F.lit(b"x")).otherwise(F.col("root")))),
+        ("manifest", lambda rows: rows.filter("part <> 1")),
+        ("manifest", lambda rows: rows.withColumn("file_root", F.lit(b"other"))),
+    ],
+)
+def test_store_notices_damage(spark, store, table, change):
+    folder = rewritten(spark, store, table, change)
+    for read in (token_store.read_checksums, token_store.read_tokens):
+        with pytest.raises(Exception, match="cannot be put together|lost or changed|is missing|the manifest of"):
+            read(spark, folder).collect()
+
+
+def test_merkle_root_of_digests_one_by_one():
+    for many in range(20):
+        digests, tree = [bytes([k]) for k in range(many)], token_store.MerkleTree()
+        for digest in digests:
+            tree.add(digest)
+        assert tree.root() == token_store.merkle_root(digests)
 
 
 def test_empty_store_and_chunking(spark, nothing):
