@@ -20,6 +20,11 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
+def queries_of(rows: DataFrame, is_query: str, key: str, vector: str) -> DataFrame:
+    """The rows for which a SQL condition holds, one for each key: of several the one with the least vector."""
+    return rows.filter(is_query).groupBy(key).agg(F.min(vector).alias(vector))
+
+
 def query_blocks(queries: DataFrame, key: str, vector: str, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """The query set in blocks of about ``most`` rows by hash of the key, each gathered when it is its turn."""
     blocks = -(-queries.count() // most)

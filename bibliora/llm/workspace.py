@@ -37,6 +37,20 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Collected:
+    """Results that come block by block, written to one table, so that the plan that reads them does not grow."""
+
+    def __init__(self, spark: SparkSession, schema: str, name: str) -> None:
+        self.spark, self.schema, self.path = spark, schema, fresh_path(spark, name)
+        self.add(spark.createDataFrame([], schema))
+
+    def add(self, rows: DataFrame) -> None:
+        rows.write.mode("append").parquet(self.path)
+
+    def table(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a path of the shared folder."""
     jvm = spark.sparkContext._jvm

@@ -10,7 +10,7 @@ BAD = [(900, None), (901, []), (902, [1.0, None, 2.0] + [0.0] * 13), (903, [floa
 def vectors():
     rng = np.random.default_rng(8)
     rows = [(k, rng.standard_normal(16).round(2).tolist()) for k in range(600)]
-    return rows + [(k, rows[7][1]) for k in range(600, 660)] + [(700, [0.0] * 16), (702, [1.0] * 4), (3, rows[3][1])]
+    return rows + [(k, rows[7][1]) for k in range(600, 660)] + [(700, [0.0] * 16), (702, [1.0] * 4), (3, rows[3][1]), (100, rows[100][1]), (200, rows[9][1]), (200, rows[11][1])]
 
 
 @pytest.fixture(scope="module")
@@ -20,8 +20,8 @@ def embeddings(spark, vectors):
 
 def expected(rows, step, k, score):
     out = []
-    for q, v in rows:
-        if q % step == 0:
+    for q in sorted({q for q, _ in rows if q % step == 0}):
+        for v in [min((v for c, v in rows if c == q), key=list)]:
             found = sorted(((-score(v, w), c) for c, w in rows if c != q and len(w) == len(v)))[:k]
             out += [(q, n + 1, c, -s) for n, (s, c) in enumerate(found)]
     return sorted(out)
