@@ -39,8 +39,11 @@ def inverted(rows: DataFrame, canonical: str, aliases: str, name: str) -> DataFr
 
 def distinct_ignoring_case(items: str | Column) -> Column:
     """Items without those that differ from an earlier one in case only."""
-    low = F.transform(items, F.lower)
-    return F.filter(items, lambda x, k: F.array_position(low, F.lower(x)) == k + 1)
+    keyed = F.array_sort(F.transform(items, lambda x, k: F.struct(F.lower(x).alias("low"), k.alias("at"), x.alias("item"))))
+    # the sorted list as a lambda's variable, so that it is made once and not for every item
+    first = lambda s: F.filter(s, lambda x, k: (k == 0) | ~F.get(s, k - 1)["low"].eqNullSafe(x["low"]))
+    kept = F.get(F.transform(F.array(keyed), first), F.lit(0))
+    return F.transform(F.array_sort(F.transform(kept, lambda s: F.struct(s["at"], s["item"]))), lambda s: s["item"])
 
 
 def has_all(items: Column, *wanted: str) -> Column:

@@ -1,19 +1,23 @@
 """Matching texts against dictionaries of terms: one operator, several policies.
 
-A dictionary is a table (term, canonical, ord); ``ord`` is the order of precedence. It is small by nature, and its
-size is checked before it becomes part of a plan: terms go into one alternation, longest first, that scans a text
-once, whatever the number of terms.
+A dictionary is a table (term, canonical, ord); ``ord`` is the order of precedence. Its terms become an automaton that
+finds all of them in one pass over a text, whatever their number, in tasks over Arrow batches. A dictionary of more
+than PART_TERMS terms is used in parts of about that many, so what tasks hold is bounded and no term is refused.
 """
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import ahocorasick
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-MOST_TERMS = 500
-_LEFT, _RIGHT = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+PART_TERMS = 50_000
+HITS = "term string, canonical string, ord int, hits int, column int"
 
 
 def terms(spark: SparkSession, entries: list[tuple]) -> DataFrame:
@@ -24,38 +28,65 @@ def terms(spark: SparkSession, entries: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, "term string, canonical string, ord int")
 
 
-def _entries(dictionary: DataFrame) -> list:
-    rows = dictionary.limit(MOST_TERMS + 1).collect()
-    if len(rows) > MOST_TERMS:
-        raise ValueError(f"a dictionary has at most {MOST_TERMS} terms")
-    return rows
-
-
 def matches(rows: DataFrame, columns: list[str], dictionary: DataFrame, boundary: bool = True, case_sensitive: bool = False) -> DataFrame:
-    """``rows`` with each term found in any of the columns: term, canonical, ord, hits (occurrences) and column (its
-    place). Overlapping terms all count: an alternation first tells rows without any term, then each term is counted."""
-    entries = _entries(dictionary)
-    if not entries:
-        return rows.select("*", F.lit(None).cast("string").alias("term"), F.lit(None).cast("string").alias("canonical"), F.lit(0).alias("ord"), F.lit(0).alias("hits"), F.lit(0).alias("column")).limit(0)
-    flag = "" if case_sensitive else "(?iu)"
-    quoted = lambda text: re.sub(r"([\\.^$|?*+()\[\]{}])", r"\\\1", text)
-    edges = (_LEFT, _RIGHT) if boundary else ("", "")
-    any_term = flag + edges[0] + "(?:" + "|".join(quoted(e.term) for e in sorted(entries, key=lambda e: -len(e.term))) + ")" + edges[1]
-    texts = [F.coalesce(F.col(c), F.lit("")) for c in columns]
-    some = rows.filter(F.lit(False) if not texts else _any([x.rlike(any_term) for x in texts]))
-
-    def found(text: Column, place: int) -> Column:
-        each = [F.struct(F.lit(e.term).alias("term"), F.lit(e.canonical).alias("canonical"), F.lit(e.ord).alias("ord"), F.regexp_count(text, F.lit(flag + edges[0] + quoted(e.term) + edges[1])).alias("hits"), F.lit(place).alias("column")) for e in entries]
-        return F.filter(F.array(*each), lambda s: s["hits"] > 0)
-
-    return some.select("*", F.inline(F.concat(*[found(x, k) for k, x in enumerate(texts)])))
-
-
-def _any(conditions: list[Column]) -> Column:
-    result = conditions[0]
-    for c in conditions[1:]:
-        result = result | c
-    return result
+    """``rows`` with each term found in any of the columns: term, canonical, ord, hits (occurrences that do not overlap
+    each other) and column (its place). Terms that overlap other terms all count; empty terms are nowhere.
+
+    With ``boundary`` no letter, digit or underscore stands beside an occurrence; texts and terms are lower-cased unless
+    ``case_sensitive``.
+    """
+    named = dictionary.filter("term <> ''")
+    parts = max(1, -(-named.count() // PART_TERMS))
+    found = None
+    for k in range(parts):
+        entries = named.filter(F.pmod(F.xxhash64("term"), F.lit(parts)) == k).select("term", "canonical", "ord").collect()
+        some = _matches(rows, columns, [tuple(e) for e in entries], boundary, case_sensitive)
+        found = some if found is None else found.union(some)
+    return found
+
+
+def _matches(rows: DataFrame, columns: list[str], entries: list[tuple], boundary: bool, case_sensitive: bool) -> DataFrame:
+    places = [rows.columns.index(c) for c in columns]
+    schema = StructType([*rows.schema.fields, *StructType.fromDDL(HITS).fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton, by_key = ahocorasick.Automaton(), {}
+        for number, entry in enumerate(entries):
+            by_key.setdefault(entry[0] if case_sensitive else entry[0].lower(), []).append(number)
+        for key, numbers in by_key.items():
+            automaton.add_word(key, (len(key), numbers))
+        automaton.make_automaton()
+        for batch in batches:
+            hits: list[tuple[int, int, int, int]] = []  # row, entry, occurrences, column
+            for column, place in enumerate(places if entries else []):
+                for row, text in enumerate(batch.column(place).to_pylist()):
+                    if text:
+                        hits += [(row, number, n, column) for number, n in _occurrences(automaton, text if case_sensitive else text.lower(), boundary)]
+            row, number, n, column = (np.array([h[k] for h in hits], np.int32) for k in range(4))
+            listed = [pa.array([entries[k][c] for k in number.tolist()], kind) for c, kind in enumerate((pa.string(), pa.string(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(row)).columns, *listed, pa.array(n), pa.array(column)], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _occurrences(automaton: ahocorasick.Automaton, text: str, boundary: bool) -> list[tuple[int, int]]:
+    """(entry, occurrences) of the entries that a text has."""
+    until: dict[int, int] = {}
+    counts: dict[int, int] = {}
+    for last, (size, numbers) in automaton.iter(text):
+        first, after = last - size + 1, last + 1
+        if boundary and ((first and _inside(text[first - 1])) or (after < len(text) and _inside(text[after]))):
+            continue
+        if first >= until.get(numbers[0], 0):
+            for number in numbers:
+                until[number] = after
+                counts[number] = counts.get(number, 0) + 1
+    return sorted(counts.items())
+
+
+def _inside(letter: str) -> bool:
+    """Whether a character is part of a word: a letter, digit or underscore."""
+    return letter.isalnum() or letter == "_"
 
 
 def labelled(rows: DataFrame, key: str, columns: list[str], dictionary: DataFrame, policy: str, label: str, otherwise: str | None = None, boundary: bool = True, case_sensitive: bool = False) -> DataFrame:

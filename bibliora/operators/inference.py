@@ -80,9 +80,25 @@ def with_sigma(rows: DataFrame, value: str, keep_constant: bool = False) -> Data
     return rows.withColumn("_t", one_row(scale)).withColumn("sigma", sigma).drop("_t")
 
 
+def quantiles(rows: DataFrame, value: str, shares: list[float], name: str) -> DataFrame:
+    """One row with an array: the exact quantiles of a column's values, interpolated between neighbours; null for none.
+
+    They are read off running counts by value, so no task holds all values.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n"))
+    sums = running_sums(counts, value, ["_n"]).withColumn("_last", counts.agg((F.sum("_n") - 1).alias("_last")).scalar())
+    found = []
+    for share in shares:
+        place = F.col("_last") * F.lit(share)
+        at = lambda k: F.min(F.when(F.col("_upto__n") > k, F.col(value).cast("double")))
+        part = F.max(place - F.floor(place))
+        found.append(at(F.floor(place)) * (1 - part) + at(F.ceil(place)) * part)
+    return sums.agg(F.array(*found).alias(name))
+
+
 def quantile_classes(rows: DataFrame, value: str, classes: int) -> DataFrame:
     """Rows with ``class``: how many of the inner quantiles lie below the value."""
-    cuts = rows.agg(F.percentile(value, F.array(*[F.lit(k / classes) for k in range(1, classes)])).alias("_cuts"))
+    cuts = quantiles(rows, value, [k / classes for k in range(1, classes)], "_cuts")
     return rows.withColumn("_cuts", cuts.scalar()).withColumn("class", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
 
 

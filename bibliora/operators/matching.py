@@ -34,11 +34,22 @@ def title_words(title: Column) -> Column:
 def all_title_matches(queries: DataFrame, query_id: str, candidates: DataFrame, candidate_id: str) -> DataFrame:
     """(query_id, candidate_id, overlap) of all titles with enough words in common: three, or all of fewer.
 
-    Both sides have a list ``words``. Candidates are found by their words, so pairs without a common word never meet.
+    Both sides have a list ``words`` without repeats. Titles with t words in common have one among their rarest words,
+    all but t - 1 of each: only by these do they meet, so a common word brings few rows together. What meets is counted
+    on the whole lists.
     """
-    q = queries.select(query_id, F.explode("words").alias("_word"), F.size("words").alias("_many"))
-    c = candidates.select(candidate_id, F.explode("words").alias("_word"))
-    return q.join(c, "_word").groupBy(query_id, candidate_id).agg(F.count("*").alias("overlap"), F.first("_many").alias("_many")).filter("overlap >= least(3, _many)").drop("_many")
+    rarity = candidates.select(F.explode("words").alias("_word")).groupBy("_word").agg(F.count("*").alias("_rows"))
+
+    def ranked(rows: DataFrame, key: str, words: str) -> DataFrame:
+        spread = rows.select(key, F.explode("words").alias("_word")).join(rarity, "_word", "left")
+        lists = spread.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("_rows", F.lit(0)).alias("n"), "_word"))), lambda s: s["_word"]).alias(words))
+        return lists.select(key, words, F.size(words).alias(f"{words}_many"), F.posexplode(words).alias(f"{words}_at", "_word"))
+
+    need = F.least(F.lit(3), F.col("_q_many"))
+    near = ranked(queries, query_id, "_q").filter(F.col("_q_at") <= F.col("_q_many") - need).join(ranked(candidates, candidate_id, "_c"), "_word")
+    pairs = near.filter(F.col("_c_at") <= F.col("_c_many") - need).dropDuplicates([query_id, candidate_id])
+    common = F.size(F.array_intersect("_q", "_c"))
+    return pairs.filter(common >= need).select(query_id, candidate_id, common.cast("long").alias("overlap"))
 
 
 def fuzzy_title_matches(queries: DataFrame, query_id: str, candidates: DataFrame, candidate_id: str) -> DataFrame:
@@ -89,6 +100,20 @@ def name_class_links(classes: DataFrame) -> DataFrame:
     return pairs.filter((F.size("left_initials") == 0) | (F.size("right_initials") == 0) | F.arrays_overlap("left_initials", "right_initials"))
 
 
+def name_match_counts(classes: DataFrame, key: str) -> DataFrame:
+    """Rows of ``name_classes`` with ``class_id``, the smallest key of their class, and ``links``, how many other rows match.
+
+    Classes of a surname are compared with each other, not rows: their number depends on initials alone.
+    """
+    sizes = classes.groupBy("surname", "initials").agg(F.count("*").alias("_n"), F.min(key).alias("class_id"))
+    links = name_class_links(classes)
+    both = links.union(links.select("surname", "right_initials", "left_initials"))
+    others = both.toDF("surname", "initials", "_other").join(sizes.select("surname", F.col("initials").alias("_other"), "_n"), ["surname", "_other"])
+    linked = others.groupBy("surname", "initials").agg(F.sum("_n").alias("_linked"))
+    counted = sizes.join(linked, ["surname", "initials"], "left").select("surname", "initials", "class_id", (F.coalesce("_linked", F.lit(0)) + F.col("_n") - 1).alias("links"))
+    return classes.join(counted, ["surname", "initials"])
+
+
 def containing_pairs(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
     """Pairs of texts of which one contains the other; for dimension tables, as no key can bring them together."""
     return left.join(right, F.contains(F.col(a), F.col(b)) | F.contains(F.col(b), F.col(a)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import counting, metrics
+from ..operators import counting, inference, metrics
 from .registry import Tables, query
 
 _TOKENS = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
@@ -89,7 +89,9 @@ def multi_agg(t: Tables) -> DataFrame:
 
 @query("SELECT round(avg(n_chars), 6) AS mean, round(median(n_chars), 6) AS median, round(stddev_samp(n_chars), 6) AS std, max(n_chars) AS max FROM documents")
 def summary_stats(t: Tables) -> DataFrame:
-    return t.documents.agg(F.round(F.avg("n_chars"), 6).alias("mean"), F.round(F.median("n_chars"), 6).alias("median"), F.round(F.stddev_samp("n_chars"), 6).alias("std"), F.max("n_chars").alias("max"))
+    stats = t.documents.agg(F.round(F.avg("n_chars"), 6).alias("mean"), F.round(F.stddev_samp("n_chars"), 6).alias("std"), F.max("n_chars").alias("max"))
+    middle = inference.quantiles(t.documents, "n_chars", [0.5], "p").select(F.col("p")[0])
+    return stats.select("mean", F.round(middle.scalar(), 6).alias("median"), "std", "max")
 
 
 @query("SELECT doc_id, source, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 1")
@@ -145,13 +147,13 @@ def fractional_credit(t: Tables) -> DataFrame:
 
 
 @query(
-    """WITH a AS (SELECT doc_id, n_chars, list_filter(list_transform(string_split(string_split(text, chr(10))[1], '.'), lambda x: trim(x)), lambda x: x <> '') AS parts FROM documents)
+    """WITH a AS (SELECT doc_id, n_chars, list_filter(list_transform(flatten(list_transform(string_split(text, chr(10)), lambda l: string_split(l, '.'))), lambda x: trim(x)), lambda x: x <> '') AS parts FROM documents)
        SELECT part, round(sum(n_chars / n), 6) AS credit FROM (SELECT unnest(parts) AS part, len(parts) AS n, n_chars FROM a) GROUP BY part"""
 )
 def fractional_credit_nested(t: Tables) -> DataFrame:
     """Shares of a value among the parts of a list's items, after each item is split again."""
-    line = F.element_at(F.split("text", "\n"), 1)
-    parts = F.filter(F.transform(F.split(line, r"\."), lambda x: F.btrim(x, F.lit(" "))), lambda x: x != "")
+    items = F.flatten(F.transform(F.split("text", "\n"), lambda line: F.split(line, r"\.")))
+    parts = F.filter(F.transform(items, lambda x: F.btrim(x, F.lit(" "))), lambda x: x != "")
     return metrics.fractional_credit(t.documents.select("n_chars", parts.alias("parts")), "parts", "n_chars", "part")
 
 
@@ -206,10 +208,10 @@ def topn_others(t: Tables) -> DataFrame:
     return counting.top_and_others(t.documents, "source", 5)
 
 
-@query("SELECT conv_id, string_agg(role || ': ' || left(text, 10), '; ' ORDER BY turn) AS summary FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id, string_agg(role || ': ' || text, '; ' ORDER BY turn) AS summary FROM conversations GROUP BY conv_id")
 def grouped_concat(t: Tables) -> DataFrame:
     """Texts of a group joined in the order of their positions."""
-    item = F.concat("role", F.lit(": "), F.left("text", F.lit(10)))
+    item = F.concat("role", F.lit(": "), "text")
     ordered = F.array_sort(F.collect_list(F.struct("turn", item.alias("item"))))
     return t.conversations.groupBy("conv_id").agg(F.array_join(F.transform(ordered, lambda x: x["item"]), "; ").alias("summary"))
 

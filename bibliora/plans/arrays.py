@@ -11,8 +11,8 @@ from .registry import Tables, query
 _WORDS = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
 
 
-def _words(t: Tables, many: int = 5) -> DataFrame:
-    return t.documents.select("doc_id", F.slice(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), 1, many).alias("w"))
+def _words(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)).alias("w"))
 
 
 @query(f"SELECT doc_id, {_WORDS}[1] AS first, coalesce({_WORDS}[2], '') AS second FROM documents")
@@ -20,22 +20,22 @@ def first_element(t: Tables) -> DataFrame:
     return _words(t).select("doc_id", F.get("w", F.lit(0)).alias("first"), F.coalesce(F.get("w", F.lit(1)), F.lit("")).alias("second"))
 
 
-@query(f"SELECT doc_id, array_to_string(list_transform({_WORDS}[1:5], lambda x: CASE x WHEN 'the' THEN 'THE' WHEN 'de' THEN 'DE' ELSE x END), ' ') AS mapped FROM documents")
+@query(f"SELECT doc_id, array_to_string(list_transform({_WORDS}, lambda x: CASE x WHEN 'the' THEN 'THE' WHEN 'de' THEN 'DE' ELSE x END), ' ') AS mapped FROM documents")
 def array_map_replace(t: Tables) -> DataFrame:
     return _words(t).select("doc_id", F.array_join(fn.mapped_items("w", {"the": "THE", "de": "DE"}), " ").alias("mapped"))
 
 
-@query(f"SELECT doc_id, len(w)::INTEGER AS before, greatest(len(w), 4)::INTEGER AS after FROM (SELECT doc_id, {_WORDS}[1:5] AS w FROM documents)")
+@query(f"SELECT doc_id, len(w)::INTEGER AS before, greatest(len(w), 4)::INTEGER AS after FROM (SELECT doc_id, {_WORDS} AS w FROM documents)")
 def pad_array(t: Tables) -> DataFrame:
     return _words(t).select("doc_id", F.size("w").alias("before"), F.size(fn.padded_to("w", 4)).alias("after"))
 
 
 @query(
-    f"""SELECT doc_id, array_to_string(a, '|') AS a, array_to_string(b, '|') AS b FROM (SELECT doc_id, {_WORDS}[1:2] AS a, list_sort({_WORDS}[1:2]) AS b FROM documents) WHERE a IS DISTINCT FROM b"""
+    f"""SELECT doc_id, array_to_string(a, '|') AS a, array_to_string(b, '|') AS b FROM (SELECT doc_id, {_WORDS} AS a, list_sort({_WORDS}) AS b FROM documents) WHERE a IS DISTINCT FROM b"""
 )
 def list_mismatch(t: Tables) -> DataFrame:
     """Rows whose two lists differ in order or number."""
-    rows = _words(t, 2).select("doc_id", F.col("w").alias("a"), F.array_sort("w").alias("b"))
+    rows = _words(t).select("doc_id", F.col("w").alias("a"), F.array_sort("w").alias("b"))
     return rows.filter(~F.col("a").eqNullSafe(F.col("b"))).select("doc_id", F.array_join("a", "|").alias("a"), F.array_join("b", "|").alias("b"))
 
 
@@ -49,7 +49,7 @@ def slice_join(t: Tables) -> DataFrame:
     return _words(t).select("doc_id", F.array_join(F.slice("w", 1, 3), ", ").alias("firsts"))
 
 
-@query(f"SELECT doc_id, len(CASE WHEN list_contains(w, 'the') THEN w ELSE list_append(w, 'the') END)::INTEGER AS n FROM (SELECT doc_id, {_WORDS}[1:5] AS w FROM documents)")
+@query(f"SELECT doc_id, len(CASE WHEN list_contains(w, 'the') THEN w ELSE list_append(w, 'the') END)::INTEGER AS n FROM (SELECT doc_id, {_WORDS} AS w FROM documents)")
 def append_if_absent(t: Tables) -> DataFrame:
     return _words(t).select("doc_id", F.size(fn.with_item("w", "the")).alias("n"))
 
@@ -61,7 +61,7 @@ def alias_invert(t: Tables) -> DataFrame:
     return fn.inverted(lists, "canonical", "aliases", "alias")
 
 
-@query(f"SELECT doc_id, len(list_distinct(list_transform({_WORDS}[1:5], lambda x: lower(x))))::INTEGER AS n FROM documents")
+@query(f"SELECT doc_id, len(list_distinct(list_transform({_WORDS}, lambda x: lower(x))))::INTEGER AS n FROM documents")
 def array_distinct_ordered(t: Tables) -> DataFrame:
     """Items without repeats in any case; the first spelling stays."""
     return _words(t).select("doc_id", F.size(fn.distinct_ignoring_case("w")).alias("n"))
@@ -82,10 +82,10 @@ def parse_list(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.size(items).alias("n"), F.get(items, F.lit(0)).alias("first"))
 
 
-@query("SELECT conv_id, string_agg(role || ': ' || left(text, 4), '; ' ORDER BY turn) AS formatted FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id, string_agg(role || ': ' || text, '; ' ORDER BY turn) AS formatted FROM conversations GROUP BY conv_id")
 def zip_format(t: Tables) -> DataFrame:
     """ "author: affiliation" pairs of two parallel lists as one text."""
-    ordered = F.array_sort(F.collect_list(F.struct("turn", "role", F.left("text", F.lit(4)).alias("x"))))
+    ordered = F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("x"))))
     lists = t.conversations.groupBy("conv_id").agg(ordered.alias("o")).select("conv_id", F.transform("o", lambda s: s["role"]).alias("a"), F.transform("o", lambda s: s["x"]).alias("b"))
     return lists.select("conv_id", fn.pairs_text("a", "b").alias("formatted"))
 

@@ -94,7 +94,7 @@ _TITLE = r"list_filter(list_distinct(regexp_extract_all(lower({}), '[\p{{L}}\p{{
 
 
 @query(
-    f"""WITH q AS (SELECT item_id, {_TITLE.format("array_to_string(string_split(text, ' ')[1:6], ' ')")} AS w FROM benchmark),
+    f"""WITH q AS (SELECT item_id, {_TITLE.format("text")} AS w FROM benchmark),
              p AS (SELECT p_partkey, {_TITLE.format("p_name")} AS w FROM part)
         , b AS (SELECT item_id, {_TITLE.format("text")} AS w FROM benchmark),
         m AS (SELECT q.item_id, b.item_id AS match_id, len(list_intersect(q.w, b.w)) AS overlap, row_number() OVER (PARTITION BY q.item_id ORDER BY b.item_id) AS r
@@ -103,30 +103,14 @@ _TITLE = r"list_filter(list_distinct(regexp_extract_all(lower({}), '[\p{{L}}\p{{
 )
 def fuzzy_title_join(t: Tables) -> DataFrame:
     """Titles that share at least min(3, n) words with a candidate; of several candidates the first in order."""
-    queries = t.benchmark.select("item_id", matching.title_words(F.array_join(F.slice(F.split("text", " "), 1, 6), " ")).alias("words"))
+    queries = t.benchmark.select("item_id", matching.title_words(F.col("text")).alias("words"))
     candidates = t.benchmark.select(F.col("item_id").alias("match_id"), matching.title_words(F.col("text")).alias("words"))
     return matching.fuzzy_title_matches(queries, "item_id", candidates, "match_id").select("item_id", "match_id", "overlap")
 
 
-_NAMES = """(SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN 'Dr. Ann B. ' WHEN 1 THEN 'A ' WHEN 2 THEN 'Bob ' ELSE '' END || n_name AS name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey <= 60)"""
 _NORM = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(name), '^(dr\.?|prof\.?|mr\.?|ms\.?|mrs\.?)\s+', ''), '\s+(jr\.?|sr\.?|iii|ii|iv)$', ''), '[.,;:\-''\"`]', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
-@query(
-    f"""WITH n AS (SELECT id, {_NORM} AS name FROM {_NAMES}),
-             p AS (SELECT id, name, string_split(name, ' ') AS parts FROM n WHERE name <> ''),
-             k AS (SELECT id, name, parts[-1] AS surname, list_transform(parts[1:len(parts) - 1], lambda x: x[1]) AS initials FROM p)
-        SELECT a.id AS left_id, b.id AS right_id FROM k a JOIN k b ON a.surname = b.surname AND a.id < b.id
-        AND (a.name = b.name OR len(a.initials) = 0 OR len(b.initials) = 0 OR len(list_intersect(a.initials, b.initials)) > 0)"""
-)
-def name_match_join(t: Tables) -> DataFrame:
-    """Same surname and no given name on one side, or an initial in common."""
-    prefix = F.when(F.col("c_custkey") % 4 == 0, "Dr. Ann B. ").when(F.col("c_custkey") % 4 == 1, "A ").when(F.col("c_custkey") % 4 == 2, "Bob ").otherwise("")
-    people = t.customer.filter("c_custkey <= 60").join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("id"), F.concat(prefix, "n_name").alias("name"))
-    pairs = matching.name_matches(people.select(F.col("id").alias("left_id"), "name"), people.select(F.col("id").alias("right_id"), "name"), "name")
-    return pairs.filter("left_id < right_id").select("left_id", "right_id")
-
-
 _ALL_NAMES = """(SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN 'Dr. Ann B. ' WHEN 1 THEN 'A ' WHEN 2 THEN 'Bob ' ELSE '' END || n_name AS name FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
 _CLASSES = f"""n AS (SELECT id, string_split({_NORM}, ' ') AS parts FROM {_ALL_NAMES} WHERE {_NORM} <> ''),
              k AS (SELECT id, parts[-1] AS surname, list_sort(list_distinct(list_transform(parts[1:len(parts) - 1], lambda x: x[1]))) AS initials FROM n)"""
@@ -145,6 +129,18 @@ def name_match_members(t: Tables) -> DataFrame:
     return matching.name_classes(_people(t), "name").select("id", "surname", F.array_join("initials", " ").alias("initials"))
 
 
+@query(
+    f"""WITH {_CLASSES}, c AS (SELECT surname, initials, count(*) AS n, min(id) AS class_id FROM k GROUP BY ALL),
+             l AS (SELECT a.surname, a.initials, a.class_id, sum(b.n)::BIGINT - 1 AS links FROM c a JOIN c b ON a.surname = b.surname
+                   AND (a.initials = b.initials OR len(a.initials) = 0 OR len(b.initials) = 0 OR len(list_intersect(a.initials, b.initials)) > 0) GROUP BY ALL)
+        SELECT id, class_id, links FROM k JOIN l ON k.surname = l.surname AND k.initials = l.initials"""
+)
+def name_match_join(t: Tables) -> DataFrame:
+    """Same surname and no given name on one side, or an initial in common: every customer's class of equal names, by its
+    smallest id, and how many other customers match."""
+    return matching.name_match_counts(matching.name_classes(_people(t), "name"), "id").select("id", "class_id", "links")
+
+
 @query(
     f"""WITH {_CLASSES}, c AS (SELECT DISTINCT surname, initials FROM k)
         SELECT a.surname, array_to_string(a.initials, ' ') AS left_initials, array_to_string(b.initials, ' ') AS right_initials FROM c a JOIN c b ON a.surname = b.surname AND a.initials < b.initials
@@ -179,44 +175,34 @@ def zip_arrays(t: Tables) -> DataFrame:
 
 
 @query(
-    r"""WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+')[1:4] AS a, regexp_extract_all(text, '[^\x20\x09-\x0D]+')[5:8] AS b FROM documents),
+    r"""WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS a, list_reverse(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS b FROM documents),
             h AS (SELECT doc_id, list_transform(a, lambda x: CASE WHEN length(x) >= 4 THEN x END) AS a, b FROM w)
        SELECT doc_id, array_to_string(list_transform(range(1, least(len(a), len(b)) + 1), lambda i: coalesce(a[i], b[i])), ' ') AS filled FROM h"""
 )
 def zip_fill(t: Tables) -> DataFrame:
     """Holes of a list filled from a second one at the same position, up to the shorter."""
     words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    rows = t.documents.select("doc_id", F.transform(F.slice(words, 1, 4), lambda x: F.when(F.length(x) >= 4, x)).alias("a"), F.slice(words, 5, 4).alias("b"))
+    rows = t.documents.select("doc_id", F.transform(words, lambda x: F.when(F.length(x) >= 4, x)).alias("a"), F.reverse(words).alias("b"))
     return rows.select("doc_id", F.array_join(matching.filled("a", "b"), " ").alias("filled"))
 
 
-_EDGES = """(SELECT a.l_orderkey AS cited, b.l_orderkey AS citing FROM (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_orderkey <= 400) a JOIN (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_orderkey <= 800) b ON b.l_orderkey = 2 * a.l_orderkey OR b.l_orderkey = a.l_orderkey + 1)"""
-
-
-@query(
-    f"""WITH p AS (SELECT l_orderkey AS id, list(DISTINCT l_suppkey) AS authors FROM lineitem GROUP BY 1), e AS {_EDGES}
+_CITATIONS = """WITH p AS (SELECT l_orderkey AS id, list(DISTINCT l_suppkey) AS authors FROM lineitem GROUP BY 1), e AS (SELECT id AS cited, 2 * id AS citing FROM p UNION SELECT id, id + 1 FROM p)
         SELECT e.cited, count(*) AS total, count(*) FILTER (len(list_intersect(c.authors, g.authors)) = 0) AS non_self
         FROM e JOIN p c ON e.cited = c.id JOIN p g ON e.citing = g.id GROUP BY e.cited"""
-)
+
+
+@query(_CITATIONS)
 def self_citation(t: Tables) -> DataFrame:
     """Citations of each paper, and those from works without a common author."""
     papers = t.lineitem.groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set("l_suppkey").alias("authors"))
-    ids = t.lineitem.select("l_orderkey").distinct()
-    cited, citing = ids.filter("l_orderkey <= 400").withColumnRenamed("l_orderkey", "cited"), ids.filter("l_orderkey <= 800").withColumnRenamed("l_orderkey", "citing")
-    wanted = cited.select("cited", F.explode(F.array_distinct(F.array(2 * F.col("cited"), F.col("cited") + 1))).alias("citing"))
-    return matching.citation_counts(wanted.join(citing, "citing"), papers)
+    wanted = papers.select(F.col("id").alias("cited"), F.explode(F.array_distinct(F.array(2 * F.col("id"), F.col("id") + 1))).alias("citing"))
+    return matching.citation_counts(wanted, papers)
 
 
-@query(
-    """WITH p AS (SELECT l_orderkey AS id, list(DISTINCT l_suppkey) AS authors FROM lineitem GROUP BY 1), e AS (SELECT id AS cited, 2 * id AS citing FROM p UNION SELECT id, id + 1 FROM p)
-        SELECT e.cited, count(*) AS total, count(*) FILTER (len(list_intersect(c.authors, g.authors)) = 0) AS non_self
-        FROM e JOIN p c ON e.cited = c.id JOIN p g ON e.citing = g.id GROUP BY e.cited"""
-)
+@query(_CITATIONS)
 def self_citation_all(t: Tables) -> DataFrame:
-    """``self_citation`` over the papers of the whole table."""
-    papers = t.lineitem.groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set("l_suppkey").alias("authors"))
-    wanted = papers.select(F.col("id").alias("cited"), F.explode(F.array_distinct(F.array(2 * F.col("id"), F.col("id") + 1))).alias("citing"))
-    return matching.citation_counts(wanted, papers)
+    """The same as ``self_citation``, under the name that it had when that read a part of the table."""
+    return self_citation(t)
 
 
 @query(
@@ -238,14 +224,14 @@ def pair_coords(t: Tables) -> DataFrame:
 
 
 @query(
-    """WITH s AS (SELECT conv_id, turn, role, CASE WHEN length(text) >= 60 THEN left(text, 5) END AS aff FROM conversations),
-            k AS (SELECT role, min(left(text, 5)) AS known FROM conversations WHERE trim(text) <> '' GROUP BY role)
+    """WITH s AS (SELECT conv_id, turn, role, CASE WHEN length(text) >= 60 THEN text END AS aff FROM conversations),
+            k AS (SELECT role, min(text) AS known FROM conversations WHERE trim(text) <> '' GROUP BY role)
        SELECT conv_id, string_agg(coalesce(aff, known, '?'), '|' ORDER BY turn) AS affs FROM s LEFT JOIN k USING (role) GROUP BY conv_id"""
 )
 def fill_slots(t: Tables) -> DataFrame:
     """Holes of a list filled by author from a lookup, and the list put together in its order."""
-    rows = t.conversations.select("conv_id", "turn", "role", F.when(F.length("text") >= 60, F.left("text", F.lit(5))).alias("aff"))
-    lookup = t.conversations.filter(F.trim("text") != "").groupBy("role").agg(F.min(F.left("text", F.lit(5))).alias("known"))
+    rows = t.conversations.select("conv_id", "turn", "role", F.when(F.length("text") >= 60, F.col("text")).alias("aff"))
+    lookup = t.conversations.filter(F.trim("text") != "").groupBy("role").agg(F.min("text").alias("known"))
     full = rows.join(lookup, "role", "left").withColumn("x", F.coalesce("aff", "known", F.lit("?")))
     return full.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "x"))), lambda s: s["x"]), "|").alias("affs"))
 

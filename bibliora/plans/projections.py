@@ -72,13 +72,13 @@ def substring_search(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""WITH a AS (SELECT doc_id, list_transform({_WORDS}[1:5], lambda x: CASE WHEN length(x) < 3 THEN NULL ELSE x END) AS slots FROM documents)
+    f"""WITH a AS (SELECT doc_id, list_transform({_WORDS}, lambda x: CASE WHEN length(x) < 3 THEN NULL ELSE x END) AS slots FROM documents)
         SELECT doc_id, slots IS NULL OR len(list_filter(slots, lambda x: x IS NULL)) > 0 AS has_hole,
                slots IS NOT NULL AND len(list_filter(slots, lambda x: x IS NULL)) = 0 AS is_full,
                len(list_filter(slots, lambda x: x IS NULL))::INTEGER AS n_holes FROM a"""
 )
 def null_slots(t: Tables) -> DataFrame:
-    words = F.slice(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), 1, 5)
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
     slots = F.transform(words, lambda x: F.when(F.length(x) >= 3, x))
     rows = t.documents.select("doc_id", slots.alias("slots"))
     return rows.select("doc_id", cleaning.has_hole(F.col("slots")).alias("has_hole"), cleaning.is_full(F.col("slots")).alias("is_full"), cleaning.holes(F.col("slots")).alias("n_holes"))

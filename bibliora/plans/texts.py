@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
-from ..operators import dictionaries
+from ..operators import dictionaries, inference
 from .registry import Tables, query
 
 _WORDS = r"[^\x20\x09-\x0D]+"
@@ -109,10 +109,10 @@ def clean_keywords(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", fn.clean_keywords(raw).alias("keywords"))
 
 
-@query("SELECT doc_id, replace(replace(left(text, 200), 'the', 'THE'), 'an', 'AN') AS literal FROM documents")
+@query("SELECT doc_id, replace(replace(text, 'the', 'THE'), 'an', 'AN') AS literal FROM documents")
 def term_rewrite(t: Tables) -> DataFrame:
     """Literal replacement, which also changes parts of words."""
-    return t.documents.select("doc_id", fn.rewritten(F.left("text", F.lit(200)), {"the": "THE", "an": "AN"}, whole_words=False).alias("literal"))
+    return t.documents.select("doc_id", fn.rewritten(F.col("text"), {"the": "THE", "an": "AN"}, whole_words=False).alias("literal"))
 
 
 @query(r"SELECT p_partkey, regexp_replace(regexp_replace(p_name, '\bred\b', 'crimson', 'g'), '\bblue\b', 'azure', 'g') AS words FROM part")
@@ -152,7 +152,7 @@ def extract_pairs(t: Tables) -> DataFrame:
 
 @query("SELECT round(quantile_cont(value, 0.1), 6) AS p10, round(quantile_cont(value, 0.25), 6) AS p25, round(quantile_cont(value, 0.75), 6) AS p75, round(quantile_cont(value, 0.9), 6) AS p90 FROM events")
 def value_percentiles(t: Tables) -> DataFrame:
-    cuts = t.events.agg(F.percentile("value", F.array(*map(F.lit, (0.1, 0.25, 0.75, 0.9)))).alias("p"))
+    cuts = inference.quantiles(t.events, "value", [0.1, 0.25, 0.75, 0.9], "p")
     return cuts.select(*[F.round(F.col("p")[k], 6).alias(n) for k, n in enumerate(("p10", "p25", "p75", "p90"))])
 
 

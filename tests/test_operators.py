@@ -1,5 +1,8 @@
 import ast
+import random
+import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -201,3 +204,44 @@ def test_front_matter_column_and_filling(spark):
     papers = spark.createDataFrame([(1, ["Ann One", "B. Two", "The X Collaboration", "Q Z"], [None, "Known", None, None]), (2, ["A", "B"], ["P", None])], "k int, authors array<string>, affiliations array<string>")
     parsed = spark.createDataFrame([(1, "A. One", ["U", "V"])], "k int, author string, affiliations array<string>")
     assert {r.k: r.affiliations for r in front_matter.fill_affiliations(papers, parsed, "k").collect()} == {1: ["U; V", "Known", "U; V", None], 2: ["P", "P"]}
+
+
+@pytest.mark.parametrize("part", [1000, 50_000])
+def test_a_dictionary_of_thousands_of_terms_equals_brute_force(spark, monkeypatch, part):
+    rng = random.Random(5)
+    monkeypatch.setattr(dictionaries, "PART_TERMS", part)
+    names = sorted({" ".join(f"w{rng.randrange(400)}" for _ in range(rng.randrange(1, 4))) for _ in range(3000)})
+    texts = [(k, " ".join(rng.choice(["w", "W"]) + f"{rng.randrange(400)}" + rng.choice(["", ",", "_x"]) for _ in range(80))) for k in range(30)] + [(30, None), (31, "")]
+    rows = spark.createDataFrame(texts, "k int, t string")
+    found = dictionaries.matches(rows, ["t"], dictionaries.terms(spark, [(n, i) for i, n in enumerate(names)]))
+    expected = {(k, n, len(hits)) for k, t in texts if t for n in names if (hits := re.findall(rf"(?<!\w){re.escape(n)}(?!\w)", t.lower()))}
+    assert {(r.k, r.term, r.hits) for r in found.collect()} == expected
+    assert len(expected) > 1000
+
+
+def test_titles_meet_by_their_rarest_words(spark):
+    rng = random.Random(6)
+    titles = [(k, sorted({f"w{min(rng.randrange(60), rng.randrange(60))}" for _ in range(rng.randrange(1, 9))})) for k in range(120)] + [(120, [])]
+    rows = spark.createDataFrame(titles, "q int, words array<string>")
+    found = matching.all_title_matches(rows, "q", rows.withColumnRenamed("q", "c"), "c")
+    expected = {(a, b, len(set(x) & set(y))) for a, x in titles for b, y in titles if x and len(set(x) & set(y)) >= min(3, len(x))}
+    assert {tuple(r) for r in found.collect()} == expected
+
+
+def test_quantiles_without_one_task_for_all_values(spark):
+    values = [3.0, 1.0, 1.0, 8.0, None, 2.5, 7.0]
+    rows = spark.createDataFrame([(v,) for v in values], "v double")
+    shares = [0.0, 0.1, 0.5, 0.75, 1.0]
+    found = inference.quantiles(rows, "v", shares, "p").first().p
+    assert found == pytest.approx(np.quantile([v for v in values if v is not None], shares).tolist())
+    assert inference.quantiles(rows.limit(0), "v", [0.5], "p").first().p == [None]
+
+
+def test_customers_with_matching_names_are_counted(spark):
+    names = ["Ann B. Lee", "A. Lee", "Lee", "Bob Lee", "Lee", "C D Roe", "D. Roe", "E Roe", None, ""]
+    rows = spark.createDataFrame(list(enumerate(names)), "id int, name string")
+    found = {r.id: (r.class_id, r.links) for r in matching.name_match_counts(matching.name_classes(rows, "name"), "id").collect()}
+    pairs = matching.name_matches(rows.withColumnRenamed("id", "a"), rows.withColumnRenamed("id", "b"), "name").filter("a <> b").groupBy("a").count()
+    links = {r.a: r["count"] for r in pairs.collect()}
+    assert {k: n for k, (_, n) in found.items()} == {k: links.get(k, 0) for k in range(8)}
+    assert found[4][0] == 2
