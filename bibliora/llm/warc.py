@@ -10,8 +10,8 @@ follow each other, so the capture histories are ordered as a whole. Files are wr
 renamed when complete, so that a repeated task leaves one whole file.
 
 Paths are URIs that pyarrow's file systems open, or plain paths. Defined results: null html is an empty payload; a
-null URL has an empty URL key; pages with one page_id are records of their own, and of those with equal payloads all
-but one revisit; a null page_id is written as ``none`` and read as null; an empty table gives no files and an empty
+null URL has an empty URL key; pages with one page_id are records of their own, and if it is the largest of those with
+an equal payload, all of them are responses; a null page_id is written as ``none`` and read as null; an empty table gives no files and an empty
 index; other columns are not read.
 """
 
@@ -34,8 +34,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .hot_keys import join_aggregate
+from .words import slices
 
-LEAST_REVISIT, LEVEL, READ_BLOCK, EPOCH = 1000, 1, 32 << 20, datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc)
+LEAST_REVISIT, LEVEL, READ_BLOCK, SLICE_BYTES, EPOCH = 1000, 1, 32 << 20, 4 << 20, datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc)
 CAPTURE = "url_key string, timestamp string, url string, page_id long, record_type string, file string, offset long, length long"
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
@@ -126,15 +127,14 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
         files.create_dir(base, recursive=True)
         name, draft = f"pages-{number:06d}.warc.gz", f"{base}/.draft-{number:06d}-{uuid.uuid4().hex}"
         captures, offset, sink = [], 0, None
-        for batch in batches:
-            for page in batch.to_pylist():
-                raw, stamp = _record(page)
-                member = gzip.compress(raw, LEVEL, mtime=0)
-                sink = sink or files.open_output_stream(draft)
-                sink.write(member)
-                url = page["url"] or ""
-                captures.append((url_key(url), stamp, url, page["page_id"], "response" if page["refers_to"] is None else "revisit", name, offset, len(member), number))
-                offset += len(member)
+        for page in (page for batch in batches for part in slices(batch, "html", SLICE_BYTES) for page in part.to_pylist()):
+            raw, stamp = _record(page)
+            member = gzip.compress(raw, LEVEL, mtime=0)
+            sink = sink or files.open_output_stream(draft)
+            sink.write(member)
+            url = page["url"] or ""
+            captures.append((url_key(url), stamp, url, page["page_id"], "response" if page["refers_to"] is None else "revisit", name, offset, len(member), number))
+            offset += len(member)
         if sink:
             sink.close()
             files.move(draft, f"{base}/{name}")
