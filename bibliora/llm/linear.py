@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .words import mix
+#: Odd factors of a multiplicative hash of n-grams: one for the bucket, and one for each place.
+_FACTORS = np.random.default_rng(11).integers(0, 1 << 31, 9, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 def hash_order(key: Column) -> Column:
@@ -77,28 +78,24 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return points, np.concatenate([[0], np.cumsum(sizes)])
 
 
-def ngram_buckets(points: np.ndarray, first: np.ndarray, sizes: tuple[int, ...], buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each size the hash buckets of the character n-grams and the text that each is in."""
-    hashed = mix(points.astype(np.uint64) + np.uint64(0x9E37))
-    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    for n in sizes:
-        if len(points) < n:
-            continue
-        many = len(points) - n + 1
-        value = np.full(many, n, np.uint64)
-        for k in range(n):
-            value = value * np.uint64(0xD6E8FEB86659FD93) + hashed[k : k + many]
-        inside = text[:many] == text[n - 1 :]
-        yield (mix(value)[inside] % np.uint64(buckets)).astype(np.int64), text[:many][inside]
-
-
 def count_matrix(texts: list[str], sizes: tuple[int, ...], buckets: int) -> np.ndarray:
-    """Counts of n-gram buckets, a row per text."""
+    """Counts of the hash buckets of all character n-grams, a row per text; ``buckets`` is a power of two."""
     points, first = code_points(texts)
-    counts = np.zeros(len(texts) * buckets, np.float32)
-    for bucket, text in ngram_buckets(points, first, sizes, buckets):
-        counts += np.bincount(text * buckets + bucket, minlength=len(counts))
-    return counts.reshape(len(texts), buckets)
+    row = np.repeat(np.arange(len(texts)) * buckets, np.diff(first))
+    counts = np.zeros(len(texts) * buckets + 1, np.float32)
+    value = np.zeros(len(points), np.uint32)
+    for n in range(1, max(sizes) + 1):
+        many = len(points) - n + 1
+        if many < 1:
+            break
+        value = value[:many] + points[n - 1 :] * _FACTORS[n]
+        if n in sizes:
+            bucket = ((value + _FACTORS[0] * np.uint32(n)) * _FACTORS[0]) >> np.uint32(33 - buckets.bit_length())
+            at = row[:many] + bucket
+            across = (first[1:, None] - np.arange(1, n)).ravel()  # n-grams that go on in the next text
+            at[across[across < many]] = len(counts) - 1
+            counts += np.bincount(at, minlength=len(counts))
+    return counts[:-1].reshape(len(texts), buckets)
 
 
 def by_length(batch: pa.RecordBatch, column: str, most: int = 32, size: int = 1 << 19) -> Iterator[pa.RecordBatch]:

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .linear import by_length, count_matrix, every_fifth, follow_the_leader, hash_order, rows_of, sample_per_label
+from .words import text_bytes, word_hashes, word_spans
 from .workspace import discard, saved
 
 SIZES, BUCKETS, SAMPLE = (2, 3), 2048, 3000
@@ -35,27 +36,72 @@ SOURCES, LANGUAGES = 64, 16
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _letters_and_digits(text: str) -> tuple[int, int]:
-    if text.isascii():
-        plain = text.encode()
-        return tuple(len(plain) - len(plain.translate(None, kind.encode())) for kind in (string.ascii_letters, string.digits))
-    return sum(map(str.isalpha, text)), sum(map(str.isdigit, text))
+def _kinds_of_bytes() -> np.ndarray:
+    kinds = np.zeros(256, np.uint8)
+    for bit, letters in ((UPPER, string.ascii_uppercase), (LOWER, string.ascii_lowercase), (DIGIT, string.digits), (PLAIN_END, string.ascii_letters + string.digits + ".,;:")):
+        kinds[np.frombuffer(letters.encode(), np.uint8)] |= bit
+    kinds[0xC0:] |= BEYOND  # the first byte of a character beyond ASCII, which counts as a letter
+    kinds[0x80:] |= PLAIN_END
+    kinds[:0x80] |= START
+    kinds[0xC0:] |= START
+    return kinds
+
+
+UPPER, LOWER, DIGIT, PLAIN_END, BEYOND, START = (1 << k for k in range(6))
+_KINDS = _kinds_of_bytes()
+
+
+def _of_each(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of a row of values over the parts that start at ``first`` (with the end of the last)."""
+    return np.diff(np.concatenate([[0], np.cumsum(values, dtype=np.int64)])[first])
+
+
+def _distinct(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """How many different values each part has: values and parts are sorted as one number, a few bits of the hash less."""
+    bits = np.uint64((len(first) - 1).bit_length())
+    part = np.repeat(np.arange(len(first) - 1).astype(np.uint64), np.diff(first))
+    ordered = np.sort(hashes >> bits | part << (np.uint64(64) - bits))
+    new = np.ones(len(hashes), np.int64)
+    new[1:] = ordered[1:] != ordered[:-1]
+    return _of_each(new, first)
+
+
+def word_shapes(texts: list[str]) -> np.ndarray:
+    """How words look, a row per text: a constant, shares of shouted words, of words that end in symbols, of different
+    words and of different word pairs, shares of letters and digits, and the length of words."""
+    data, offsets = text_bytes(pa.array(texts, pa.string()))
+    starts, ends, first = word_spans(data, offsets)
+    hashes, kinds = word_hashes(data, starts, ends), _KINDS[data]
+    words, many = np.diff(first), np.maximum(np.diff(first), 1)
+    chars = np.maximum(_of_each(kinds & START > 0, offsets), 1)
+    seen = lambda bit: np.concatenate([[0], np.cumsum(kinds & bit > 0)])
+    upper, lower = seen(UPPER), seen(LOWER | BEYOND)
+    shouted = (upper[ends] > upper[starts]) & (lower[ends] == lower[starts])
+    odd = kinds[ends - 1] & PLAIN_END == 0
+    pairs = np.maximum(words - 1, 0)
+    inside = np.ones(max(len(hashes) - 1, 0), bool)  # pairs that don't reach into the next text
+    last = first[1:] - 1
+    inside[last[(last >= 0) & (last < len(inside)) & (words > 0)]] = False
+    two = (hashes[:-1] * np.uint64(0xD6E8FEB86659FD93) + hashes[1:])[inside]
+    pair_first = np.concatenate([[0], np.cumsum(pairs)])
+    columns = [
+        np.ones(len(texts)),
+        _of_each(shouted, first) / many,
+        _of_each(odd, first) / many,
+        _distinct(hashes, first) / many,
+        _distinct(two, pair_first) / np.maximum(pairs, 1),
+        _of_each(kinds & (UPPER | LOWER | BEYOND) > 0, offsets) / chars,
+        _of_each(kinds & DIGIT > 0, offsets) / chars,
+        np.minimum(chars / many / 10, 3.0),
+    ]
+    return np.stack(columns, axis=1).astype(np.float32)
 
 
 def text_view(texts: list[str]) -> np.ndarray:
     """Features of what is written, a row per text."""
     counts = np.log1p(count_matrix(texts, SIZES, BUCKETS))
     counts /= np.maximum(np.linalg.norm(counts, axis=1, keepdims=True), 1e-9)
-    rows = []
-    for text in texts:
-        words = text.split()
-        many, chars = max(len(words), 1), max(len(text), 1)
-        shouting = sum(map(str.isupper, words)) / many
-        odd_ends = sum(not w[-1].isalnum() and w[-1] not in ".,;:" for w in words) / many
-        pairs = list(zip(words, words[1:], strict=False))
-        letters, digits = _letters_and_digits(text)
-        rows.append([1.0, shouting, odd_ends, len(set(words)) / many, len(set(pairs)) / max(len(pairs), 1), letters / chars, digits / chars, min(chars / many / 10, 3.0)])
-    return np.hstack([counts, np.array(rows, np.float32).reshape(len(texts), 8)])
+    return np.hstack([counts, word_shapes(texts)])
 
 
 def metadata_view(texts: list[str], languages: list, sources: list, sizes: list) -> np.ndarray:
