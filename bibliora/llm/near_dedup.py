@@ -84,7 +84,7 @@ def superminhash(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def _signed(documents: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, p, q, bands): set size, 128-bit fingerprint of the set, and a key per band."""
+    """(doc_id, text_hash, n_shingles, p, q, bands): set size, 128-bit fingerprint of the set, and a key per band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = mix(np.arange(1, BANDS + 1).astype(np.uint64))
@@ -99,9 +99,11 @@ def _signed(documents: DataFrame, n: int) -> DataFrame:
                 for k in range(ROWS):
                     keys = mix(keys * np.uint64(0xD6E8FEB86659FD93) + rows[:, :, k])
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * BANDS, pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes.astype(np.int64)), pa.array(p.view(np.int64)), pa.array(q.view(np.int64)), lists], names=["doc_id", "n_shingles", "p", "q", "bands"])
+                columns = [part.column("doc_id"), part.column("text_hash"), pa.array(sizes.astype(np.int64)), pa.array(p.view(np.int64)), pa.array(q.view(np.int64)), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "n_shingles", "p", "q", "bands"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, p long, q long, bands array<long>")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, p long, q long, bands array<long>")
 
 
 def _sets(documents: DataFrame, n: int) -> DataFrame:
@@ -178,10 +180,10 @@ def links_between_groups(families: DataFrame, sets: DataFrame, percent: int) ->
 
 
 def near_duplicate_groups(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of ``documents`` (doc_id, text).
+    """(doc_id, n_shingles, component_id, kept, text_hash) of every row of ``documents`` (doc_id, text).
 
     component_id is the smallest doc_id that links reach, the row's own included; kept marks the one row of a
-    component that has it.
+    component that has it. text_hash is xxhash64 of the text, which tells rows of one doc_id from each other.
     """
     signed = saved(_signed(documents, n), "signatures")
     classes = saved(signed.filter("n_shingles > 0").groupBy("n_shingles", "p", "q").agg(F.min("doc_id").alias("rep")).filter("rep IS NOT NULL"), "classes")
@@ -208,6 +210,6 @@ def near_duplicate_groups(documents: DataFrame, n: int = 5, percent: int = 80) -
     return (
         signed.drop("bands")
         .join(of_class, ["n_shingles", "p", "q"], "left")
-        .select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+        .select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"), "text_hash")
+        .select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "text_hash")
     )

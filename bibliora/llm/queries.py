@@ -22,7 +22,7 @@ def op1_co_trained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_superminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicate_groups(_table(spark, sf_dir, "documents"), n=4, percent=80)
+    return near_dedup.near_duplicate_groups(_table(spark, sf_dir, "documents"), n=4, percent=80).drop("text_hash")
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

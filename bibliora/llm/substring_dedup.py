@@ -22,7 +22,7 @@ passages are told by a 64-bit hash.
 
 Defined results: a null or empty text has no words and the digest of the empty text; rows with one doc_id are not
 earlier than each other; rows with a null doc_id are never removed from and never earlier; an empty table gives an
-empty result; other columns are not read by ``repeated_passages`` and kept by ``without_repeats``.
+empty result; rows with one doc_id and different texts are judged each by itself; other columns are not read by ``repeated_passages`` and kept by ``without_repeats``.
 """
 
 from __future__ import annotations
@@ -45,7 +45,7 @@ WINDOW, GRAM, LONGEST_RUN = 50, 12, 64
 #: Only where windows meet depends on these: an anchor of over HOT runs is passed over, of which there may be MOST_HOT;
 #: a shard's passages are indexed in parts of whole anchors with about SHARD_WORDS words.
 HOT, MOST_HOT, SHARD_WORDS = 2000, 100_000, 600_000
-RUN = "anchor long, doc_id long, start int, n int, passage long"
+RUN = "anchor long, doc_id long, version long, start int, n int, passage long"
 
 
 def _words(column: pa.Array, hashed: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -106,8 +106,8 @@ def _runs(documents: DataFrame, window: int, hot: np.ndarray | None = None) -> D
                 anchor, text, start, n = anchor_runs(words, first, window, hot)
                 at = first[text] + start
                 passage = span_hashes(words, at, at + n + window - 1).view(np.int64)
-                columns = [pa.array(anchor), part.column("doc_id").take(pa.array(text)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(passage)]
-                yield pa.RecordBatch.from_arrays(columns, names=["anchor", "doc_id", "start", "n", "passage"])
+                columns = [pa.array(anchor), *(part.column(c).take(pa.array(text)) for c in ("doc_id", "version")), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(passage)]
+                yield pa.RecordBatch.from_arrays(columns, names=["anchor", "doc_id", "version", "start", "n", "passage"])
 
     return documents.mapInArrow(run, RUN)
 
@@ -125,7 +125,7 @@ def _all_runs(texts: DataFrame, window: int) -> list[DataFrame]:
 
 
 def _passages(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """(anchor, doc_id, passage, start, n, words) of each run; words only where this task has not just sent them."""
+    """(anchor, doc_id, version, passage, start, n, words) of each run; words only where this task has not just sent them."""
     sent: set[tuple[int, int]] = set()
     for batch in batches:
         for part in slices(batch, "text"):
@@ -136,14 +136,15 @@ def _passages(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Rec
             row = np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths()))
             start, n = runs.field("start").to_numpy(), runs.field("n").to_numpy()
             at = first[row] + start
-            docs, names = part.column("doc_id").take(pa.array(row)), runs.field("passage")
+            (docs, versions), names = (part.column(c).take(pa.array(row)) for c in ("doc_id", "version")), runs.field("passage")
             contents = []
             for key, a, b in zip(zip(docs.to_pylist(), names.to_pylist(), strict=True), starts[at].tolist(), ends[at + n + window - 2].tolist(), strict=True):
                 contents.append(None if key in sent else data[a:b])
                 sent.add(key)
             if len(sent) > 500_000:
                 sent.clear()
-            yield pa.RecordBatch.from_arrays([runs.field("anchor"), docs, names, runs.field("start"), runs.field("n"), pa.array(contents, pa.binary())], names=["anchor", "doc_id", "passage", "start", "n", "words"])
+            columns = [runs.field("anchor"), docs, versions, names, runs.field("start"), runs.field("n"), pa.array(contents, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["anchor", "doc_id", "version", "passage", "start", "n", "words"])
 
 
 def _by_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -188,7 +189,8 @@ def _shard(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Record
         opens = repeated & ~np.concatenate([[False], repeated[:-1] & (run[1:] == run[:-1])])
         closes = repeated & ~np.concatenate([repeated[1:] & (run[1:] == run[:-1]), [False]])
         a, b = np.flatnonzero(opens), np.flatnonzero(closes)
-        yield pa.RecordBatch.from_arrays([pa.array(doc[run[a]]), pa.array((start[run[a]] + offset[a]).astype(np.int32)), pa.array((start[run[b]] + offset[b] + window).astype(np.int32))], names=["doc_id", "a", "b"])
+        versions = table.column("version").take(pa.array(run[a])).combine_chunks()
+        yield pa.RecordBatch.from_arrays([pa.array(doc[run[a]]), versions, pa.array((start[run[a]] + offset[a]).astype(np.int32)), pa.array((start[run[b]] + offset[b] + window).astype(np.int32))], names=["doc_id", "version", "a", "b"])
 
 
 def _found(contents: list[bytes], anchor: np.ndarray, number: np.ndarray, doc: np.ndarray, n: np.ndarray, window: int) -> np.ndarray:
@@ -244,9 +246,10 @@ def _places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def repeated_passages(documents: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, intervals) of the documents with words to remove, as word intervals [a, b) that may overlap; and the texts read."""
+    """(doc_id, version, intervals) of the texts with words to remove, as word intervals [a, b) that may overlap; and the
+    texts read (doc_id, text, version). The version, a hash of the text, tells different texts of one doc_id apart."""
     spark = documents.sparkSession
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("version")).filter("doc_id IS NOT NULL")
     tables = _all_runs(texts, window)
     runs = reduce(DataFrame.unionByName, tables)
     anchors = runs.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
@@ -257,12 +260,12 @@ def repeated_passages(documents: DataFrame, window: int = WINDOW) -> tuple[DataF
     discard(shared)
     firsts = rows.filter("doc_id = lo")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), firsts.count() // 50_000)
-    lists = firsts.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "passage", "start", "n")).alias("runs"))
-    passages = texts.join(lists, "doc_id").mapInArrow(lambda b: _passages(b, window), "anchor long, doc_id long, passage long, start int, n int, words binary")
+    lists = firsts.groupBy("doc_id", "version").agg(F.collect_set(F.struct("anchor", "passage", "start", "n")).alias("runs"))
+    passages = texts.join(lists, ["doc_id", "version"]).mapInArrow(lambda b: _passages(b, window), "anchor long, doc_id long, version long, passage long, start int, n int, words binary")
     sharded = passages.repartition(parts, "anchor").sortWithinPartitions("anchor", "doc_id", "passage", F.isnull("words"))
-    found = sharded.mapInArrow(lambda b: _shard(b, window), "doc_id long, a int, b int")
-    copies = rows.filter("doc_id > lo").select("doc_id", F.col("start").alias("a"), (F.col("start") + F.col("n") + (window - 1)).alias("b"))
-    return found.union(copies).groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("intervals")), texts
+    found = sharded.mapInArrow(lambda b: _shard(b, window), "doc_id long, version long, a int, b int")
+    copies = rows.filter("doc_id > lo").select("doc_id", "version", F.col("start").alias("a"), (F.col("start") + F.col("n") + (window - 1)).alias("b"))
+    return found.union(copies).groupBy("doc_id", "version").agg(F.collect_set(F.struct("a", "b")).alias("intervals")), texts
 
 
 def _kept_words(part: pa.RecordBatch, column: str = "intervals") -> Iterator[tuple[list[bytes], int]]:
@@ -284,7 +287,7 @@ def removal_digests(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every row of ``documents``."""
     intervals, texts = repeated_passages(documents, window)
     unnamed = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NULL")
-    rows = texts.join(intervals, "doc_id", "left").unionByName(unnamed, allowMissingColumns=True)
+    rows = texts.join(intervals, ["doc_id", "version"], "left").unionByName(unnamed, allowMissingColumns=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -304,8 +307,9 @@ def without_repeats(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     intervals, _ = repeated_passages(documents, window)
     names = documents.columns
     at = names.index("text")
-    found = intervals.toDF("__doc", "__intervals")
-    rows = documents.join(found, documents["doc_id"].cast("long") == F.col("__doc"), "left").drop("__doc")
+    found = intervals.toDF("__doc", "__version", "__intervals")
+    same = (documents["doc_id"].cast("long") == F.col("__doc")) & (F.xxhash64(documents["text"]) == F.col("__version"))
+    rows = documents.join(found, same, "left").drop("__doc", "__version")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -94,3 +94,12 @@ def test_stages_of_an_empty_table(spark, folder):
     docs = spark.createDataFrame([], COLUMNS)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, folder).isEmpty()
+
+
+def test_near_dedup_stage_keeps_different_texts_of_one_id(spark):
+    text, other = " ".join(map(str, range(40))), " ".join(f"o{k}" for k in range(40))
+    rows = [(3, text, "en", "s", 1), (5, text, "en", "s", 1), (5, other, "en", "s", 2), (5, other, "de", "s", 2), (None, text, None, None, None)]
+    docs = spark.createDataFrame(rows, COLUMNS)
+    found = [[tuple(r) for r in corpus_pipeline.drop_near_copies(spark, docs.repartition(k), "").collect()] for k in (1, 3)]
+    assert sorted((r[0] or 0, r[1]) for r in found[0]) == [(0, text), (3, text), (5, other)]
+    assert sorted(map(str, found[0])) == sorted(map(str, found[1]))

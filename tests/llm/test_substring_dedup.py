@@ -53,7 +53,8 @@ def rows_of_a_shard(rng, window=8):
         expected |= {(doc, start + k) for k in range(n) if first[tuple(content.split()[k : k + window])] < doc}
     names = ["anchor", "doc_id", "passage", "start", "n", "words"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-    return pa.table({name: pa.array(column, kind) for name, kind, column in zip(names, kinds, zip(*rows, strict=True), strict=True)}), expected
+    table = pa.table({name: pa.array(column, kind) for name, kind, column in zip(names, kinds, zip(*rows, strict=True), strict=True)})
+    return table.append_column("version", table.column("doc_id")), expected
 
 
 @pytest.mark.parametrize("most", [1, 60, 10_000])
@@ -86,6 +87,15 @@ def test_empty_table_and_null_ids(spark, nothing):
     assert sorted((r.doc_id or -1, r.n_removed) for r in rows) == [(-1, 0), (3, 0), (5, 60)]
 
 
+def test_different_texts_of_one_id_are_judged_each_by_itself(spark):
+    text = " ".join(map(str, range(70)))
+    rows = [(4, text), (7, text), (7, "short " + text[:20]), (7, "x " * 90 + text + " y"), (7, text), (2, "z " * 55)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in substring_dedup.removal_digests(documents).collect()) == brute_force(rows)
+    kept = sorted((r.doc_id, len(r.text.split())) for r in substring_dedup.without_repeats(documents).collect())
+    assert kept == sorted((d, n - gone) for d, n, gone, _ in brute_force(rows))
+
+
 def test_wavelet_tree_counts_and_is_small():
     rng = np.random.default_rng(2)
     values = np.minimum(rng.geometric(0.4, 5000), 40)
