@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bibliora.llm import mixing, near_dedup, quality, substring_dedup, tokenization
@@ -44,11 +44,16 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: the one with the smallest doc_id. Five-word shingles, similarity 0.8.
 
-    Of rows with one doc_id, which are one document, one row stays.
+    Of rows with one doc_id and one text the first stays, in the order of a hash of all columns. Rows with one doc_id and
+    different texts are judged each by its own text.
     """
-    dropped = near_dedup.near_duplicate_groups(docs, n=5, percent=80).filter("NOT kept").select("doc_id")
-    kept = docs.join(dropped.distinct(), "doc_id", "left_anti").select(docs.columns)
-    return kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).union(kept.filter("doc_id IS NULL"))
+    groups = near_dedup.near_duplicate_groups(docs, n=5, percent=80)
+    dropped = groups.filter("NOT kept").select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash")).distinct()
+    rows = docs.withColumn("__text_hash", F.xxhash64("text"))
+    kept = rows.join(dropped, (rows["doc_id"].cast("long") == F.col("__doc")) & (rows["__text_hash"] == F.col("__hash")), "left_anti")
+    copies = Window.partitionBy("doc_id", "__text_hash").orderBy(F.xxhash64(*docs.columns))
+    first = F.when(F.col("doc_id").isNotNull(), F.row_number().over(copies)).otherwise(1)
+    return kept.withColumn("__place", first).filter("__place = 1").select(docs.columns)
 
 
 @_small_batches
