@@ -48,3 +48,9 @@ def holes(slots: Column) -> Column:
 def contains_any(text: Column, *parts: str) -> Column:
     """Whether a text contains any of the parts."""
     return reduce(lambda a, b: a | b, [text.contains(p) for p in parts])
+
+
+def bare_keyword(keyword: Column) -> Column:
+    """A keyword without a number in parentheses at its end; null for an e-mail address."""
+    bare = F.trim(F.regexp_replace(keyword, r"\s*\(\d+\)\s*$", ""))
+    return F.when(~bare.rlike(r"^[^@\s]+@[^@\s]+$"), bare)

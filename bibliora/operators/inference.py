@@ -163,3 +163,11 @@ def correlation_p_value(r: float, n: int) -> float:
     scale = math.exp(math.lgamma((dof + 1) / 2) - math.lgamma(dof / 2)) / math.sqrt(math.pi)
     area = sum((1 if k in (0, steps) else 4 if k % 2 else 2) * math.cos(top * k / steps) ** (dof - 1) for k in range(steps + 1)) * top / steps / 3
     return min(1.0, max(0.0, 1 - 2 * scale * area))
+
+
+def ks_p_values(distances: DataFrame) -> DataFrame:
+    """Rows (d, na, nb, ...) with ``p``, the asymptotic probability of a distance of at least d: 100 terms of its series."""
+    x = F.col("d") * F.sqrt(F.col("na") * F.col("nb") / (F.col("na") + F.col("nb")))
+    term = lambda k: F.when(k % 2 == 1, 1.0).otherwise(-1.0) * F.exp(-2.0 * k * k * F.pow(x, F.lit(2.0)))
+    total = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), lambda s, k: s + term(k))
+    return distances.withColumn("p", F.when(x < 1e-3, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2 * total))))

@@ -33,3 +33,15 @@ def sections(rows: DataFrame, text: str) -> DataFrame:
     body = F.regexp_replace(F.regexp_replace("_section", r"^PAPER:[^\n]*\n?", ""), r"(?m)^-{70,}\s*$\n?", "")
     found = rows.select(part).select(F.nullif(title, F.lit("")).alias("title"), F.trim(F.regexp_replace(body, r"(?m)^AFFILIATION SECTION:\s*", "")).alias("body"))
     return found.withColumn("body", F.btrim("body", F.lit(" \n\t"))).filter("title IS NOT NULL")
+
+
+def from_first(text: Column, pattern: str, most: int, otherwise: int) -> Column:
+    """The first line that matches a pattern and up to ``most`` lines after it; without one the first ``otherwise`` characters."""
+    parts = F.split(text, "\n")
+    first = F.array_position(F.transform(parts, lambda x: x.rlike(pattern)), True)
+    return F.when(first > 0, F.array_join(F.slice(parts, first.cast("int"), F.lit(most + 1)), "\n")).otherwise(F.left(text, F.lit(otherwise)))
+
+
+def ruled_sections(text: Column, least: int = 70) -> Column:
+    """The parts of a text between rulers, lines of at least ``least`` dashes; trimmed, and those left empty dropped."""
+    return F.filter(F.transform(F.split(text, rf"(?m)^-{{{least},}}[ \t]*$"), lambda x: F.btrim(x, F.lit(" \n\t"))), lambda x: x != "")

@@ -53,3 +53,11 @@ def resampled_days(rows: DataFrame, time: str) -> DataFrame:
     counts = rows.groupBy(F.to_date(time).alias("day")).agg(F.count("*").alias("n"))
     span = counts.agg(F.explode(F.sequence(F.min("day"), F.max("day"))).alias("day"))
     return span.join(counts, "day", "left").select("day", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def resampled(rows: DataFrame, time: str, unit: str) -> DataFrame:
+    """(start, n): rows by calendar unit (``week`` from Monday, ``month``, ...), units without rows as 0."""
+    counts = rows.filter(F.col(time).isNotNull()).groupBy(F.date_trunc(unit, time).cast("date").alias("start")).agg(F.count("*").alias("n"))
+    ends = counts.agg(F.min("start").alias("a"), F.max("start").alias("b")).filter("a IS NOT NULL")
+    every = ends.select(F.explode(F.sequence("a", "b", F.expr(f"INTERVAL 1 {unit}"))).alias("start"))
+    return every.join(counts, "start", "left").select("start", F.coalesce("n", F.lit(0)).alias("n"))

@@ -74,3 +74,14 @@ def flag(published: Column, comments: Column, journals: Column, *words: str) ->
     for w in words:
         said = said | F.coalesce(F.lower(comments).contains(w), F.lit(False))
     return F.when(published.isNotNull() | said | journals.isNotNull(), 1).otherwise(0)
+
+
+def exact_venue(venue: Column, labels: dict[str, str], families: dict[str, str], otherwise: str = "Unknown") -> Column:
+    """The label of a venue: what stands before the first comma, without digits, in an exact table; else the last family
+    whose key it has, in any case; else ``otherwise``. Null stays null."""
+    key = F.trim(F.regexp_replace(F.substring_index(venue, ",", 1), r"\d+", ""))
+    family = F.lit(None).cast("string")
+    for part, label in families.items():
+        family = F.when(F.lower(key).contains(part.lower()), F.lit(label)).otherwise(family)
+    exact = F.when(key.isin(*labels), mapped(key, labels))
+    return F.when(venue.isNotNull(), F.coalesce(exact, family, F.lit(otherwise)))

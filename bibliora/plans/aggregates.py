@@ -300,3 +300,34 @@ def resample_weeks(t: Tables) -> DataFrame:
 @query("SELECT date_diff('day', min(o_orderdate)::DATE, max(o_orderdate)::DATE)::INTEGER + 1 AS days FROM orders")
 def date_span(t: Tables) -> DataFrame:
     return t.orders.agg((F.datediff(F.max(F.to_date("o_orderdate")), F.min(F.to_date("o_orderdate"))) + 1).alias("days"))
+
+
+@query(
+    """WITH d AS (SELECT date_trunc('week', ts)::DATE AS start, count(*) AS n FROM events WHERE ts IS NOT NULL AND event_type = 'error' GROUP BY 1),
+            c AS (SELECT unnest(generate_series((SELECT min(start) FROM d)::TIMESTAMP, (SELECT max(start) FROM d)::TIMESTAMP, INTERVAL 7 DAY))::DATE AS start)
+       SELECT c.start::VARCHAR AS week, coalesce(n, 0) AS n FROM c LEFT JOIN d ON c.start = d.start"""
+)
+def resample_weeks_filled(t: Tables) -> DataFrame:
+    """Errors by week from Monday, with the weeks that have none."""
+    return metrics.resampled(t.events.filter("event_type = 'error'"), "ts", "week").select(F.col("start").cast("string").alias("week"), "n")
+
+
+@query(
+    """WITH d AS (SELECT date_trunc('month', o_orderdate)::DATE AS start, count(*) AS n FROM orders WHERE o_totalprice > 400000 GROUP BY 1),
+            c AS (SELECT unnest(generate_series((SELECT min(start) FROM d)::TIMESTAMP, (SELECT max(start) FROM d)::TIMESTAMP, INTERVAL 1 MONTH))::DATE AS start)
+       SELECT c.start::VARCHAR AS month, coalesce(n, 0) AS n FROM c LEFT JOIN d ON c.start = d.start"""
+)
+def resample_months_filled(t: Tables) -> DataFrame:
+    """Large orders by month, with the months that have none."""
+    return metrics.resampled(t.orders.filter("o_totalprice > 400000"), "o_orderdate", "month").select(F.col("start").cast("string").alias("month"), "n")
+
+
+@query(
+    """WITH l AS (SELECT max(ts)::DATE AS today FROM events)
+       SELECT event_type, count(*) FILTER (ts::DATE = today) AS today, count(*) FILTER (ts::DATE = today - 1) AS yesterday FROM events, l WHERE ts::DATE >= today - 1 GROUP BY event_type"""
+)
+def day_windows(t: Tables) -> DataFrame:
+    """Events of the table's last day and of the day before it."""
+    day, today = F.to_date("ts"), t.events.agg(F.to_date(F.max("ts"))).scalar()
+    rows = t.events.select("event_type", day.alias("day"), today.alias("last")).filter(F.col("day") >= F.date_sub("last", 1))
+    return rows.groupBy("event_type").agg(F.count_if(F.col("day") == F.col("last")).alias("today"), F.count_if(F.col("day") == F.date_sub("last", 1)).alias("yesterday"))

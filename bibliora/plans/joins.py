@@ -265,3 +265,18 @@ def name_key_join(t: Tables) -> DataFrame:
     known = t.customer.select(F.col("c_custkey").alias("found"), F.col("c_name").alias("key"))
     swapped = F.concat(F.split_part("name", F.lit(", "), F.lit(2)), F.lit("#"), F.split_part("name", F.lit(", "), F.lit(1)))
     return matching.by_candidate_keys(people, "c_custkey", F.array(F.col("name"), swapped), known, "key").select("c_custkey", "found")
+
+
+@query(
+    """WITH c AS (SELECT conv_id, list(role ORDER BY turn) AS roles, list(length(text) ORDER BY turn) FILTER (turn % 2 = 0) AS sizes FROM conversations GROUP BY conv_id)
+       SELECT conv_id, i::INTEGER AS slot, roles[i] AS role, coalesce(sizes[i], sizes[-1]) AS size FROM c, unnest(range(1, len(roles) + 1)) u(i)"""
+)
+def pad_last(t: Tables) -> DataFrame:
+    """Parallel lists paired by position; the shorter one repeats its last item."""
+    rows = t.conversations.select("conv_id", "turn", "role", F.length("text").cast("long").alias("size"))
+    both = rows.groupBy("conv_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]).alias("roles"),
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("turn") % 2 == 0, F.struct("turn", "size")))), lambda x: x["size"]).alias("sizes"),
+    )
+    pairs = both.select("conv_id", F.posexplode(matching.padded("roles", "sizes")).alias("slot", "pair"))
+    return pairs.select("conv_id", (F.col("slot") + 1).alias("slot"), F.col("pair.a").alias("role"), F.col("pair.b").alias("size"))

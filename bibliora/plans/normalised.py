@@ -129,3 +129,14 @@ def contains_join(t: Tables) -> DataFrame:
     lines = t.conversations.select("conv_id", "turn", F.explode(F.split("text", "\n")).alias("line"))
     hits = dictionaries.matches(lines, ["line"], dictionaries.terms(t.spark, [("the", 0), ("and", 1)]), boundary=False, case_sensitive=True)
     return hits.groupBy("conv_id", "turn", F.col("term").alias("k")).agg(F.count("*").alias("n"))
+
+
+@query(
+    r"""WITH k AS (SELECT o_orderkey, trim(regexp_replace(split_part(o_orderpriority, ',', 1), '\d+', '', 'g')) AS key, o_orderpriority AS venue FROM orders)
+        SELECT o_orderkey, CASE WHEN venue IS NULL THEN NULL WHEN key = '-URGENT' THEN 'Urgent' WHEN key = '-HIGH' THEN 'High'
+               WHEN contains(lower(key), 'spec') THEN 'Open' WHEN contains(lower(key), 'med') THEN 'Middle' ELSE 'Unknown' END AS label FROM k"""
+)
+def venue_exact(t: Tables) -> DataFrame:
+    """Labels by an exact table after a cut at the comma and without digits, by families, or else unknown."""
+    label = normalise.exact_venue(F.col("o_orderpriority"), {"-URGENT": "Urgent", "-HIGH": "High"}, {"med": "Middle", "spec": "Open"})
+    return t.orders.select("o_orderkey", label.alias("label"))

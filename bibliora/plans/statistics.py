@@ -135,3 +135,18 @@ def round_half_even(t: Tables) -> DataFrame:
 def within_sigma(t: Tables) -> DataFrame:
     counts = t.documents.groupBy("source").agg(F.count("*").alias("n"))
     return stat.with_sigma(counts, "n", keep_constant=True).filter(F.abs("sigma") <= 1).select("source", "n")
+
+
+@query(
+    """WITH v AS (SELECT p_retailprice AS x, p_size < 25 AS a FROM part),
+            c AS (SELECT x, count(*) FILTER (a) AS na, count(*) FILTER (NOT a) AS nb FROM v GROUP BY x),
+            s AS (SELECT sum(na) OVER w / sum(na) OVER () AS fa, sum(nb) OVER w / sum(nb) OVER () AS fb FROM c WINDOW w AS (ORDER BY x ROWS UNBOUNDED PRECEDING)),
+            d AS (SELECT max(abs(fa - fb)) AS d, (SELECT sum(na)::DOUBLE FROM c) AS na, (SELECT sum(nb)::DOUBLE FROM c) AS nb FROM s),
+            x AS (SELECT d, d * sqrt(na * nb / (na + nb)) AS x FROM d)
+       SELECT round(d, 9) AS d, round(CASE WHEN x < 0.001 THEN 1.0 ELSE greatest(0.0, least(1.0, 2 * list_sum(list_transform(range(1, 101), lambda k: CASE WHEN k % 2 = 1 THEN 1.0 ELSE -1.0 END * exp(-2.0 * k * k * x * x))))) END, 6) AS p FROM x"""
+)
+def ks_probability(t: Tables) -> DataFrame:
+    """The largest distance of two empirical distributions, and the chance of one as large."""
+    rows = t.part.select("p_retailprice", (F.col("p_size") < 25).alias("a"))
+    found = stat.ks_p_values(stat.ks_distance(rows, "p_retailprice", F.col("a")))
+    return found.select(F.round("d", 9).alias("d"), F.round("p", 6).alias("p"))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
-from ..operators import dictionaries, inference
+from ..operators import cleaning, dictionaries, inference, lines
+from ..sources import readers
 from .registry import Tables, query
 
 _WORDS = r"[^\x20\x09-\x0D]+"
@@ -208,3 +209,48 @@ def json_extract(t: Tables) -> DataFrame:
     """The outermost object of an answer with code fences around it."""
     answer = F.concat(F.lit("```json "), "props", F.lit(" ```"))
     return t.events.select("event_id", F.from_json(fn.outermost_object(answer), "k int")["k"].alias("k"))
+
+
+@query(
+    r"""WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM documents),
+             b AS (SELECT doc_id, words, list_transform(words, lambda x: trim(regexp_replace(x, '\s*\(\d+\)\s*$', ''))) AS bare FROM w)
+        SELECT doc_id, array_to_string(list_filter(bare, lambda x: NOT regexp_matches(x, '^[^@\s]+@[^@\s]+$')), ' ') AS kept FROM b"""
+)
+def keyword_trim(t: Tables) -> DataFrame:
+    """Words without numbers in parentheses at their ends and without e-mail addresses."""
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    return t.documents.select("doc_id", F.array_join(F.array_compact(F.transform(words, cleaning.bare_keyword)), " ").alias("kept"))
+
+
+@query("SELECT doc_id, string_split(text, ' (')[1] AS shown FROM documents")
+def display_trim(t: Tables) -> DataFrame:
+    """What stands before the first parenthesis."""
+    return t.documents.select("doc_id", F.substring_index("text", " (", 1).alias("shown"))
+
+
+@query(
+    """WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
+            f AS (SELECT *, list_position(list_transform(parts, lambda x: regexp_matches(x, 'and|und')), true) AS first FROM l)
+       SELECT doc_id, CASE WHEN first > 0 THEN array_to_string(parts[first:first + 2], chr(10)) ELSE left(text, 100) END AS section FROM f"""
+)
+def keyword_section(t: Tables) -> DataFrame:
+    """The first line with a keyword and the lines after it, or else the start of the text."""
+    return t.documents.select("doc_id", lines.from_first(F.col("text"), "and|und", 2, 100).alias("section"))
+
+
+@query(
+    r"""WITH s AS (SELECT conv_id, string_agg(text, chr(10) || repeat('-', 80) || chr(10) ORDER BY turn) AS whole FROM conversations GROUP BY conv_id)
+        SELECT conv_id, len(list_filter(list_transform(regexp_split_to_array(whole, '(?m)^-{70,}[ \t]*$'), lambda x: trim(x, ' ' || chr(10) || chr(9))), lambda x: x <> ''))::INTEGER AS sections FROM s"""
+)
+def split_sections(t: Tables) -> DataFrame:
+    """Sections between rulers of dashes."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"])
+    whole = t.conversations.groupBy("conv_id").agg(F.array_join(ordered, "\n" + "-" * 80 + "\n").alias("whole"))
+    return whole.select("conv_id", F.size(lines.ruled_sections(F.col("whole"))).alias("sections"))
+
+
+@query("SELECT o_orderkey, o_orderdate::DATE AS parsed FROM orders")
+def human_dates(t: Tables) -> DataFrame:
+    """Dates written out, with and without the day's name, as dates again."""
+    written = F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "EEEE, d MMMM yyyy")).otherwise(F.date_format("o_orderdate", "d MMM yyyy"))
+    return t.orders.select("o_orderkey", readers.human_date(written).alias("parsed"))
