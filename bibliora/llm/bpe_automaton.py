@@ -28,6 +28,8 @@ UNSETTLED = re.compile("[^\x00-\u017f]")
 LETTERS, DIGITS, SPACES = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be", "\t-\r \x85\xa0"
 WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{DIGITS}]|[^{SPACES}{LETTERS}{DIGITS}]+")
 CACHE_LIMIT = 300_000
+#: Fewer words of one length than this are read one by one: arrays of few rows cost more than they save.
+FEW, ARC_LIMIT = 32, 2_000_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -99,6 +101,7 @@ class Automaton:
             ends.append(ends[b])
         self._spell(spelling, ends, dead)
         self.table = _Table(21)
+        self.arcs: dict[int, bool] = {}
 
     def _spell(self, spelling: list[bytes], ends: list[bool], dead: set[int]) -> None:
         """A trie over the labels: (node, byte) -> node, and the tokens that a node spells inside a word and at its end."""
@@ -113,6 +116,7 @@ class Automaton:
                     at_end.append(-1)
             if token not in dead:
                 (at_end if ends[token] else inside)[node] = token
+        self.nodes, self.spelt = trie, (inside, at_end)
         self.inside, self.at_end = np.array(inside, np.int32), np.array(at_end, np.int32)
         self.trie = _Table((2 * len(trie)).bit_length())
         self.trie.put(np.fromiter(trie, np.int64, len(trie)), np.fromiter(trie.values(), np.int32, len(trie)))
@@ -142,12 +146,16 @@ class Automaton:
         return found == 1
 
     def encode_many(self, words: list[bytes]) -> list[list[int]]:
-        """The tokens of each word. Words of one length advance together, a position at a time."""
+        """The tokens of each word. Many words of one length advance together, a position at a time."""
         found: list[list[int]] = [[] for _ in words]
         by_length: dict[int, list[int]] = {}
         for k, word in enumerate(words):
             by_length.setdefault(len(word), []).append(k)
         for length, places in by_length.items():
+            if len(places) < FEW:
+                for k in places:
+                    found[k] = self._path(words[k])
+                continue
             step = max(1, (1 << 18) // max(length, 1))
             for at in range(0, len(places) if length else 0, step):
                 part = places[at : at + step]
@@ -156,6 +164,35 @@ class Automaton:
                     found[k] = path
         return found
 
+    def _path(self, word: bytes) -> list[int]:
+        """The tokens of one word, in time linear in its length: a label has few letters, and so has a walk in the trie."""
+        nodes, (inside, at_end), arcs, length = self.nodes, self.spelt, self.arcs, len(word)
+        token, start = [-1] * (length + 1), [0] * (length + 1)
+        for at in range(length):
+            state, node = token[at], 0
+            for to in range(at + 1, length + 1):
+                node = nodes.get(node << 8 | word[to - 1])
+                if node is None:
+                    break
+                spelt = (at_end if to == length else inside)[node]
+                if spelt < 0 or token[to] >= 0:
+                    continue
+                if at:
+                    key = state << 20 | spelt
+                    there = arcs.get(key)
+                    if there is None:
+                        if len(arcs) >= ARC_LIMIT:
+                            arcs.clear()
+                        there = arcs[key] = self._finds_arc(state, spelt)
+                    if not there:
+                        continue
+                token[to], start[to] = spelt, at
+        path, place = [], length
+        while place:
+            path.append(token[place])
+            place = start[place]
+        return path[::-1]
+
     def _paths(self, letters: np.ndarray) -> list[list[int]]:
         many, length = letters.shape
         letters = np.ascontiguousarray(letters.T).astype(np.int64)

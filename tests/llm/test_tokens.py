@@ -37,6 +37,21 @@ def test_automaton_and_decoding_equal_the_library(library, texts):
         assert decoded == library.decode(expected, skip_special_tokens=False)
 
 
+def test_a_word_of_a_million_letters_equals_the_library(library):
+    rng = random.Random(7)
+    word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000))
+    for text in (word, "ha" * 250_000, "é" * 100_000):
+        ids, _ = tokenization.tokenizer(PATH).encode_texts([text])[0]
+        assert ids == " ".join(map(str, library.encode(text, add_special_tokens=False).ids))
+
+
+def test_words_alone_and_together_have_one_path():
+    automaton = tokenization.tokenizer(PATH).automaton
+    rng = random.Random(9)
+    words = [bytes(rng.choice(b"aehnt\xc3\xa9") for _ in range(length)) for length in (1, 2, 5, 9, 14, 40) for _ in range(40)]
+    assert automaton.encode_many(words) == [automaton.encode_many([w])[0] for w in words]
+
+
 def test_automaton_of_few_merges_equals_rewriting():
     merges = [(97, 97), (512, 97), (97, 98), (512, 514), (98, 98 + 256), (514, 516)]
     automaton = Automaton(merges)
