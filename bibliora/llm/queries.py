@@ -76,6 +76,8 @@ def op4_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = workspace.fresh_path(spark, "warc")
     runs = workspace.saved(warc.write_archives(_table(spark, sf_dir, "pages"), folder), "warc-runs")
     index = workspace.saved(warc.merged_index(runs, int(spark.conf.get("spark.sql.shuffle.partitions"))), "warc-index")
+    workspace.remove(spark, warc.runs_folder(folder))
+    workspace.discard(runs)
     return warc.read_archives(spark, folder, index)
 
 

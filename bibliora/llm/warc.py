@@ -4,10 +4,13 @@ Pages are written as WARC/1.1 records, each a gzip member of its own, to one fil
 payloads of at least LEAST_REVISIT bytes the one with the largest page_id is a response and the others are revisits
 that refer to it, which carry no payload; smaller payloads are always responses.
 
-Every file comes with an index run: its captures in order of URL key and timestamp, with offset and length. The runs
-are dealt to ranges of the key, and in each range a loser tree merges the runs' parts into one ordered list; ranges
-follow each other, so the capture histories are ordered as a whole. Files are written under a name of the attempt and
-renamed when complete, so that a repeated task leaves one whole file.
+Captures go to index runs of at most RUN_ROWS, each sorted by URL key and timestamp and written to a file of its own
+in blocks of BLOCK captures; a table of the blocks has the place, first and last key of each. The runs are merged
+externally: blocks are dealt to ranges of the key, and in each range a loser tree merges the runs' parts, of which it
+reads one block at a time, into one ordered list; ranges follow each other, so the capture histories are ordered as a
+whole. Of more than FAN_IN runs, groups are first merged into longer runs, in as many passes as it takes. A task holds
+a block of each of its runs and never a range. Archives are written under a name of the attempt and renamed when
+complete, and run files have names of their attempt, so that a repeated task leaves whole files.
 
 Paths are URIs that pyarrow's file systems open, or plain paths. Defined results: null html is an empty payload; a
 null URL has an empty URL key; pages with one page_id are records of their own, and if it is the largest of those with
@@ -24,7 +27,10 @@ import hashlib
 import io
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
+from itertools import groupby, islice
+from operator import itemgetter
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -33,11 +39,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import workspace
 from .hot_keys import join_aggregate
 from .words import slices
 
 LEAST_REVISIT, LEVEL, READ_BLOCK, SLICE_BYTES, EPOCH = 1000, 1, 32 << 20, 4 << 20, datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc)
+BLOCK, RUN_ROWS, FAN_IN, SAMPLE = 256, 200_000, 512, 20
 CAPTURE = "url_key string, timestamp string, url string, page_id long, record_type string, file string, offset long, length long"
+CAPTURES = pa.schema([(f.split(" ")[0], pa.int64() if f.endswith("long") else pa.string()) for f in CAPTURE.split(", ")])
+BLOCKS = "path string, offset long, size long, first binary, last binary"
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -114,10 +124,56 @@ def with_decisions(pages: DataFrame) -> DataFrame:
     return joined.select("page_id", "url", "html", "digest", F.when(F.col("page_id").isNull() | (F.col("page_id") < F.col("winner")), F.col("winner")).alias("refers_to"))
 
 
-def write_archives(pages: DataFrame, folder: str) -> DataFrame:
-    """Write ``pages`` (page_id, url, html) to ``folder``; the index runs (captures with a column ``run``) are the result.
+def _order(capture: tuple) -> bytes:
+    """The order of captures as bytes: URL key by UTF-8, timestamp, page_id with null first, place."""
+    page = b"\0" if capture[3] is None else b"\1" + (capture[3] + (1 << 63)).to_bytes(8)
+    return capture[0].encode().replace(b"\0", b"\0\xff") + b"\0\0" + capture[1].encode() + page + capture[5].encode() + b"\0" + capture[6].to_bytes(8)
 
-    The write happens when the result is computed, once for each attempt at a task.
+
+def _write_run(folder: str, captures: Iterable[tuple[bytes, tuple]], size: int) -> Iterator[tuple]:
+    """Write ordered captures to a run file of its own; its blocks, as rows of BLOCKS."""
+    files, base = _open_folder(folder)
+    files.create_dir(base, recursive=True)
+    name, offset, captures = f"{uuid.uuid4().hex}.run", 0, iter(captures)
+    with files.open_output_stream(f"{base}/{name}") as file:
+        while block := list(islice(captures, size)):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, CAPTURES, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_batch(pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*(x for _, x in block), strict=True), CAPTURES, strict=True)], schema=CAPTURES))
+            content = sink.getvalue()
+            file.write(content)
+            yield f"{folder}/{name}", offset, content.size, block[0][0], block[-1][0]
+            offset += content.size
+
+
+def _read_run(path: str, blocks: list[tuple[int, int]]) -> Iterator[tuple[bytes, tuple]]:
+    """The captures of some blocks of a run, each with its key, a block in memory at a time."""
+    files, name = _open_folder(path)
+    with files.open_input_file(name) as file:
+        for offset, size in blocks:
+            batch = pa.ipc.open_stream(file.read_at(size, offset)).read_next_batch()
+            for capture in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield _order(capture), capture
+
+
+def _tables(rows: Iterable[tuple], schema: pa.Schema, most: int = 10_000) -> Iterator[pa.RecordBatch]:
+    rows = iter(rows)
+    while some := list(islice(rows, most)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), schema, strict=True)], schema=schema)
+
+
+_BLOCKS = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("size", pa.int64()), ("first", pa.binary()), ("last", pa.binary())])
+
+
+def runs_folder(folder: str) -> str:
+    """Where the index runs of the archives in ``folder`` are; they are of no use once they are merged."""
+    return folder.rstrip("/") + ".runs"
+
+
+def write_archives(pages: DataFrame, folder: str, run_rows: int = RUN_ROWS, block: int = BLOCK) -> DataFrame:
+    """Write ``pages`` (page_id, url, html) to ``folder`` and their index runs beside it; the runs' BLOCKS are the result.
+
+    The write happens when the result is computed, once for each attempt at a task: save it before it is used.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,31 +182,28 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
         files, base = _open_folder(folder)
         files.create_dir(base, recursive=True)
         name, draft = f"pages-{number:06d}.warc.gz", f"{base}/.draft-{number:06d}-{uuid.uuid4().hex}"
-        captures, offset, sink = [], 0, None
-        for page in (page for batch in batches for part in slices(batch, "html", SLICE_BYTES) for page in part.to_pylist()):
-            raw, stamp = _record(page)
-            member = gzip.compress(raw, LEVEL, mtime=0)
-            sink = sink or files.open_output_stream(draft)
-            sink.write(member)
-            url = page["url"] or ""
-            captures.append((url_key(url), stamp, url, page["page_id"], "response" if page["refers_to"] is None else "revisit", name, offset, len(member), number))
-            offset += len(member)
-        if sink:
-            sink.close()
-            files.move(draft, f"{base}/{name}")
-        captures.sort(key=_order)
-        kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32()]
-        names = ["url_key", "timestamp", "url", "page_id", "record_type", "file", "offset", "length", "run"]
-        for at in range(0, len(captures), 10_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*captures[at : at + 10_000], strict=True), kinds, strict=True)], names=names)
-
-    # in order of page_id, so that a repeated attempt writes the same file
-    return with_decisions(pages).sortWithinPartitions("page_id").mapInArrow(run, f"{CAPTURE}, run int")
-
-
-def _order(capture: tuple) -> tuple:
-    """Order of captures: URL key as code points (so UTF-8 order), timestamp, page_id with null first, place."""
-    return capture[0].encode(), capture[1], -1 if capture[3] is None else capture[3], capture[5], capture[6]
+
+        def captures() -> Iterator[tuple[bytes, tuple]]:
+            offset, sink = 0, None
+            for page in (page for batch in batches for part in slices(batch, "html", SLICE_BYTES) for page in part.to_pylist()):
+                raw, stamp = _record(page)
+                member = gzip.compress(raw, LEVEL, mtime=0)
+                sink = sink or files.open_output_stream(draft)
+                sink.write(member)
+                url = page["url"] or ""
+                capture = (url_key(url), stamp, url, page["page_id"], "response" if page["refers_to"] is None else "revisit", name, offset, len(member))
+                yield _order(capture), capture
+                offset += len(member)
+            if sink:
+                sink.close()
+                files.move(draft, f"{base}/{name}")
+
+        written = captures()
+        while some := sorted(islice(written, run_rows)):
+            yield from _tables(_write_run(runs_folder(folder), some, block), _BLOCKS)
+
+    # in a fixed order, so that a repeated attempt writes the same file
+    return with_decisions(pages).sortWithinPartitions("page_id", "digest", "url").mapInArrow(run, BLOCKS)
 
 
 class LoserTree:
@@ -193,35 +246,57 @@ class LoserTree:
             self.winner = winner
 
 
-def merged_index(runs: DataFrame, ranges: int) -> DataFrame:
-    """The captures of all runs in order of URL key, timestamp, page_id: globally, along the partitions.
+def _merged(blocks: Iterable[tuple[str, int, int]]) -> Iterator[tuple[bytes, tuple]]:
+    """The captures of blocks (path, offset, size), dealt in order of path and offset: one ordered list of all runs."""
+    runs = [_read_run(path, [row[1:] for row in rows]) for path, rows in groupby(blocks, itemgetter(0))]
+    return iter(LoserTree(runs, itemgetter(0)))
+
+
+def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[tuple]]]:
+    """Blocks by the unit of work that is their first column."""
+    rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+    for unit, some in groupby(rows, itemgetter(0)):
+        yield unit, (row[1:] for row in some)
+
+
+def _longer_runs(runs: DataFrame, groups: int, block: int) -> DataFrame:
+    """The runs of each of some groups merged into one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, some in _dealt(batches):
+            blocks = list(some)
+            yield from _tables(_write_run(blocks[0][0].rpartition("/")[0], _merged(blocks), block), _BLOCKS)
+
+    dealt = runs.select(F.pmod(F.xxhash64("path"), F.lit(groups)).alias("unit"), "path", "offset", "size")
+    return dealt.repartition(groups, "unit").sortWithinPartitions("unit", "path", "offset").mapInArrow(run, BLOCKS)
+
+
+def merged_index(runs: DataFrame, ranges: int, fan_in: int = FAN_IN, block: int = BLOCK) -> DataFrame:
+    """The captures of all runs in order of URL key, timestamp, page_id.
 
     ``part`` is the range and ``place`` the place in it, which together are the order, however the table is read back.
+    The bounds of the ranges are quantiles of SAMPLE block starts for each range; a URL that very many captures have is
+    divided by time.
     """
+    while (many := runs.select("path").distinct().count()) > fan_in:
+        runs = workspace.saved(_longer_runs(runs, -(-many // fan_in), block), "warc-longer-runs")
+    starts = sorted(bytes(r[0]) for r in runs.orderBy(F.xxhash64("path", "offset")).limit(SAMPLE * ranges).select("first").collect())
+    bounds = sorted({starts[len(starts) * k // ranges] for k in range(1, ranges)}) if starts else []
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, list[tuple]] = {}
-        schema = None
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("part", pa.int32()), *list(_BLOCKS)[:3]])
         for batch in batches:
-            schema = batch.schema
-            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                parts.setdefault(row[8], []).append(row)
-        if schema is None:
-            return
-        for captures in parts.values():  # a run's pages may have come in another order
-            captures.sort(key=_order)
-        part, kinds, place, out = TaskContext.get().partitionId(), [*schema.types[:8], pa.int32(), pa.int64()], 0, []
-        names = [*schema.names[:8], "part", "place"]
-        for row in LoserTree(list(parts.values()), _order):
-            out.append((*row[:8], part, place))
-            place += 1
-            if len(out) == 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
-                out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
-
-    return runs.repartitionByRange(ranges, "url_key", "timestamp", F.col("page_id")).mapInArrow(run, f"{CAPTURE}, part int, place long")
+            rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
+            yield from _tables(((k, *row[:3]) for row in rows for k in range(bisect_right(bounds, row[3]), bisect_right(bounds, row[4]) + 1)), schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([*CAPTURES, ("part", pa.int32()), ("place", pa.int64())])
+        for part, blocks in _dealt(batches):
+            inside = (capture for key, capture in _merged(blocks) if bisect_right(bounds, key) == part)
+            yield from _tables(((*capture, part, place) for place, capture in enumerate(inside)), schema)
+
+    dealt = runs.mapInArrow(deal, "part int, path string, offset long, size long")
+    return dealt.repartition(ranges, "part").sortWithinPartitions("part", "path", "offset").mapInArrow(run, f"{CAPTURE}, part int, place long")
 
 
 def read_archives(spark: SparkSession, folder: str, index: DataFrame) -> DataFrame:

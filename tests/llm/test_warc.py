@@ -53,6 +53,22 @@ def test_index_is_in_global_order(archive):
     assert history["com,example,b)/x?q=1"] == 3
 
 
+@pytest.mark.parametrize("fan_in", [2, 512])
+def test_runs_are_merged_from_their_files(spark, fan_in):
+    pages = [(None if k % 50 == 7 else k % 90, f"http://h{k % 3 if k % 4 else 0}.org/\0{k % 5}" if k % 11 else None, f"text {k}") for k in range(200)]
+    folder = workspace.fresh_path(spark, "warc")
+    runs = workspace.saved(warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(7), folder, run_rows=25, block=3), "runs")
+    places = [(r.path, r.offset, r.size) for r in runs.orderBy("path", "offset").collect()]
+    stored = [[c for _, c in warc._read_run(path, [x[1:] for x in places if x[0] == path])] for path in sorted({x[0] for x in places})]
+    assert len(stored) >= 7 and all(run == sorted(run, key=warc._order) for run in stored)
+    index = workspace.saved(warc.merged_index(runs, 4, fan_in, block=3), "index").orderBy("part", "place").collect()
+    assert [tuple(r)[:8] for r in index] == sorted((c for run in stored for c in run), key=warc._order) and len(index) == 200
+    assert len({r.part for r in index}) > 1 and index == sorted(index, key=lambda r: (r.part, r.place))
+    workspace.remove(spark, warc.runs_folder(folder))
+    with pytest.raises(Exception, match="No such file|FileNotFound"):
+        warc.merged_index(runs, 4).collect()
+
+
 def test_loser_tree_merges_runs():
     for many in range(8):
         runs = [sorted((k * 7 + j * 5) % 23 for j in range(k)) for k in range(many)]
