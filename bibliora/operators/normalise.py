@@ -20,6 +20,53 @@ COUNTRY_ALIASES = {
     "Republic of Korea": "South Korea",
     "The United Kingdom": "United Kingdom",
 }
+#: What names a country in lower-case affiliations, in order of precedence.
+COUNTRY_WORDS = {
+    "usa": "United States",
+    "united states": "United States",
+    "uk": "United Kingdom",
+    "united kingdom": "United Kingdom",
+    "china": "China",
+    "people's republic of china": "China",
+    "germany": "Germany",
+    "france": "France",
+    "italy": "Italy",
+    "india": "India",
+    "japan": "Japan",
+    "canada": "Canada",
+    "australia": "Australia",
+    "spain": "Spain",
+    "russia": "Russia",
+    "brazil": "Brazil",
+    "south korea": "South Korea",
+    "switzerland": "Switzerland",
+    "netherlands": "Netherlands",
+    "sweden": "Sweden",
+    "taiwan": "Taiwan",
+    "israel": "Israel",
+    "austria": "Austria",
+    "denmark": "Denmark",
+    "belgium": "Belgium",
+    "finland": "Finland",
+    "norway": "Norway",
+    "poland": "Poland",
+    "mexico": "Mexico",
+    "chile": "Chile",
+    "argentina": "Argentina",
+    "czech republic": "Czech Republic",
+    "turkey": "Turkey",
+    "greece": "Greece",
+    "portugal": "Portugal",
+    "singapore": "Singapore",
+    "south africa": "South Africa",
+    "hong kong": "Hong Kong",
+    "new zealand": "New Zealand",
+    "ireland": "Ireland",
+    "hungary": "Hungary",
+    "colombia": "Colombia",
+}
+#: Families of venues by what their names contain, in order of precedence.
+VENUE_FAMILIES = {"ApJ": ("apj", "astrophysical journal"), "MNRAS": ("mnras", "monthly notices"), "A&A": ("a&a", "astronomy and astrophysics", "astronomy & astrophysics")}
 #: Words that mark the part of an affiliation that names the institution.
 INSTITUTION_WORDS = ("university", "institute", "institut", "college", "observatory", "laboratory", "lab", "academy", "school", "center", "centre")
 
@@ -85,3 +132,37 @@ def exact_venue(venue: Column, labels: dict[str, str], families: dict[str, str],
         family = F.when(F.lower(key).contains(part.lower()), F.lit(label)).otherwise(family)
     exact = F.when(key.isin(*labels), mapped(key, labels))
     return F.when(venue.isNotNull(), F.coalesce(exact, family, F.lit(otherwise)))
+
+
+def country_of_parts(affiliation: Column, names: dict[str, str] = COUNTRY_WORDS) -> Column:
+    """The country of the last comma part that is a name, letters and spaces only; else of the first name in order that
+    occurs anywhere, also inside words. Otherwise null."""
+    table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    lower = F.lower(affiliation)
+    bare = lambda x: F.regexp_replace(F.regexp_replace(x, r"[^a-zA-Z\s]", ""), r"^\s+|\s+$", "")
+    whole = F.array_compact(F.transform(F.split(lower, ","), lambda x: F.try_element_at(table, bare(x))))
+    inside = F.coalesce(*[F.when(lower.contains(name), F.lit(country)) for name, country in names.items()])
+    return F.coalesce(F.get(whole, F.size(whole) - 1), inside)
+
+
+def countries_of_parts(affiliations: Column, names: dict[str, str] = COUNTRY_WORDS) -> Column:
+    """The distinct countries of affiliations parted by semicolons, in order; null has none."""
+    found = F.array_distinct(F.array_compact(F.transform(F.split(affiliations, ";"), lambda x: country_of_parts(x, names))))
+    return F.coalesce(found, F.array().cast("array<string>"))
+
+
+def venue_family(venue: Column, families: dict[str, tuple[str, ...]] = VENUE_FAMILIES) -> Column:
+    """The first family of which a venue has a word, in any case; else null."""
+    lower = F.lower(venue)
+    return F.coalesce(*[F.when(F.greatest(*[lower.contains(w) for w in words], F.lit(False)), F.lit(label)) for label, words in families.items()])
+
+
+def affiliation_by_surname(author: Column, authors: Column, affiliations: Column) -> Column:
+    """The affiliation of the first of ``authors`` (``Last, First``) with the surname of ``author`` (``First Last``); of
+    a single author the only one. Null if there is none, if it is a dash or if the author is empty."""
+    words = F.filter(F.split(F.replace(author, F.lit("."), F.lit(" ")), r"\s+"), lambda x: x != "")
+    surname = F.lower(F.get(words, F.size(words) - 1))
+    surnames = F.transform(authors, lambda x: F.trim(F.lower(F.substring_index(x, ",", 1))))
+    at = F.array_position(surnames, surname)
+    found = F.when(at > 0, F.get(affiliations, (at - 1).cast("int"))).when(surname.isNotNull() & (F.size(authors) == 1), F.get(affiliations, F.lit(0)))
+    return F.nullif(found, F.lit("-"))

@@ -140,3 +140,40 @@ def venue_exact(t: Tables) -> DataFrame:
     """Labels by an exact table after a cut at the comma and without digits, by families, or else unknown."""
     label = normalise.exact_venue(F.col("o_orderpriority"), {"-URGENT": "Urgent", "-HIGH": "High"}, {"med": "Middle", "spec": "Open"})
     return t.orders.select("o_orderkey", label.alias("label"))
+
+
+_NAMES = "(VALUES " + ", ".join(f"('{k.replace(chr(39), chr(39) * 2)}', '{c}', {o})" for o, (k, c) in enumerate(normalise.COUNTRY_WORDS.items())) + ") v(k, c, o)"
+
+
+@query(
+    rf"""WITH p AS (SELECT doc_id, unnest(string_split(lower(text), ',')) AS part, generate_subscripts(string_split(lower(text), ','), 1) AS pos FROM documents),
+             x AS (SELECT doc_id, arg_max(c, pos) AS c FROM p JOIN {_NAMES} ON regexp_replace(regexp_replace(part, '[^a-zA-Z\s]', '', 'g'), '^\s+|\s+$', '', 'g') = k GROUP BY doc_id),
+             s AS (SELECT doc_id, arg_min(c, o) AS c FROM documents JOIN {_NAMES} ON contains(lower(text), k) GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(x.c, s.c) AS country FROM documents d LEFT JOIN x ON d.doc_id = x.doc_id LEFT JOIN s ON d.doc_id = s.doc_id"""
+)
+def country_parts(t: Tables) -> DataFrame:
+    """The country of the last comma part that names one, or else of the first name that occurs anywhere."""
+    return t.documents.select("doc_id", normalise.country_of_parts(F.col("text")).alias("country"))
+
+
+@query(
+    """SELECT doc_id, CASE WHEN contains(lower(text), ' der ') OR contains(lower(text), ' und ') THEN 'German'
+              WHEN contains(lower(text), ' el ') OR contains(lower(text), ' los ') THEN 'Spanish' WHEN contains(lower(text), ' the ') THEN 'English' END AS family FROM documents"""
+)
+def venue_families(t: Tables) -> DataFrame:
+    """The first family, in order, of which a text has a word."""
+    families = {"German": (" der ", " und "), "Spanish": (" el ", " los "), "English": (" the ",)}
+    return t.documents.select("doc_id", normalise.venue_family(F.col("text"), families).alias("family"))
+
+
+@query(
+    r"""WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS a, list_filter(string_split_regex(replace(split_part(text, chr(10), 1), '.', ' '), '\s+'), lambda x: x <> '') AS w FROM documents),
+             m AS (SELECT doc_id, a, w, list_position(list_transform(a, lambda x: trim(lower(split_part(x, ',', 1)))), lower(w[-1])) AS pos FROM d)
+        SELECT doc_id, CASE WHEN pos > 0 THEN length(a[pos])::VARCHAR WHEN len(w) > 0 AND len(a) = 1 THEN length(a[1])::VARCHAR END AS affiliation FROM m"""
+)
+def surname_lookup(t: Tables) -> DataFrame:
+    """What stands beside the first line that starts with the last word of the first one; in a text of one line, its own."""
+    listed = F.split("text", "\n")
+    rows = t.documents.select("doc_id", F.get(listed, F.lit(0)).alias("author"), listed.alias("authors"))
+    beside = F.transform("authors", lambda x: F.length(x).cast("string"))
+    return rows.select("doc_id", normalise.affiliation_by_surname(F.col("author"), F.col("authors"), beside).alias("affiliation"))

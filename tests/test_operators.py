@@ -245,3 +245,14 @@ def test_customers_with_matching_names_are_counted(spark):
     links = {r.a: r["count"] for r in pairs.collect()}
     assert {k: n for k, (_, n) in found.items()} == {k: links.get(k, 0) for k in range(8)}
     assert found[4][0] == 2
+
+
+def test_countries_families_and_surnames(spark):
+    rows = spark.createDataFrame([("MIT, Cambridge, USA.; ESO, Garching , Germany;Univ. of Tokyo (Japan)", "The Astrophysical Journal"), ("Dukes Hall", "A&A 12"), ("Paris, France, Unit 3", "Nature"), (None, None), ("", "")], "a string, v string")
+    found = rows.select(normalise.countries_of_parts(F.col("a")), normalise.country_of_parts(F.col("a")), normalise.venue_family(F.col("v"))).collect()
+    assert [r[0] for r in found] == [["United States", "Germany", "Japan"], ["United Kingdom"], ["France"], [], []]
+    assert [r[1] for r in found[1:]] == ["United Kingdom", "France", None, None]
+    assert [r[2] for r in found] == ["ApJ", "A&A", None, None, None]
+    people = [("John K. Nino", ["Doe, J", "Nino, John K.", "nino, A"], ["U", "V", "W"]), ("A. Lost", ["Doe, J"], ["U"]), ("A Lost", ["Doe, J", "Roe, K"], ["U", "V"]), ("Roe", ["Doe, J", "Roe, K"], ["U"]), ("J Doe", ["Doe, J"], ["-"]), (" . ", ["Doe, J"], ["U"]), (None, None, None)]
+    table = spark.createDataFrame(people, "n string, a array<string>, f array<string>")
+    assert [r[0] for r in table.select(normalise.affiliation_by_surname(F.col("n"), F.col("a"), F.col("f"))).collect()] == ["V", "U", None, None, None, None, None]
