@@ -2,6 +2,7 @@
 
 One parser reads the commands in order and knows how styles tie authors to affiliations: by marks (options, numbers
 in superscript, ``\\inst``, ``\\altaffilmark``) or by order (an affiliation belongs to the authors since the last one).
+Affiliations may also stand under the names in the author argument, or in boxes of their own, each led by its mark.
 """
 
 from __future__ import annotations
@@ -21,6 +22,38 @@ RESULT = StructType([StructField("authors", ArrayType(AUTHOR)), StructField("con
 BY_MARKS, BY_ORDER, UNTIED, SURE = 0.95, 0.75, 0.2, 0.8
 
 _MARK = re.compile(r"\$\s*\^\s*(\{[^$]*\}|[^$\s])\s*\$|\\(?:textsuperscript|altaffilmark|inst|aff)\s*\{([^}]*)\}")
+_LEAD = re.compile(r"\s*(?:\$\s*\^\s*\{?(\w+)\}?\s*\$|\\textsuperscript\{(\w+)\})")
+_COMMA_BEFORE_MARK = re.compile(r"(?<![$}\s]),\s*(\$\s*\^\s*(?:\{[^$]*\}|[^$\s])\s*\$)")
+
+
+def _boxes(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, content) of the ``\\parbox{width}{content}`` of a text."""
+    found = []
+    for box in latex.commands(text, "parbox"):
+        if opening := re.compile(r"\s*\{").match(text, box.end):
+            end = latex.closing(text, opening.end() - 1, "{}")
+            found.append((box.start, end, text[opening.end() : end - 1]))
+    return found
+
+
+def _unboxed(text: str) -> str:
+    """A text with boxes replaced by their content, each on a line of its own, and without spacing."""
+    for start, end, content in reversed(_boxes(text)):
+        text = f"{text[:start]}{content}\\\\{text[end:]}"
+    return latex.without(text, "vspace", "hspace")
+
+
+def _lines_apart(content: str) -> tuple[str, dict[str, str]]:
+    """The names in an author argument, and the affiliations under them by the marks that lead their lines."""
+    names, marked = [], {}
+    for line in re.split(r"\\\\(?:\[[^\]]*\])?", content):
+        lead = _LEAD.match(line)
+        name = latex.plain(line[lead.end() :]) if lead else ""
+        if name:
+            marked.setdefault(lead[1] or lead[2], name)
+        else:
+            names.append(line)
+    return (" ".join(names), marked) if marked else (content, {})
 
 
 def _marks(text: str) -> list[str]:
@@ -32,6 +65,7 @@ def _marks(text: str) -> list[str]:
 
 def _names(content: str) -> list[tuple[str, list[str]]]:
     """The names in an author argument, with the marks of each."""
+    content = _COMMA_BEFORE_MARK.sub(r"\1,", content)
     pieces = re.split(r"\\and\b|\\AND\b|\\newauthor\b|(?<=\$),(?!\s*\$)|(?<=\}),(?=[^{}]*(?:\{[^{}]*\}[^{}]*)*$)|\band\b", content)
     if not _MARK.search(content):
         pieces = [p for piece in pieces for p in re.split(r",(?![^{]*\})", piece)]
@@ -52,7 +86,9 @@ def parse(text: str | None) -> tuple[list[tuple[str, list[str]]], float]:
     for command in latex.commands(text, "author", "affiliation", "affil", "address", "institute", "altaffiltext", "institution"):
         if command.name == "author":
             labels = [x.strip() for x in command.option.split(",") if x.strip()]
-            authors += [(name, labels + marks) for name, marks in _names(command.content)]
+            content, under = _lines_apart(_unboxed(command.content))
+            marked |= under
+            authors += [(name, labels + marks) for name, marks in _names(content)]
         elif command.name == "institute":
             for number, part in enumerate(re.split(r"\\and\b", command.content), 1):
                 if name := latex.plain(part):
@@ -62,13 +98,17 @@ def parse(text: str | None) -> tuple[list[tuple[str, list[str]]], float]:
             if rest:
                 marked[command.content.strip()] = latex.plain(text[rest.end() : latex.closing(text, rest.end() - 1, "{}") - 1])
         else:
-            lead = re.match(r"\s*(?:\$\s*\^\s*\{?(\w+)\}?\s*\$|\\(?:textsuperscript)\{(\w+)\})", command.content)
+            lead = _LEAD.match(command.content)
             name = latex.plain(command.content[lead.end() :] if lead else command.content)
             label = command.option or (lead and (lead[1] or lead[2])) or ""
             if label and name:
                 marked[label] = name
             elif name:
                 in_order.append((len(authors), name))
+    if not authors and (boxes := [content for _, _, content in _boxes(text)]):
+        content, under = _lines_apart(latex.without("\\\\".join(boxes), "vspace", "hspace"))
+        marked |= under
+        authors = _names(content)
     if not marked:  # blocks of numbered lines after the authors
         for match in re.finditer(r"(?m)^\s*\$\s*\^\s*\{?(\w+)\}?\s*\$\s*([^\n]+)$", text):
             if name := latex.plain(match[2]):

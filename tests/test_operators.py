@@ -187,6 +187,10 @@ STYLES = [
     (r"\author{A. One\altaffilmark{1,$\star$}, B. Two\altaffilmark{2}}\altaffiltext{1}{Inst A}\altaffiltext{2}{Inst B}", [("A. One", ["Inst A"]), ("B. Two", ["Inst B"])], 0.95),
     (r"\author{A One\inst{1} \and B Two\inst{2}}\institute{First, A \and Second, B}", [("A One", ["First, A"]), ("B Two", ["Second, B"])], 0.95),
     (r"\author[a]{A One}\address[a]{Place} % \address[b]{Hidden}", [("A One", ["Place"])], 0.95),
+    (r"\author[A. One et al.]{A. One,$^{1}$\thanks{E-mail: a@b.c} B. Two$^{2}$ and C. Three$^{1,2}$\\ $^{1}$Institute X, City\\ $^{2}$University Y}", [("A. One", ["Institute X, City"]), ("B. Two", ["University Y"]), ("C. Three", ["Institute X, City", "University Y"])], 0.95),
+    (r"\author{A. One$^{1}$\thanks{x}\newauthor B. Two$^{2}$\\$^{1}$Inst X\\$^{2}$Inst Y\\}", [("A. One", ["Inst X"]), ("B. Two", ["Inst Y"])], 0.95),
+    (r"\author{\parbox{\textwidth}{A. One,$^{1}$ B. Two$^{1,2}$}\vspace{0.4cm}\\ \parbox{\textwidth}{$^{1}$University of X, City\\ $^{2}$Institute Y}}", [("A. One", ["University of X, City"]), ("B. Two", ["University of X, City", "Institute Y"])], 0.95),
+    (r"\parbox{\textwidth}{A. One$^{1}$, B. Two$^{2}$} \parbox{\textwidth}{$^{1}$University of X\\ $^{2}$Institute Y}", [("A. One", ["University of X"]), ("B. Two", ["Institute Y"])], 0.95),
     (r"\author{A One, B Two}", [("A One", []), ("B Two", [])], 0.2),
     (r"\author{A One", [("A One", [])], 0.2),
 ]
