@@ -29,8 +29,9 @@ def terms(spark: SparkSession, entries: list[tuple]) -> DataFrame:
 
 
 def matches(rows: DataFrame, columns: list[str], dictionary: DataFrame, boundary: bool = True, case_sensitive: bool = False) -> DataFrame:
-    """``rows`` with each term found in any of the columns: term, canonical, ord, hits (occurrences that do not overlap
-    each other) and column (its place). Terms that overlap other terms all count; empty terms are nowhere.
+    """The other columns of ``rows`` with each term found in any of ``columns``: term, canonical, ord, hits (occurrences
+    that do not overlap each other) and column (its place). Terms that overlap other terms all count; empty terms are
+    nowhere. The searched texts do not come back, so a hit is a few values.
 
     With ``boundary`` no letter, digit or underscore stands beside an occurrence; texts and terms are lower-cased unless
     ``case_sensitive``.
@@ -46,8 +47,8 @@ def matches(rows: DataFrame, columns: list[str], dictionary: DataFrame, boundary
 
 
 def _matches(rows: DataFrame, columns: list[str], entries: list[tuple], boundary: bool, case_sensitive: bool) -> DataFrame:
-    places = [rows.columns.index(c) for c in columns]
-    schema = StructType([*rows.schema.fields, *StructType.fromDDL(HITS).fields])
+    kept = [c for c in rows.columns if c not in columns]
+    schema = StructType([*rows.select(kept).schema.fields, *StructType.fromDDL(HITS).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton, by_key = ahocorasick.Automaton(), {}
@@ -58,15 +59,15 @@ def _matches(rows: DataFrame, columns: list[str], entries: list[tuple], boundary
         automaton.make_automaton()
         for batch in batches:
             hits: list[tuple[int, int, int, int]] = []  # row, entry, occurrences, column
-            for column, place in enumerate(places if entries else []):
-                for row, text in enumerate(batch.column(place).to_pylist()):
-                    if text:
+            for column in range(len(columns) if entries else 0):
+                for row, value in enumerate(batch.column(len(kept) + column)):
+                    if text := value.as_py():
                         hits += [(row, number, n, column) for number, n in _occurrences(automaton, text if case_sensitive else text.lower(), boundary)]
             row, number, n, column = (np.array([h[k] for h in hits], np.int32) for k in range(4))
             listed = [pa.array([entries[k][c] for k in number.tolist()], kind) for c, kind in enumerate((pa.string(), pa.string(), pa.int32()))]
-            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(row)).columns, *listed, pa.array(n), pa.array(column)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.select(kept).take(pa.array(row)).columns, *listed, pa.array(n), pa.array(column)], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.select(*kept, *columns).mapInArrow(run, schema)
 
 
 def _occurrences(automaton: ahocorasick.Automaton, text: str, boundary: bool) -> list[tuple[int, int]]:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
-from ..operators import cleaning, dictionaries, inference, lines
+from ..operators import cleaning, dictionaries, inference, lines, patterns
 from ..sources import readers
 from .registry import Tables, query
 
@@ -76,16 +76,46 @@ TERMS = [("the and", 0), ("is", 1), ("of the", 2), ("in thon", 3), ("worthless",
 @query(f"SELECT term, count(*) AS papers FROM {_TERMS} JOIN documents ON regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{N}}_])' || term || '($|[^\\p{{L}}\\p{{N}}_])') GROUP BY term")
 def phrase_counts(t: Tables) -> DataFrame:
     """Papers, not occurrences, in which each phrase stands between word boundaries."""
-    hits = dictionaries.matches(t.documents, ["text"], dictionaries.terms(t.spark, TERMS), boundary=True)
+    hits = dictionaries.matches(t.documents.select("doc_id", "text"), ["text"], dictionaries.terms(t.spark, TERMS), boundary=True)
     return hits.groupBy("term").agg(F.countDistinct("doc_id").alias("papers"))
 
 
+PATTERNS = [
+    (r"\b(the|that) [a-z]*sh\b", "english", 0), ("colou?r|gr[ae]y", "spelling", 1), (r"\bund\b", "german", 2), (r"\w+(ción|mente)\b", "spanish", 3), ("[aeiou]{4}", "vowels", 4),
+    (r"\d{3}-\d{4}", "number", 5), ("(con|di)[a-z]+ (la|el) ", "spanish", 6), ("idiot|worthless", "rude", 7), (r"high[- ]z\b|high[- ]redshift", "high z", 8), (r"n't\b", "short", 9),
+]
+_BANK = "(VALUES " + ", ".join("('{}', '{}', {})".format(p.replace("'", "''"), c, o) for p, c, o in PATTERNS) + ") v(pattern, canonical, ord)"
+
+
+@query(rf"SELECT pattern, count(*) AS papers FROM {_BANK} JOIN documents ON regexp_matches(text, replace(replace(pattern, '\w', '[\p{{L}}\p{{N}}_]'), '\b', '\b'), 'i') GROUP BY pattern")
+def pattern_counts(t: Tables) -> DataFrame:
+    """Papers, not occurrences, that each pattern of a bank matches, whatever the case."""
+    hits = patterns.pattern_matches(t.documents.select("doc_id", "text"), ["text"], patterns.bank(t.spark, PATTERNS))
+    return hits.groupBy(F.col("term").alias("pattern")).agg(F.countDistinct("doc_id").alias("papers"))
+
+
+@query(
+    r"""WITH w AS (SELECT item_id, regexp_extract_all(text, '[\p{L}]+') AS w FROM benchmark),
+             b AS (SELECT item_id, w[1] || '[ -]+(' || w[2] || '|' || w[3] || ')' AS pattern FROM w WHERE len(w) >= 3),
+             h AS (SELECT DISTINCT pattern, doc_id, n_chars FROM b JOIN documents ON regexp_matches(text, pattern, 'i'))
+        SELECT pattern, count(*) AS papers, round(sum(n_chars) / count(*), 6) AS per_paper FROM h GROUP BY pattern"""
+)
+def pattern_metrics(t: Tables) -> DataFrame:
+    """Citations per paper by pattern, the bank made from a table: a paper counts for every pattern that it matches."""
+    w = F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))
+    first = t.benchmark.select(w.alias("w")).filter(F.size("w") >= 3)
+    term = F.concat(F.col("w")[0], F.lit("[ -]+("), F.col("w")[1], F.lit("|"), F.col("w")[2], F.lit(")"))
+    named = first.select(term.alias("term")).distinct().select("term", F.col("term").alias("canonical"), F.lit(0).alias("ord"))
+    hits = patterns.pattern_matches(t.documents.select("doc_id", "n_chars", "text"), ["text"], named)
+    return hits.groupBy(F.col("term").alias("pattern")).agg(F.count("*").alias("papers"), F.round(F.sum("n_chars") / F.count("*"), 6).alias("per_paper"))
+
+
 @query(
     f"""SELECT doc_id, array_to_string(list_sort(list(term))[1:3], '; ') AS keywords FROM {_TERMS} JOIN documents ON regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{N}}_])' || term || '($|[^\\p{{L}}\\p{{N}}_])') GROUP BY doc_id"""
 )
 def recommend_phrases(t: Tables) -> DataFrame:
     """The first three, in order, of the phrases that a text has."""
-    hits = dictionaries.matches(t.documents, ["text"], dictionaries.terms(t.spark, TERMS), boundary=True)
+    hits = dictionaries.matches(t.documents.select("doc_id", "text"), ["text"], dictionaries.terms(t.spark, TERMS), boundary=True)
     return hits.groupBy("doc_id").agg(F.array_join(F.slice(F.array_sort(F.collect_set("term")), 1, 3), "; ").alias("keywords"))
 
 
