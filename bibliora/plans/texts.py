@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
-from ..operators import cleaning, dictionaries, inference, lines, patterns
+from ..operators import cleaning, dictionaries, inference, lines, markup, patterns
 from ..sources import readers
 from .registry import Tables, query
 
@@ -284,3 +284,51 @@ def human_dates(t: Tables) -> DataFrame:
     """Dates written out, with and without the day's name, as dates again."""
     written = F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "EEEE, d MMMM yyyy")).otherwise(F.date_format("o_orderdate", "d MMM yyyy"))
     return t.orders.select("o_orderkey", readers.human_date(written).alias("parsed"))
+
+
+_ARTICLE = markup.Step("article")
+_NAV_LINK = (markup.Step("nav"), markup.Step("li"), markup.Step("a", relation="child"))
+
+
+def _plain(x: str) -> str:
+    """SQL of the text of a piece of markup with the entities that the pages have."""
+    for entity, letter in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&#x27;", "''"), ("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", " "), ("&amp;", "&")):
+        x = f"replace({x}, '{entity}', '{letter}')" if entity != "&lt;" else f"replace(regexp_replace({x}, '<[^>]*>', '', 'g'), '{entity}', '{letter}')"
+    return rf"trim(regexp_replace({x}, '[ \t\n\r\x{{A0}}]+', ' ', 'g'))"
+
+
+@query(
+    rf"""WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+             a AS (SELECT *, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS article, regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1) AS nav FROM p)
+        SELECT page_id, {_plain(r"regexp_extract(article, '(?s)<h1>(.*?)</h1>', 1)")} AS heading, len(regexp_extract_all(article, '<p>'))::INTEGER AS paragraphs,
+               {_plain(r"regexp_extract(article, '(?s)</h1><p>(.*?)(<p>|</p>|$)', 1)")} AS lead, {_plain(r"regexp_extract(html, '(?s)<div class=.ad.>(.*?)</div>', 1)")} AS ad,
+               len(regexp_extract_all(nav, '<li><a '))::INTEGER AS links, nullif(regexp_extract(nav, '<a href="([^"]*)"', 1), '') AS first_link FROM a"""
+)
+def page_structure(t: Tables) -> DataFrame:
+    """Parts of pages by their place: a heading and paragraphs in the article, the first paragraph beside the heading, links of
+    the navigation, and by fallback the advertisement, as no page has a banner."""
+    fields = {
+        "heading": [(_ARTICLE, markup.Step("h1"))],
+        "paragraphs": [(_ARTICLE, markup.Step("p"))],
+        "lead": [(_ARTICLE, markup.Step("h1"), markup.Step("p", relation="sibling"))],
+        "ad": [(markup.Step("div", ("banner",)),), (markup.Step("div", ("ad",)),)],
+        "links": [_NAV_LINK],
+    }
+    rows = markup.extracted(t.pages.select("page_id", "html"), "html", fields)
+    text = lambda name: F.coalesce(F.get(F.col(name), F.lit(0))["text"], F.lit("")).alias(name)
+    return rows.select("page_id", text("heading"), F.size("paragraphs").alias("paragraphs"), text("lead"), text("ad"), F.size("links").alias("links"), F.get(F.col("links"), F.lit(0))["value"].alias("first_link"))
+
+
+@query(
+    rf"""WITH a AS (SELECT page_id, unnest(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '(?s)<li>.*?</li>')) AS item,
+                           generate_subscripts(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '(?s)<li>.*?</li>'), 1) AS position FROM pages)
+        SELECT page_id, position::INTEGER AS position, {_plain("item")} AS name, regexp_extract(item, 'href="([^"]*)"', 1) AS link
+        FROM a JOIN region ON r_regionkey = page_id % 5 WHERE position <= r_regionkey + 1"""
+)
+def page_records(t: Tables) -> DataFrame:
+    """The first entries of each page's list, as many as a table says for its group."""
+    rows = markup.extracted(t.pages.select("page_id", "html"), "html", {"a": [(markup.Step("a"),)]}, records=(markup.Step("nav"), markup.Step("li")))
+    wanted = t.region.select(F.col("r_regionkey").alias("group"), (F.col("r_regionkey") + 1).alias("most"))
+    first = F.get(F.col("a"), F.lit(0))
+    listed = rows.select("page_id", (F.col("record") + 1).alias("position"), first["text"].alias("name"), first["value"].alias("link"))
+    return listed.join(wanted, F.col("page_id") % 5 == F.col("group")).filter("position <= most").drop("group", "most")
