@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,3 +36,13 @@ def query(sql: str | None = None) -> Callable[[Callable[[Tables], DataFrame]], C
         return function
 
     return register
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that ``spark.checkpoint.dir`` names; only local mode makes one of its own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="bibliora-")
+    return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"

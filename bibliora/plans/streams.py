@@ -2,24 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..streaming import increments
-from .registry import Tables, query
-
-
-def _shared_folder(spark: SparkSession) -> str:
-    """A fresh path in the folder that ``spark.checkpoint.dir`` names; only local mode makes one of its own."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="bibliora-")
-    return f"{named.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
+from .registry import Tables, query, shared_path
 
 
 def _drained(t: Tables, table: str, transform, mode: str) -> DataFrame:
@@ -33,7 +20,7 @@ def _drained(t: Tables, table: str, transform, mode: str) -> DataFrame:
     stream = t.spark.readStream.schema(schema).parquet(f"{t.folder}/{table}.parque[t]")
     # watermarks need instants; stored times without zone are in the session's
     stream = stream.withColumns({c: F.col(c).cast("timestamp") for c, kind in stream.dtypes if kind == "timestamp_ntz"})
-    found, path = transform(stream), _shared_folder(t.spark)
+    found, path = transform(stream), shared_path(t.spark, "stream")
     t.spark.createDataFrame([], found.schema).write.parquet(f"{path}/rows/none")
 
     def keep(batch: DataFrame, number: int) -> None:
