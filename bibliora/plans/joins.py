@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import matching
+from ..operators import intervals, matching
 from .registry import Tables, query
 
 
@@ -90,6 +90,20 @@ def range_join(t: Tables) -> DataFrame:
     return hits.groupBy("o_orderkey").agg(F.min("tar").alias("tar"))
 
 
+_IDS = "SELECT strftime(o_orderdate, '%y%m') || '.' || lpad(o_orderkey::VARCHAR, 8, '0') AS id, o_custkey FROM orders"
+
+
+@query(
+    f"""WITH i AS ({_IDS}), c AS (SELECT o_custkey AS chunk, min(id) AS lo, max(id) AS hi FROM i GROUP BY o_custkey)
+        SELECT id, min(chunk) AS chunk FROM i JOIN c ON id BETWEEN lo AND hi GROUP BY id"""
+)
+def string_range_join(t: Tables) -> DataFrame:
+    """Ids that are strings, such as 9501.00012345, with the first of the chunks, which are long and overlap, that hold them."""
+    ids = t.orders.select(F.concat(F.date_format("o_orderdate", "yyMM"), F.lit("."), F.lpad(F.col("o_orderkey").cast("string"), 8, "0")).alias("id"), "o_custkey")
+    chunks = ids.groupBy(F.col("o_custkey").alias("chunk")).agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+    return intervals.first_intervals(ids, "id", chunks, "lo", "hi", "chunk")
+
+
 _TITLE = r"list_filter(list_distinct(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+')), lambda x: x NOT IN ('the', 'a', 'an', 'of', 'in', 'on', 'for', 'and', 'with', 'from', 'to', 'by', 'its', 'their', 'using', 'study', 'new', 'based'))"
 
 
