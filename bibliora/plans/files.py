@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import records
+from ..streaming.store import KeyedStore
 from .registry import Tables, query, shared_path
 
 
@@ -23,3 +24,16 @@ def record_files(t: Tables) -> DataFrame:
     talks.select(F.concat(F.lit(records.PAPER), "conv_id", F.lit("\n" + "-" * 80 + "\n" + records.SECTION + "\n"), "body").alias("value")).write.text(path)
     found = records.affiliation_lines(t.spark, path)
     return found.select("title", F.array_join("lines", "\n").alias("lines"), "failures")
+
+
+@query("SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS last_order, count(*) AS orders FROM orders GROUP BY o_custkey")
+def upsert_store(t: Tables) -> DataFrame:
+    """The latest order of each customer in a keyed store that takes the orders in three batches, the second one twice; and
+    how many orders a customer has, by a store of all of them."""
+    latest, every = (KeyedStore(t.spark, shared_path(t.spark, "store"), keys, buckets=16, order=["o_orderdate", "o_orderkey"]) for keys in (["o_custkey"], ["o_custkey", "o_orderkey"]))
+    for number, part in enumerate((2, 0, 0, 1)):
+        batch = t.orders.filter(F.col("o_orderkey") % 3 == part).select("o_custkey", "o_orderkey", "o_orderdate")
+        latest.upsert(batch, min(number, 1) if part == 0 else number)
+        every.upsert(batch, min(number, 1) if part == 0 else number)
+    counts = every.read().groupBy("o_custkey").agg(F.count("*").alias("orders"))
+    return latest.read().select("o_custkey", F.col("o_orderkey").alias("last_order")).join(counts, "o_custkey")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .store import KeyedStore
+
 
 def daily_counts(events: DataFrame, time: str, kind: str, late: str = "1 day") -> DataFrame:
     """(day, kind, n) by tumbling windows of a day; rows later than the watermark do not count."""
@@ -18,17 +20,8 @@ def first_of_each(events: DataFrame, key: str, time: str, late: str = "1 day") -
 
 
 def append_new(spark: SparkSession, path: str, key: str):
-    """A ``foreachBatch`` function that appends to Parquet the rows whose key is not stored yet, once per key."""
-
-    def write(batch: DataFrame, _: int) -> None:
-        fresh = batch.dropDuplicates([key])
-        try:
-            stored = spark.read.parquet(path)
-        except Exception as error:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-        else:
-            fresh = fresh.join(stored.select(key), key, "left_anti")
-        fresh.write.mode("append").parquet(path)
-
-    return write
+    """A ``foreachBatch`` function that adds to a keyed store the rows whose key is not stored yet, once per key.
+
+    A batch that failed halfway, or comes again, adds nothing twice; only buckets that it has keys of are read.
+    """
+    return KeyedStore(spark, path, [key], keep="first").sink()
