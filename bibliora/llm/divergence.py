@@ -8,7 +8,8 @@ of those terms, and a term adds floor((p - q)**2 / q) to a pair of sources.
 A pair's value is a sum over all kept terms, but a vector only emits, by higher-order functions, the pairs of sources
 that both have its term: f(p, q) less f(p, q0) less f(p0, q) plus f(p0, q0), p0 and q0 the shares of a term that a source
 lacks. These are summed by partial aggregates. The rest needs no pairs of a term: f(p, q0) depends on the count alone, so
-it is summed over counts and how many terms have them, and v * f(p0, q0) closes the sum. All of it is exact.
+it is summed over counts and how many terms have them, and v * f(p0, q0) closes the sum. All of it is exact. Higher-order
+functions are interpreted, so they carry shares of pairs, and the arithmetic on these is compiled with the aggregate.
 
 Defined results: null text, lang or source count as ''. A (lang, source) that occurs has its rows even without terms; a
 language without kept terms has pair values of 0 and no term rows; a language of one source has no pairs. Repeated rows
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .hot_keys import join_aggregate
@@ -30,7 +31,7 @@ from .terms import LETTERS, terms_of
 from .words import slices
 from .workspace import saved
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 12 << 20
 #: A language keeps the terms that so many of its documents have.
 LEAST_DOCUMENTS = 3
 
@@ -66,13 +67,13 @@ def term_counts(documents: DataFrame, lang: str = "lang", source: str = "source"
     return parts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("documents").alias("documents"))
 
 
-def _share(count: Column | str, n: Column | str, v: Column | str) -> str:
-    """SQL of 1 + floor(10**9 * (count + 1) / (n + v)) in 64-bit steps of three digits."""
-    rest, below, shares = f"({count}) + 1", f"greatest(({n}) + ({v}), 1L)", []
+def _share(count: str, below: str) -> str:
+    """SQL of 1 + floor(10**9 * (count + 1) / below): at once, or for large counts in 64-bit steps of three digits."""
+    rest, shares = f"({count}) + 1", []
     for step in range(4):
         shares.append(f"({rest}) div {below}" + f" * {10 ** (9 - 3 * step)}L" * (step < 3))
         rest = f"(({rest}) % {below}) * 1000L"
-    return f"(1L + {' + '.join(shares)})"
+    return f"(1L + CASE WHEN ({count}) < 9000000000L THEN 1000000000L * (({count}) + 1) div {below} ELSE {' + '.join(shares)} END)"
 
 
 def _apart(p: str, q: str) -> str:
@@ -81,16 +82,18 @@ def _apart(p: str, q: str) -> str:
 
 
 def vectors(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The kept terms, (lang, term, own), own an array of (source, n) in order of source; and the languages,
-    (lang, sources, n, v), with the counts n of each source over kept terms."""
-    terms = counts.filter("term IS NOT NULL").groupBy("lang", "term").agg(F.sum("documents").alias("documents"), F.sort_array(F.collect_list(F.struct("source", "n"))).alias("own"))
-    terms = saved(terms.filter(F.col("documents") >= LEAST_DOCUMENTS).select("lang", "term", "own"), "term-vectors")
+    """The kept terms, (lang, term, total, own), own an array of (source, n) in order of source; and the languages,
+    (lang, sources, below, p0, whole, v): for each source its count over kept terms and their number v together, and the
+    share of a term that it lacks; whole is as below, for the language."""
+    terms = counts.filter("term IS NOT NULL").groupBy("lang", "term")
+    terms = terms.agg(F.sum("documents").alias("documents"), F.sum("n").alias("total"), F.sort_array(F.collect_list(F.struct("source", "n"))).alias("own"))
+    terms = saved(terms.filter(F.col("documents") >= LEAST_DOCUMENTS).select("lang", "term", "total", "own"), "term-vectors")
     kept = terms.select("lang", F.inline("own")).groupBy("lang", "source").agg(F.sum("n").alias("n"))
     groups = counts.filter("term IS NULL").select("lang", "source", F.lit(0).cast("long").alias("n")).unionByName(kept).groupBy("lang", "source").agg(F.sum("n").alias("n"))
-    languages = groups.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("source", "n"))).alias("g"))
-    size = terms.groupBy("lang").agg(F.count("*").alias("v"))
-    languages = languages.join(size, "lang", "left").select("lang", F.col("g.source").alias("sources"), F.col("g.n").alias("n"), F.coalesce("v", F.lit(0).cast("long")).alias("v"))
-    return terms, saved(languages, "languages")
+    languages = groups.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("source", "n"))).alias("g"), F.sum("n").alias("n"))
+    languages = languages.join(terms.groupBy("lang").agg(F.count("*").alias("v")), "lang", "left").withColumn("v", F.coalesce("v", F.lit(0).cast("long")))
+    languages = languages.select("lang", F.col("g.source").alias("sources"), F.expr("transform(g, x -> greatest(x.n + v, 1L))").alias("below"), F.expr("greatest(n + v, 1L)").alias("whole"), "v")
+    return terms, saved(languages.withColumn("p0", F.expr(f"transform(below, b -> {_share('0L', 'b')})")), "languages")
 
 
 def audit(documents: DataFrame, most: int = 200) -> DataFrame:
@@ -98,39 +101,35 @@ def audit(documents: DataFrame, most: int = 200) -> DataFrame:
     part "term" the ``most`` terms that the source has more often than its language, by what they add to its distance."""
     counts = saved(term_counts(documents), "term-counts")
     terms, languages = vectors(counts)
-    wide = join_aggregate(terms, languages, "lang")
-    # (place, n, p, p0) for each source that has the term, n over all sources, and the language's share of the term
-    wide = wide.withColumn("own", F.expr("transform(own, e -> struct(cast(array_position(sources, e.source) - 1 AS int) AS at, e.n AS c))"))
-    wide = wide.withColumn("own", F.expr(f"transform(own, e -> struct(e.at, e.c, {_share('e.c', 'n[e.at]', 'v')} AS p, {_share('0L', 'n[e.at]', 'v')} AS p0))"))
-    added = F.expr(f"flatten(transform(own, a -> transform(filter(own, b -> b.at <> a.at), b -> struct(a.at AS i, b.at AS j, {_apart('a.p', 'b.p')} - {_apart('a.p', 'b.p0')} - {_apart('a.p0', 'b.p')} + {_apart('a.p0', 'b.p0')} AS f))))")
-    both = wide.select("lang", F.inline(added)).groupBy("lang", "i", "j").agg(F.sum("f").alias("f"))
-    pairs = _ranked(_closed(wide, languages, both), "pair")
-    whole = "aggregate(n, 0L, (a, x) -> a + x)"
-    theirs = wide.withColumn("q", F.expr(_share("aggregate(own, 0L, (a, e) -> a + e.c)", whole, "v")))
-    high = theirs.select("lang", "term", "sources", F.expr("q"), F.inline(F.expr("filter(own, e -> e.p > q)")))
-    high = high.select("lang", F.expr("sources[at]").alias("source"), F.col("term").alias("item"), F.expr(_apart("p", "q")).alias("value"))
+    pairs = _ranked(_distances(terms, languages), "pair")
+    theirs = join_aggregate(terms, languages.select("lang", "sources", "below", "whole"), "lang")
+    theirs = theirs.select("lang", "term", "sources", "below", F.expr(_share("total", "whole")).alias("q"), F.inline("own"))
+    theirs = theirs.withColumn("p", F.expr(_share("n", "below[array_position(sources, source) - 1]"))).filter("p > q")
+    high = theirs.select("lang", "source", F.col("term").alias("item"), F.expr(_apart("p", "q")).alias("value"))
     return pairs.unionByName(_ranked(high, "term").filter(F.col("rank") <= most))
 
 
-def _closed(wide: DataFrame, languages: DataFrame, both: DataFrame) -> DataFrame:
+def _distances(terms: DataFrame, languages: DataFrame) -> DataFrame:
     """(lang, source, item, value) of every pair of sources of a language."""
-
-    def places(number: str, name: str, share: str) -> Column:
-        """An array with the number, the name and the share of a missing term of every source of a language."""
-        return F.expr(f"transform(sequence(0, size(sources) - 1), k -> struct(k AS {number}, sources[k] AS {name}, {_share('0L', 'n[k]', 'v')} AS {share}))")
-
-    # how many terms have a share in a source: what they add against a source that lacks them depends on the share alone
-    held = wide.select("lang", F.inline("own")).groupBy("lang", "at", "p", "p0").agg(F.count("*").alias("terms"))
-    against = join_aggregate(held, languages, "lang").select("lang", "at", "p", "p0", "terms", F.inline(places("j", "name", "q0"))).filter("at <> j")
-    lacked = against.groupBy("lang", "at", "j").agg(
-        F.sum(F.expr(f"terms * ({_apart('p', 'q0')} - {_apart('p0', 'q0')})")).alias("up"), F.sum(F.expr(f"terms * ({_apart('q0', 'p')} - {_apart('q0', 'p0')})")).alias("down")
+    wide = join_aggregate(terms.filter("size(own) > 1"), languages, "lang").withColumn("own", F.expr("transform(own, e -> struct(cast(array_position(sources, e.source) - 1 AS int) AS at, e.n AS n))"))
+    wide = wide.select("lang", F.expr(f"transform(own, e -> struct(e.at AS at, {_share('e.n', 'below[e.at]')} AS p, p0[e.at] AS p0))").alias("own"))
+    emitted = F.expr("flatten(transform(own, a -> transform(own, b -> struct(a.at AS i, a.p AS p, a.p0 AS p0, b.at AS j, b.p AS q, b.p0 AS q0))))")
+    both = wide.select("lang", F.inline(emitted)).filter("i <> j").groupBy("lang", "i", "j")
+    both = both.agg(F.sum(F.expr(f"{_apart('p', 'q')} - {_apart('p', 'q0')} - {_apart('p0', 'q')} + {_apart('p0', 'q0')}")).alias("f"))
+
+    # how many terms have a count in a source: what they add against a source that lacks them depends on the count alone
+    held = terms.select("lang", F.inline("own")).groupBy("lang", "source", "n").agg(F.count("*").alias("terms"))
+    held = join_aggregate(held, languages, "lang").withColumn("at", F.expr("cast(array_position(sources, source) - 1 AS int)"))
+    held = held.select("lang", "at", "terms", F.expr(_share("n", "below[at]")).alias("p"), F.expr("p0[at]").alias("own0"), F.posexplode("p0").alias("j", "q0")).filter("at <> j")
+    lacked = held.groupBy("lang", "at", "j").agg(
+        F.sum(F.expr(f"terms * ({_apart('p', 'q0')} - {_apart('own0', 'q0')})")).alias("up"), F.sum(F.expr(f"terms * ({_apart('q0', 'p')} - {_apart('q0', 'own0')})")).alias("down")
     )
     up, down = lacked.select("lang", F.col("at").alias("i"), "j", F.col("up").alias("f")), lacked.select("lang", F.col("j").alias("i"), F.col("at").alias("j"), F.col("down").alias("f"))
     sums = both.unionByName(up).unionByName(down).groupBy("lang", "i", "j").agg(F.sum("f").alias("f"))
-    first = languages.select("lang", "sources", "n", "v", F.inline(places("i", "source", "p0")))
-    every = first.select("lang", "i", "source", "p0", "v", F.inline(places("j", "item", "q0"))).filter("i <> j")
-    value = F.when(F.col("v") == 0, F.lit(0).cast("long")).otherwise(F.coalesce("f", F.lit(0).cast("long")) + F.expr(f"v * {_apart('p0', 'q0')}"))
-    return every.join(sums, ["lang", "i", "j"], "left").select("lang", "source", "item", value.alias("value"))
+    first = languages.select("lang", "sources", "p0", "v", F.posexplode("sources").alias("i", "source"))
+    every = first.select("lang", "i", "source", "sources", "v", F.expr("p0[i]").alias("own0"), F.posexplode("p0").alias("j", "q0")).filter("i <> j")
+    value = F.when(F.col("v") == 0, F.lit(0).cast("long")).otherwise(F.coalesce("f", F.lit(0).cast("long")) + F.expr(f"v * {_apart('own0', 'q0')}"))
+    return every.join(sums, ["lang", "i", "j"], "left").select("lang", "source", F.expr("sources[j]").alias("item"), value.alias("value"))
 
 
 def _ranked(rows: DataFrame, part: str) -> DataFrame:

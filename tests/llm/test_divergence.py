@@ -61,4 +61,4 @@ def test_nothing(nothing):
 def test_shares_of_large_counts_are_exact(spark):
     cases = [(0, 0, 1), (5, 9, 4), (10**13, 3 * 10**13 + 7, 10**8), (123_456_789_012, 987_654_321_098, 77)]
     for c, n, v in cases:
-        assert spark.sql(f"SELECT {divergence._share(f'{c}L', f'{n}L', f'{v}L')} AS p").first().p == 1 + 10**9 * (c + 1) // (n + v)
+        assert spark.sql(f"SELECT {divergence._share(f'{c}L', f'{n + v}L')} AS p").first().p == 1 + 10**9 * (c + 1) // (n + v)
