@@ -18,18 +18,6 @@ def hash_order(key: Column) -> Column:
     return F.xxhash64(F.lit("sample"), key.cast("string"))
 
 
-def bounded_sample(rows: DataFrame, key: str, most: int) -> list:
-    """About ``most`` rows, those that come first in hash order: a documented bound, whatever the input's size.
-
-    The cut in hash order is found on the keys alone, so that whole rows are gathered only from below it. Rows with
-    one key come together.
-    """
-    cut = rows.select(hash_order(F.col(key)).alias("h")).distinct().orderBy("h").limit(most).agg(F.max("h")).first()[0]
-    if cut is None:
-        return []
-    return sorted(rows.filter(hash_order(F.col(key)) <= cut).limit(2 * most).collect(), key=lambda r: str(r[key]))
-
-
 def sample_per_label(rows: DataFrame, key: str, label: str, most: int) -> tuple[list[tuple], dict]:
     """About ``most`` (key, label) in hash order, and how many keys each label has in all of ``rows`` (key, label).
 
@@ -52,14 +40,17 @@ def sample_per_label(rows: DataFrame, key: str, label: str, most: int) -> tuple[
 
 
 def rows_of(rows: DataFrame, key: str, chosen: list[tuple], label: str) -> list:
-    """The rows with a chosen (key, label), in the order of the keys: these alone leave their tasks. Rows without labels
-    get them by key."""
+    """A row for each chosen (key, label), in the order of the keys: these alone leave their tasks. Rows without labels get
+    them by key. Of rows with one key and label the one of the smallest hash over all its columns is taken, so that reruns
+    learn from the same rows however often a key is repeated."""
     if not chosen:
         return []
     kinds = dict(rows.dtypes)
     wanted = rows.sparkSession.createDataFrame(chosen, f"{key} {kinds[key]}, {label} {kinds.get(label, 'int')}")
-    found = rows.join(F.broadcast(wanted), [key] + [label] * (label in kinds)).limit(2 * len(chosen)).collect()
-    return sorted(found, key=lambda r: (str(r[key]), str(r[label])))
+    found = rows.join(F.broadcast(wanted), [key] + [label] * (label in kinds))
+    one = F.min_by(F.struct(*found.columns), F.struct(F.xxhash64(*found.columns), F.hash(*found.columns)))
+    best = found.groupBy(F.col(key).alias("_key"), F.col(label).alias("_label")).agg(one.alias("_row")).select("_row.*")
+    return sorted(best.collect(), key=lambda r: (str(r[key]), str(r[label])))
 
 
 def every_fifth(labels: np.ndarray) -> np.ndarray:

@@ -117,10 +117,12 @@ def test_language_without_letters_or_training(spark, documents, nothing):
     assert language_id.held_out(nothing).isEmpty()
 
 
-def test_sample_is_bounded_and_the_same_in_every_run(spark):
-    rows = spark.range(5000).withColumnRenamed("id", "doc_id")
-    a = linear.bounded_sample(rows, "doc_id", 100)
-    assert len(a) == 100 and a == linear.bounded_sample(rows.repartition(9), "doc_id", 100)
+def test_training_rows_are_the_same_in_every_run(spark):
+    rows = spark.range(3000).selectExpr("id % 300 AS doc_id", "concat('text ', id) AS text", "CAST(id % 2 AS int) AS good")
+    chosen, _ = linear.sample_per_label(rows.select("doc_id", "good").distinct(), "doc_id", "good", 100)
+    found = [linear.rows_of(rows.repartition(n), "doc_id", chosen, "good") for n in (1, 3, 11)]
+    assert found[0] == found[1] == found[2]
+    assert [(r.doc_id, r.good) for r in found[0]] == sorted(chosen, key=lambda c: (str(c[0]), str(c[1])))
 
 
 def test_penalty_makes_weights_sparse():
