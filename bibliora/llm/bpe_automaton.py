@@ -27,7 +27,8 @@ UNSETTLED = re.compile("[^\x00-\u017f]")
 #: Fixed value: how the tokenizer files split normalised text into words, with the settled letters, digits and spaces spelt out.
 LETTERS, DIGITS, SPACES = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be", "\t-\r \x85\xa0"
 WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{DIGITS}]|[^{SPACES}{LETTERS}{DIGITS}]+")
-CACHE_LIMIT = 300_000
+#: Results of words are remembered until they take so many bytes together, each with so many for its places in tables.
+CACHE_BYTES, ENTRY_BYTES = 128 << 20, 400
 #: Fewer words of one length than this are read one by one: arrays of few rows cost more than they save.
 FEW, ARC_LIMIT = 32, 2_000_000
 
@@ -253,7 +254,7 @@ class WordTokenizer:
         library = Tokenizer.from_file(path)
         self.normalize, self.pre_tokenize = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         self.known: dict[str | bytes, tuple[str, str]] = {t: (str(n), t) for t, n in self.special.items()}
-        self.kept = dict(self.known)
+        self.kept, self.size = dict(self.known), 0
 
     def split(self, text: str) -> list[str | bytes]:
         """The words of a text: str of settled letters, bytes of others, special tokens as they are."""
@@ -273,15 +274,16 @@ class WordTokenizer:
     def encode_texts(self, texts: list[str]) -> list[tuple[str, str]]:
         """For each text its decimal ids, joined by spaces, and what they decode to."""
         words = [self.split(text) for text in texts]
-        if len(self.known) > CACHE_LIMIT:
-            self.known = dict(self.kept)
+        if self.size > CACHE_BYTES:
+            self.known, self.size = dict(self.kept), 0
         known = self.known
         if new := list({w for some in words for w in some if w not in known}):
             paths = self.automaton.encode_many([w if isinstance(w, bytes) else w.encode() for w in new])
             ids = self.ids
             for word, path in zip(new, paths, strict=True):
                 numbers = [ids[t] for t in path]
-                known[word] = (" ".join(map(str, numbers)), self.decode(numbers))
+                known[word] = found = (" ".join(map(str, numbers)), self.decode(numbers))
+                self.size += len(word) + len(found[0]) + len(found[1]) + ENTRY_BYTES
         results = []
         for some in words:
             numbers, labels = zip(*map(known.__getitem__, some), strict=True) if some else ((), ())

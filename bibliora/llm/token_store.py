@@ -37,7 +37,8 @@ from .bpe_automaton import UNSETTLED, WORDS, byte_letters
 from .words import powers, slices
 
 WINDOW, MASK_BITS, LEAST, MOST = 16, 10, 128, 8192
-CACHE_LIMIT = 500_000
+#: Ids of words are remembered until the words and ids take so many bytes together, each word with so many for its places in tables.
+CACHE_BYTES, ENTRY_BYTES = 96 << 20, 150
 CHUNK = "digest binary, ids binary, length int"
 RECIPE = "doc_id long, n_tokens long, recipe array<binary>, root binary"
 MANIFEST = "part int, first_doc long, last_doc long, documents long, tokens long, file_root binary"
@@ -48,10 +49,12 @@ class _Numbers(dict):
 
     def __init__(self) -> None:
         self.fresh: list[str] = []
+        self.size = 0
 
     def __missing__(self, word: str) -> int:
         number = self[word] = len(self)
         self.fresh.append(word)
+        self.size += len(word) + ENTRY_BYTES
         return number
 
 
@@ -94,7 +97,7 @@ class IdEncoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        if len(self.numbers) > CACHE_LIMIT:
+        if self.numbers.size + self.pool.nbytes > CACHE_BYTES:
             self._forget()
         number = self.numbers.__getitem__
         found: list[np.ndarray] = []

@@ -154,3 +154,18 @@ def test_empty_store_and_chunking(spark, nothing):
     shifted = token_store.cut_points(np.concatenate([ids[:7], ids]))
     assert len(set((shifted - 7).tolist()) & set(cuts.tolist())) > len(cuts) / 2
     assert token_store.crc_joined(zlib.crc32(b"abc"), zlib.crc32(b"defgh"), 5) == zlib.crc32(b"abcdefgh")
+
+
+def test_caches_are_bounded_by_bytes(library, monkeypatch):
+    from bibliora.llm import bpe_automaton
+
+    monkeypatch.setattr(bpe_automaton, "CACHE_BYTES", 200_000)
+    monkeypatch.setattr(token_store, "CACHE_BYTES", 200_000)
+    tokenizer, encoder = bpe_automaton.WordTokenizer(PATH), token_store.IdEncoder(PATH, 2)
+    rng = random.Random(3)
+    for _ in range(12):
+        word = "".join(rng.choice("abcdefghij") for _ in range(100_000))
+        ids = library.encode(word, add_special_tokens=False).ids
+        assert tokenizer.encode_texts([word, "and"])[0][0] == " ".join(map(str, ids))
+        assert encoder.encode([word, "and"])[0].tolist() == ids
+        assert len(tokenizer.known) < 8 and len(encoder.numbers) < 8 and encoder.pool.nbytes < 600_000
