@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numbers as fn
+from ..functions import special
 from ..operators import inference as stat
 from .registry import Tables, query
 
@@ -18,11 +19,14 @@ def pearson(t: Tables) -> DataFrame:
 
 @query(
     """WITH r AS (SELECT rank() OVER (ORDER BY p_size) + (count(*) OVER (PARTITION BY p_size) - 1) / 2 AS x, rank() OVER (ORDER BY p_retailprice) + (count(*) OVER (PARTITION BY p_retailprice) - 1) / 2 AS y FROM part)
-       SELECT round(corr(x, y), 6) AS rho, count(*) AS n FROM r"""
+            , c AS (SELECT corr(x, y) AS r, count(*) AS n FROM r)
+       SELECT round(r, 6) AS rho, n,
+              round(1 - list_sum(list_transform(range(0, 3000), lambda k: exp((k + 0.5) * ln(r * r) + (n - 2) / 2.0 * ln(1 - r * r) + lgamma((n - 1) / 2.0 + k) - lgamma(k + 1.5) - lgamma((n - 2) / 2.0)))), 6) AS p FROM c"""
 )
 def spearman(t: Tables) -> DataFrame:
-    """Rank correlation: average ranks from counts of distinct values."""
-    return stat.spearman(t.part, "p_size", "p_retailprice").select(F.round("rho", 6).alias("rho"), "n")
+    """Rank correlation: average ranks from counts of distinct values; p is the chance of one as far from 0."""
+    found = stat.spearman(t.part, "p_size", "p_retailprice")
+    return found.select(F.round("rho", 6).alias("rho"), "n", F.round(special.correlation_probability(F.col("rho"), F.col("n")), 6).alias("p"))
 
 
 @query(
@@ -37,24 +41,31 @@ def ks_two_sample(t: Tables) -> DataFrame:
     return stat.ks_distance(rows, "o_totalprice", F.col("a")).select(F.round("d", 9).alias("d"))
 
 
+def _with_chance(found: DataFrame) -> DataFrame:
+    """A chi-square value, its degrees of freedom, and the chance of one as large."""
+    return found.select(F.round("chi2", 6).alias("chi2"), "dof", F.round(special.chi2_probability(F.col("chi2"), F.col("dof")), 6).alias("p"))
+
+
 @query(
     """WITH b AS (SELECT floor(l_quantity / 10)::BIGINT AS bin, count(*) FILTER (l_returnflag = 'R') AS o, count(*) AS e FROM lineitem GROUP BY 1),
             s AS (SELECT o, e * (sum(o) OVER () / sum(e) OVER ()) AS e FROM b)
-       SELECT round(sum((o - e) ** 2 / e), 6) AS chi2, count(*) - 1 AS dof FROM s WHERE e > 0"""
+            , x AS (SELECT sum((o - e) ** 2 / e) AS chi2, count(*) - 1 AS dof FROM s WHERE e > 0)
+       SELECT round(chi2, 6) AS chi2, dof, round(1 - list_sum(list_transform(range(0, 2000), lambda k: CASE WHEN chi2 > 0 THEN exp((dof / 2.0 + k) * ln(chi2 / 2) - chi2 / 2 - lgamma(dof / 2.0 + k + 1)) ELSE 0 END)), 6) AS p FROM x"""
 )
 def chi2_gof(t: Tables) -> DataFrame:
     """Goodness of fit of a subset's histogram to the whole's, scaled to the subset's size."""
     bins = t.lineitem.groupBy(F.floor(F.col("l_quantity") / 10).alias("bin")).agg(F.count_if(F.col("l_returnflag") == "R").alias("o"), F.count("*").alias("e"))
-    return stat.chi2_fit(bins, "o", "e").select(F.round("chi2", 6).alias("chi2"), "dof")
+    return _with_chance(stat.chi2_fit(bins, "o", "e"))
 
 
 @query(
     """WITH c AS (SELECT a.source, b.lang, count(d.doc_id) AS o FROM (SELECT DISTINCT source FROM documents) a CROSS JOIN (SELECT DISTINCT lang FROM documents) b LEFT JOIN documents d ON d.source = a.source AND d.lang = b.lang GROUP BY 1, 2),
             e AS (SELECT o, sum(o) OVER (PARTITION BY source) * sum(o) OVER (PARTITION BY lang) / sum(o) OVER () AS e FROM c)
-       SELECT round(sum((o - e) ** 2 / e), 6) AS chi2, ((SELECT count(DISTINCT source) FROM documents) - 1) * ((SELECT count(DISTINCT lang) FROM documents) - 1) AS dof FROM e"""
+            , x AS (SELECT sum((o - e) ** 2 / e) AS chi2, ((SELECT count(DISTINCT source) FROM documents) - 1) * ((SELECT count(DISTINCT lang) FROM documents) - 1) AS dof FROM e)
+       SELECT round(chi2, 6) AS chi2, dof, round(1 - list_sum(list_transform(range(0, 2000), lambda k: CASE WHEN chi2 > 0 THEN exp((dof / 2.0 + k) * ln(chi2 / 2) - chi2 / 2 - lgamma(dof / 2.0 + k + 1)) ELSE 0 END)), 6) AS p FROM x"""
 )
 def chi2_contingency(t: Tables) -> DataFrame:
-    return stat.chi2_independence(t.documents, "source", "lang").select(F.round("chi2", 6).alias("chi2"), "dof")
+    return _with_chance(stat.chi2_independence(t.documents, "source", "lang"))
 
 
 @query("WITH s AS (SELECT avg(n_chars) AS m, stddev_samp(n_chars) AS s FROM documents) SELECT doc_id, round((n_chars - m) / s, 6) AS sigma FROM documents, s WHERE abs(n_chars - m) > s")
