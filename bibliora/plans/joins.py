@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import intervals, matching
+from ..operators import intervals, matching, positions
 from .registry import Tables, query
 
 
@@ -104,6 +104,21 @@ def string_range_join(t: Tables) -> DataFrame:
     return intervals.first_intervals(ids, "id", chunks, "lo", "hi", "chunk")
 
 
+
+@query(
+    r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS word, generate_subscripts(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), 1) AS place FROM documents),
+             m AS (SELECT doc_id, place, word FROM w WHERE regexp_matches(word, '^[A-Z]')), o AS (SELECT doc_id, place, word AS near FROM w WHERE regexp_matches(word, '(tion|mente|lich|ment)$')),
+             p AS (SELECT m.*, b.place AS b_at, b.near AS b FROM m ASOF LEFT JOIN o b ON m.doc_id = b.doc_id AND m.place >= b.place),
+             q AS (SELECT p.*, a.place AS a_at, a.near AS a FROM p ASOF LEFT JOIN o a ON p.doc_id = a.doc_id AND p.place <= a.place),
+             d AS (SELECT *, CASE WHEN place - b_at <= 25 THEN place - b_at END AS l, CASE WHEN a_at - place <= 25 THEN a_at - place END AS r FROM q)
+        SELECT doc_id, place::INTEGER AS place, word, CASE WHEN l IS NOT NULL AND l <= coalesce(r, l) THEN b WHEN r IS NOT NULL THEN a END AS near, least(l, r)::INTEGER AS distance FROM d"""
+)
+def nearest_words(t: Tables) -> DataFrame:
+    """Capitalised words with the nearest word of some endings, at most 25 words away; the earlier of two as near."""
+    words = t.documents.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("place", "word")).withColumn("place", F.col("place") + 1)
+    others = words.filter(F.col("word").rlike("(tion|mente|lich|ment)$")).select("doc_id", "place", F.col("word").alias("near"))
+    return positions.nearest(words.filter(F.col("word").rlike("^[A-Z]")), others, "doc_id", "place", "near", 25)
+
 _TITLE = r"list_filter(list_distinct(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+')), lambda x: x NOT IN ('the', 'a', 'an', 'of', 'in', 'on', 'for', 'and', 'with', 'from', 'to', 'by', 'its', 'their', 'using', 'study', 'new', 'based'))"
 
 
