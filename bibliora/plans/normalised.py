@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import dictionaries, normalise
+from ..operators import alternation, dictionaries, normalise
 from .registry import Tables, query
 
 _LABEL_TERMS = [("the", "determiner", 0), ("der", "determiner", 1), ("la", "determiner", 2), ("and", "conjunction", 3), ("und", "conjunction", 4), ("y", "conjunction", 5), ("with", "preposition", 6), ("mit", "preposition", 7)]
@@ -177,3 +177,22 @@ def surname_lookup(t: Tables) -> DataFrame:
     rows = t.documents.select("doc_id", F.get(listed, F.lit(0)).alias("author"), listed.alias("authors"))
     beside = F.transform("authors", lambda x: F.length(x).cast("string"))
     return rows.select("doc_id", normalise.affiliation_by_surname(F.col("author"), F.col("authors"), beside).alias("affiliation"))
+
+
+_LINE_TERMS = [("the", "THE"), ("the and", "THE AND"), ("and", "AND"), ("of", "OF"), ("of the", "OF THE"), ("in", "IN"), ("in the", "IN THE"), ("que", "QUE"), ("que la", "QUE LA"), ("und", "AND")]
+_LINE_PATTERN = r"(?i)\b(" + "|".join(sorted((a for a, _ in _LINE_TERMS), key=len, reverse=True)) + r")\b"
+_LINE_NAMES = "MAP {" + ", ".join(f"'{a}': '{b}'" for a, b in _LINE_TERMS) + "}"
+
+
+@query(
+    rf"""WITH l AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '[^\x00-\x7F\P{{L}}]', 'x', 'g'), chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+             h AS (SELECT doc_id, pos, regexp_extract_all(line, '{_LINE_PATTERN}') AS names FROM l WHERE regexp_matches(line, '{_LINE_PATTERN}')),
+             f AS (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) > 2 THEN 1 ELSE 0 END AS far FROM h),
+             c AS (SELECT *, max(far) OVER (PARTITION BY doc_id ORDER BY pos) AS cut FROM f),
+             n AS (SELECT doc_id, string_agg(array_to_string(list_transform(names, lambda x: {_LINE_NAMES}[lower(x)]), ';'), ';' ORDER BY pos) AS found FROM c WHERE cut = 0 GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(found, '') AS found FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id"""
+)
+def line_alternation(t: Tables) -> DataFrame:
+    """Names of terms, longest first, line by line in order with repeats, up to the first two lines in a row without any."""
+    found = alternation.terms_until_gap(t.documents, "doc_id", "text", _LINE_TERMS, gap=2)
+    return found.select("doc_id", F.array_join("found", ";").alias("found"))
