@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import alternation, dictionaries, normalise
+from ..operators import alternation, dictionaries, normalise, strategies
 from .registry import Tables, query
 
 _LABEL_TERMS = [("the", "determiner", 0), ("der", "determiner", 1), ("la", "determiner", 2), ("and", "conjunction", 3), ("und", "conjunction", 4), ("y", "conjunction", 5), ("with", "preposition", 6), ("mit", "preposition", 7)]
@@ -196,3 +196,24 @@ def line_alternation(t: Tables) -> DataFrame:
     """Names of terms, longest first, line by line in order with repeats, up to the first two lines in a row without any."""
     found = alternation.terms_until_gap(t.documents, "doc_id", "text", _LINE_TERMS, gap=2)
     return found.select("doc_id", F.array_join("found", ";").alias("found"))
+
+
+@query(
+    """SELECT l_orderkey AS o_orderkey, author, string_agg(n_name, '; ' ORDER BY n_name) AS affiliations
+       FROM (SELECT DISTINCT l_orderkey, s_name AS author, n_name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey) GROUP BY 1, 2"""
+)
+def front_matter_styles(t: Tables) -> DataFrame:
+    """Suppliers of orders as authors and their nations as affiliations, written in four styles of LaTeX and read by dispatch."""
+    pairs = t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).select("l_orderkey", "s_name", "n_name").distinct()
+    papers = pairs.groupBy("l_orderkey").agg(F.array_sort(F.collect_set("s_name")).alias("names"), F.array_sort(F.collect_set("n_name")).alias("places"), F.map_from_entries(F.collect_set(F.struct("s_name", "n_name"))).alias("of"))
+    mark = lambda n: F.array_position("places", F.try_element_at("of", n)).cast("string")
+    joined = lambda column, form, by: F.array_join(F.transform(column, form), by)
+    number = lambda i: (i + 1).cast("string")
+    block = F.concat(F.lit("\\author{"), joined("names", lambda n: F.concat(n, F.lit("$^{"), mark(n), F.lit("}$")), ", "), F.lit("\\\\ "), joined("places", lambda p, i: F.concat(F.lit("$^{"), number(i), F.lit("}$"), p), "\\\\ "), F.lit("}"))
+    noted = F.concat(joined("names", lambda n: F.concat(F.lit("\\author{"), n, F.lit("\\altaffilmark{"), mark(n), F.lit("}}")), "\n"), joined("places", lambda p, i: F.concat(F.lit("\\altaffiltext{"), number(i), F.lit("}{"), p, F.lit("}")), "\n"))
+    labelled = F.concat(joined("names", lambda n: F.concat(F.lit("\\author["), mark(n), F.lit("]{"), n, F.lit("}")), "\n"), joined("places", lambda p, i: F.concat(F.lit("\\address["), number(i), F.lit("]{"), p, F.lit("}")), "\n"))
+    mapped = F.concat(F.lit("\\author{"), joined("names", lambda n: F.concat(n, F.lit("\\inst{"), mark(n), F.lit("}")), " \\and "), F.lit("}\\institute{"), F.array_join("places", " \\and "), F.lit("}"))
+    style = F.col("l_orderkey") % 4
+    text = F.when(style == 0, block).when(style == 1, noted).when(style == 2, labelled).otherwise(mapped)
+    found = papers.select(F.col("l_orderkey").alias("o_orderkey"), strategies.dispatched(text).alias("f")).select("o_orderkey", F.explode("f.authors").alias("a"))
+    return found.select("o_orderkey", F.col("a.author").alias("author"), F.array_join(F.array_sort("a.affiliations"), "; ").alias("affiliations"))

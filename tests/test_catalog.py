@@ -38,5 +38,9 @@ def test_query_equals_sql(spark, duck, name):
     assert sorted(tuple(plain(v) for v in r) for r in rows.select(columns).collect()) == expected
 
 
+#: What SQL cannot express; tests of their own hold these against brute force.
+WITHOUT_SQL = {"series_forecasts"}
+
+
 def test_every_query_has_sql():
-    assert set(catalog.ORACLE_SQL) == set(catalog.QUERIES)
+    assert set(catalog.ORACLE_SQL) == set(catalog.QUERIES) - WITHOUT_SQL
