@@ -37,8 +37,15 @@ def rotation(size: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Vectors times powers of two that bring their largest components near 1: cosines stay the same to the last bit, and
+    lengths of very small or very large vectors neither vanish nor overflow."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, keepdims=True))[1])
+
+
 def build_index(embeddings: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(vec_id, size, code, correction, v, length) of every usable row: packed signs, correction scalar, original vector."""
+    """(vec_id, size, code, correction, v, length) of every usable row: packed signs, correction scalar, original vector, and
+    the length that it has when scaled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -47,7 +54,7 @@ def build_index(embeddings: DataFrame, key: str = "vec_id", vector: str = "embed
                 sizes = np.asarray(part.column("v").value_lengths())
                 for size in np.unique(sizes):
                     some = part.filter(pa.array(sizes == size))
-                    vectors = matrix(some.column("v"))
+                    vectors = scaled(matrix(some.column("v")))
                     units = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
                     turned = units @ rotation(int(size))
                     packed = np.packbits(turned > 0, axis=1)
@@ -104,6 +111,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query (vec_id, v) the k nearest found in ``index``."""
     found = Collected(index.sparkSession, "query_id long, rank int, vec_id long, score double", "nearest")
     for ids, vectors in query_blocks(queries, "vec_id", "v", BLOCK):
+        vectors = scaled(vectors)
         norms = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
         turned = ((vectors / norms[:, None]) @ rotation(vectors.shape[1])).astype(np.float32)
         bars = _bars(index, ids, turned, k)
@@ -115,7 +123,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
                 # a little below the bar, for the estimates are in single precision
                 q, c = np.nonzero((estimate + error >= (bars - 1e-5)[:, None]) & (names[None, :] != ids[:, None]))
                 rows, place = np.unique(c, return_inverse=True)  # of these alone the original vectors are looked at
-                originals, lengths = matrix(part.column("v").take(pa.array(rows))), part.column("length").to_numpy()
+                originals, lengths = scaled(matrix(part.column("v").take(pa.array(rows)))) if len(rows) else vectors[:0], part.column("length").to_numpy()
                 exact = np.concatenate([np.einsum("ij,ij->i", vectors[q[s : s + 65536]], originals[place[s : s + 65536]]) for s in range(0, len(q), 65536)] or [np.empty(0)]) / (norms[q] * lengths[c])
                 order = np.lexsort((names[c], -exact, q))
                 q, c, exact = q[order], c[order], exact[order]

@@ -55,3 +55,12 @@ def test_few_and_no_candidates(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [-1.0, 0.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in exact_topk.top_k(few, "vec_id = 0").orderBy("rank").collect()] == [(0, 1, 1, 512 * 1024), (0, 2, 2, -1024 * 1024)]
     assert [r.vec_id for r in one_bit_search.nearest_neighbours(few, "vec_id = 0").orderBy("rank").collect()] == [1, 2]
+
+
+def test_cosines_of_very_small_and_very_large_vectors(spark):
+    vectors = [(1, [1e-200, 2e-200]), (2, [1e200, 2e200]), (3, [1.0, 2.0]), (4, [2.0, -1.0]), (5, [5e-324, 0.0]), (6, [1.7e308, 1.7e308])]
+    table = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    rows = one_bit_search.nearest_neighbours(table, "vec_id <= 6", 2).collect()
+    best = {(r.query_id, r.rank): (r.vec_id, r.score) for r in rows}
+    assert {q: best[q, 1][0] for q in (1, 2, 3)} == {1: 2, 2: 1, 3: 1} and all(best[q, 1][1] == pytest.approx(1) for q in (1, 2, 3))
+    assert best[5, 1] == (4, pytest.approx(2 / 5**0.5)) and best[6, 1] == (1, pytest.approx(3 / 10**0.5)) and len(best) == 12
