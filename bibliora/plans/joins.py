@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import intervals, matching, positions
+from ..operators import intervals, matching, positions, spellings
 from .registry import Tables, query
 
 
@@ -309,3 +309,15 @@ def pad_last(t: Tables) -> DataFrame:
     )
     pairs = both.select("conv_id", F.posexplode(matching.padded("roles", "sizes")).alias("slot", "pair"))
     return pairs.select("conv_id", (F.col("slot") + 1).alias("slot"), F.col("pair.a").alias("role"), F.col("pair.b").alias("size"))
+
+
+@query()
+def spelling_join(t: Tables) -> DataFrame:
+    """The first two words of texts as names, "Second, First", with the names of other texts that have a spelling in common when
+    these are written without marks. SQL cannot rewrite by weights; tests hold it against a search over every pair of names."""
+    words = F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))
+    pairs = t.documents.select(F.get(words, F.lit(0)).alias("first"), F.get(words, F.lit(1)).alias("second")).dropna().distinct()
+    plain = F.translate(F.concat_ws(" ", "first", "second"), "äöüéèêçñóíáàâîôûÄÖÜÉ", "aoueeecnoiaaaiouAOUE")
+    names = pairs.select(F.concat_ws(", ", "second", "first").alias("name")).distinct()
+    known = pairs.select(plain.alias("known")).distinct()
+    return spellings.by_spelling(names.withColumn("n", F.col("name")), "n", "name", known.withColumn("k", F.col("known")), "k", "known").toDF("name", "known", "rank")

@@ -39,7 +39,7 @@ def test_query_equals_sql(spark, duck, name):
 
 
 #: What SQL cannot express; tests of their own hold these against brute force.
-WITHOUT_SQL = {"series_forecasts"}
+WITHOUT_SQL = {"series_forecasts", "spelling_join"}
 
 
 def test_every_query_has_sql():
