@@ -75,7 +75,9 @@ def removed_places(rows, doc):
 
 
 def test_pipeline_equals_plain_python(spark, folder):
+    before = spark.conf.get(corpus_pipeline.BATCH_SETTING)
     found = Counter((r.doc_id, r.n_tokens, r.ids_sha256) for r in corpus_pipeline.run(spark, folder).collect())
+    assert spark.conf.get(corpus_pipeline.BATCH_SETTING) == before
     assert found == by_hand(spark, folder)
     assert len(found) > 40
 
