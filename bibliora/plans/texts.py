@@ -87,7 +87,7 @@ PATTERNS = [
 _BANK = "(VALUES " + ", ".join("('{}', '{}', {})".format(p.replace("'", "''"), c, o) for p, c, o in PATTERNS) + ") v(pattern, canonical, ord)"
 
 
-@query(rf"SELECT pattern, count(*) AS papers FROM {_BANK} JOIN documents ON regexp_matches(text, replace(replace(pattern, '\w', '[\p{{L}}\p{{N}}_]'), '\b', '\b'), 'i') GROUP BY pattern")
+@query(rf"SELECT pattern, count(*) AS papers FROM {_BANK} JOIN documents ON regexp_matches(text, replace(replace(pattern, '\w', '[\p{{L}}\p{{N}}_]'), '\b', '(^|$|[^\p{{L}}\p{{N}}_])'), 'i') GROUP BY pattern")
 def pattern_counts(t: Tables) -> DataFrame:
     """Papers, not occurrences, that each pattern of a bank matches, whatever the case."""
     hits = patterns.pattern_matches(t.documents.select("doc_id", "text"), ["text"], patterns.bank(t.spark, PATTERNS))
