@@ -23,13 +23,16 @@ BY_MARKS, BY_ORDER, UNTIED, SURE = 0.95, 0.75, 0.2, 0.8
 
 _MARK = re.compile(r"\$\s*\^\s*(\{[^$]*\}|[^$\s])\s*\$|\\(?:textsuperscript|altaffilmark|inst|aff)\s*\{([^}]*)\}")
 _LEAD = re.compile(r"\s*(?:\$\s*\^\s*\{?(\w+)\}?\s*\$|\\textsuperscript\{(\w+)\})")
+_LINE_END, _MARKS_APART, _NO_WORD, _NO_NAME, _AND_FIRST = re.compile(r"\\\\(?:\[[^\]]*\])?"), re.compile(r"[,;\s]+"), re.compile(r"[^\w]"), re.compile(r"[\W\d]+"), re.compile(r"^(and\s+)+")
+_BETWEEN = re.compile(r"\\and\b|\\AND\b|\\newauthor\b|(?<=\$),(?!\s*\$)|(?<=\}),(?=[^{}]*(?:\{[^{}]*\}[^{}]*)*$)|\band\b")
+_COMMA_OUTSIDE = re.compile(r",(?![^{]*\})")
 _COMMA_BEFORE_MARK = re.compile(r"(?<![$}\s]),\s*(\$\s*\^\s*(?:\{[^$]*\}|[^$\s])\s*\$)")
 
 
 def _boxes(text: str) -> list[tuple[int, int, str]]:
     """(start, end, content) of the ``\\parbox{width}{content}`` of a text."""
     found = []
-    for box in latex.commands(text, "parbox"):
+    for box in latex.commands(text, "parbox") if "\\parbox" in text else ():
         if opening := re.compile(r"\s*\{").match(text, box.end):
             end = latex.closing(text, opening.end() - 1, "{}")
             found.append((box.start, end, text[opening.end() : end - 1]))
@@ -46,7 +49,7 @@ def _unboxed(text: str) -> str:
 def _lines_apart(content: str) -> tuple[str, dict[str, str]]:
     """The names in an author argument, and the affiliations under them by the marks that lead their lines."""
     names, marked = [], {}
-    for line in re.split(r"\\\\(?:\[[^\]]*\])?", content):
+    for line in _LINE_END.split(content):
         lead = _LEAD.match(line)
         name = latex.plain(line[lead.end() :]) if lead else ""
         if name:
@@ -59,20 +62,21 @@ def _lines_apart(content: str) -> tuple[str, dict[str, str]]:
 def _marks(text: str) -> list[str]:
     found = []
     for match in _MARK.finditer(latex.without(text, "orcidlink", "orcid", "thanks", "email")):
-        found += [m.strip() for m in re.split(r"[,;\s]+", (match[1] or match[2] or "").strip("{}")) if m.strip(" \\*$")]
-    return [re.sub(r"[^\w]", "", m) for m in found if re.sub(r"[^\w]", "", m)]
+        found += [_NO_WORD.sub("", m) for m in _MARKS_APART.split((match[1] or match[2] or "").strip("{}"))]
+    return [m for m in found if m]
 
 
 def _names(content: str) -> list[tuple[str, list[str]]]:
     """The names in an author argument, with the marks of each."""
-    content = _COMMA_BEFORE_MARK.sub(r"\1,", content)
-    pieces = re.split(r"\\and\b|\\AND\b|\\newauthor\b|(?<=\$),(?!\s*\$)|(?<=\}),(?=[^{}]*(?:\{[^{}]*\}[^{}]*)*$)|\band\b", content)
+    if "$" in content:
+        content = _COMMA_BEFORE_MARK.sub(r"\1,", content)
+    pieces = _BETWEEN.split(content)
     if not _MARK.search(content):
-        pieces = [p for piece in pieces for p in re.split(r",(?![^{]*\})", piece)]
+        pieces = [p for piece in pieces for p in _COMMA_OUTSIDE.split(piece)]
     found = []
     for piece in pieces:
-        name = re.sub(r"^(and\s+)+", "", latex.plain(_MARK.sub(" ", piece)))
-        if name and not re.fullmatch(r"[\W\d]+", name):
+        name = _AND_FIRST.sub("", latex.plain(_MARK.sub(" ", piece)))
+        if name and not _NO_NAME.fullmatch(name):
             found.append((name, _marks(piece)))
     return found
 

@@ -204,9 +204,10 @@ def line_alternation(t: Tables) -> DataFrame:
 )
 def front_matter_styles(t: Tables) -> DataFrame:
     """Suppliers of orders as authors and their nations as affiliations, written in four styles of LaTeX and read by dispatch."""
-    pairs = t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).select("l_orderkey", "s_name", "n_name").distinct()
-    papers = pairs.groupBy("l_orderkey").agg(F.array_sort(F.collect_set("s_name")).alias("names"), F.array_sort(F.collect_set("n_name")).alias("places"), F.map_from_entries(F.collect_set(F.struct("s_name", "n_name"))).alias("of"))
-    mark = lambda n: F.array_position("places", F.try_element_at("of", n)).cast("string")
+    made = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.struct("s_name", "n_name").alias("made"))
+    pairs = t.lineitem.select("l_orderkey", "l_suppkey").join(made, F.col("l_suppkey") == F.col("s_suppkey")).select("l_orderkey", "made")
+    papers = pairs.groupBy("l_orderkey").agg(F.array_sort(F.collect_set("made.s_name")).alias("names"), F.array_sort(F.collect_set("made.n_name")).alias("places"), F.collect_set("made").alias("of"))
+    mark = lambda n: F.array_join(F.transform(F.filter("of", lambda o: o["s_name"] == n), lambda o: F.array_position("places", o["n_name"]).cast("string")), ",")
     joined = lambda column, form, by: F.array_join(F.transform(column, form), by)
     number = lambda i: (i + 1).cast("string")
     block = F.concat(F.lit("\\author{"), joined("names", lambda n: F.concat(n, F.lit("$^{"), mark(n), F.lit("}$")), ", "), F.lit("\\\\ "), joined("places", lambda p, i: F.concat(F.lit("$^{"), number(i), F.lit("}$"), p), "\\\\ "), F.lit("}"))
@@ -215,5 +216,5 @@ def front_matter_styles(t: Tables) -> DataFrame:
     mapped = F.concat(F.lit("\\author{"), joined("names", lambda n: F.concat(n, F.lit("\\inst{"), mark(n), F.lit("}")), " \\and "), F.lit("}\\institute{"), F.array_join("places", " \\and "), F.lit("}"))
     style = F.col("l_orderkey") % 4
     text = F.when(style == 0, block).when(style == 1, noted).when(style == 2, labelled).otherwise(mapped)
-    found = papers.select(F.col("l_orderkey").alias("o_orderkey"), strategies.dispatched(text).alias("f")).select("o_orderkey", F.explode("f.authors").alias("a"))
-    return found.select("o_orderkey", F.col("a.author").alias("author"), F.array_join(F.array_sort("a.affiliations"), "; ").alias("affiliations"))
+    found = strategies.tied_authors(papers.select(F.col("l_orderkey").alias("o_orderkey"), text.alias("text")), "o_orderkey", "text")
+    return found.select("o_orderkey", "author", F.array_join(F.array_sort("affiliations"), "; ").alias("affiliations"))

@@ -52,3 +52,28 @@ def test_column(spark):
         assert found[k].strategy == name and [(a.author, list(a.affiliations)) for a in found[k].authors] == authors
         assert found[k].confidence == sure and found[k].needs_review == (sure < 0.8)
     assert found[99].strategy == "none" and found[99].authors == []
+
+
+def test_rows_of_tied_authors_equal_the_column(spark):
+    rows = spark.createDataFrame([(k, s[1]) for k, s in enumerate(STYLES)] + [(99, None), (100, "")], "k long, t string").repartition(3)
+    expected = {(r.k, a.author, tuple(a.affiliations)) for r in rows.select("k", strategies.dispatched(F.col("t")).alias("f")).collect() for a in r.f.authors}
+    found = [(r.k, r.author, tuple(r.affiliations)) for r in strategies.tied_authors(rows, "k", "t").collect()]
+    assert set(found) == expected and len(found) == len(expected) == 2 * len(STYLES)
+
+
+def test_front_matter_styles_of_one_name_in_two_nations(spark, tmp_path):
+    import duckdb
+
+    from bibliora.plans import catalog
+
+    tables = {
+        "lineitem": ([(o, s) for o in range(8) for s in (0, 1, 2, o % 2)], "l_orderkey long, l_suppkey long"),
+        "supplier": ([(0, "Lee", 0), (1, "Lee", 1), (2, "Day", 1)], "s_suppkey long, s_name string, s_nationkey int"),
+        "nation": ([(0, "UNITED KINGDOM"), (1, "PERU")], "n_nationkey int, n_name string"),
+    }
+    con = duckdb.connect()
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    found = {tuple(r) for r in catalog.QUERIES["front_matter_styles"](spark, str(tmp_path)).collect()}
+    assert found == set(con.execute(catalog.ORACLE_SQL["front_matter_styles"]).fetchall()) and len(found) == 16
