@@ -15,7 +15,9 @@ from __future__ import annotations
 import heapq
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+from math import prod
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,6 +31,7 @@ TWO_LETTERS = {"ä": "ae", "ö": "oe", "ü": "ue", "ß": "ss", "ø": "oe", "å":
 _SAME = re.compile(r"(?<=a)[ea]|(?<=o)e|(?<=u)e|(?<=s)s")
 
 
+@lru_cache(4096)
 def options(letter: str) -> list[tuple[str, int]]:
     """How a letter may be written, and what that costs."""
     found = [(letter, 0)]
@@ -61,7 +64,10 @@ def forms(name: str | None) -> list[tuple[str, int]]:
 
 def spellings(name: str | None, most: int = MOST) -> tuple[list[tuple[str, int]], bool]:
     """The cheapest spellings of a name with their ranks, and whether these are all."""
-    heap = [(cost, "", form) for form, cost in forms(name)]
+    listed = forms(name)
+    if len(listed) <= most and all(form.isascii() for form, _ in listed):  # no letter has a choice
+        return sorted(listed, key=lambda f: (f[1], f[0])), True
+    heap = [(cost, "", form) for form, cost in listed]
     heapq.heapify(heap)
     found: dict[str, int] = {}
     while heap:
@@ -109,39 +115,62 @@ def skeletons(name: str | None) -> list[str]:
     """Keys of a name that it shares with every name it has a spelling in common with: one for each order of its parts."""
     found = []
     for form, _ in forms(name):
-        bare = "".join(min((t for t, _ in options(c)), key=lambda t: (not t.isascii(), len(t), t == "v")) for c in form)
+        bare = form if form.isascii() else "".join(map(_barest, form))
         found.append(_SAME.sub("", bare.replace("v", "u")))
     return list(dict.fromkeys(found))
 
 
+@lru_cache(4096)
+def _barest(letter: str) -> str:
+    return min((t for t, _ in options(letter)), key=lambda t: (not t.isascii(), len(t), t == "v"))
+
+
+def beyond(name: str | None, most: int = MOST) -> bool:
+    """Whether a name has more spellings than are written out."""
+    many = sum(1 if form.isascii() else prod(len(options(c)) for c in form) for form, _ in forms(name))
+    return many > most and not spellings(name, most)[1]
+
+
 def by_spelling(left: DataFrame, left_key: str, left_name: str, right: DataFrame, right_key: str, right_name: str, most: int = MOST) -> DataFrame:
     """(left_key, right_key, rank) of all pairs of rows whose names have a spelling in common, with the least rank.
 
     Null and empty names match nothing. Different names are rewritten once, however many rows have them.
     """
 
-    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names, texts, ranks, beyond = [], [], [], []
-            for name in batch.column(0).to_pylist():
-                listed, complete = spellings(name, most)
-                rows = [(text, rank, False) for text, rank in listed] if complete else []
-                rows += [(key, None, not complete) for key in skeletons(name)]
-                names += [name] * len(rows)
-                texts += [r[0] for r in rows]
-                ranks += [r[1] for r in rows]
-                beyond += [r[2] for r in rows]
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.string()), pa.array(ranks, pa.int32()), pa.array(beyond)], names=["name", "text", "rank", "beyond"])
-
-    def keyed(rows: DataFrame, name: str, side: str) -> DataFrame:
-        different = rows.select(F.col(name).alias("name")).dropna().distinct()
-        return different.mapInArrow(written, "name string, text string, rank int, beyond boolean").select(*[F.col(c).alias(f"_{side}_{c}") for c in ("name", "text", "rank", "beyond")])
-
-    a, b = keyed(left, left_name, "a"), keyed(right, right_name, "b")
-    same = F.col("_a_text") == F.col("_b_text")
-    met = a.filter("_a_rank IS NOT NULL").join(b.filter("_b_rank IS NOT NULL"), same).select("_a_name", "_b_name", (F.col("_a_rank") + F.col("_b_rank")).alias("rank"))
-    far = a.filter("_a_rank IS NULL").join(b.filter("_b_rank IS NULL"), same).filter("_a_beyond OR _b_beyond").select("_a_name", "_b_name").distinct()
-    ranked = far.select("_a_name", "_b_name", F.udf(common_rank, "int", useArrow=False)("_a_name", "_b_name").alias("rank")).filter("rank IS NOT NULL")
-    pairs = met.unionByName(ranked).groupBy("_a_name", "_b_name").agg(F.min("rank").alias("rank"))
+    pairs = meetings(left.select(left_name), right.select(right_name), most)
     left_rows, right_rows = left.select(left_key, F.col(left_name).alias("_a_name")), right.select(right_key, F.col(right_name).alias("_b_name"))
     return left_rows.join(pairs, "_a_name").join(right_rows, "_b_name").select(left_key, right_key, "rank")
+
+
+def meetings(left: DataFrame, right: DataFrame, most: int = MOST) -> DataFrame:
+    """(_a_name, _b_name, rank) of the different names in two columns that have a spelling in common, once each.
+
+    Names whose spellings are all written out meet in these. Skeletons join only pairs of which one has more: ``kind`` 1 for
+    the left one with any name, 2 for the right one with the others, so that no pair is made in vain.
+    """
+
+    def spelled(name: str) -> list[tuple]:
+        listed, complete = spellings(name, most)
+        return [(name, text, rank) for text, rank in listed] if complete else []
+
+    def keyed(mine: int, other: int) -> Callable[[str], list[tuple]]:
+        def keys(name: str) -> list[tuple]:
+            kinds = (mine, other) if mine == 2 else (mine,)
+            return [(name, key, kind) for key in skeletons(name) for kind in (kinds if beyond(name, most) else (other,))]
+
+        return keys
+
+    def each(names: DataFrame, side: str, rows: Callable[[str], list[tuple]], number: str) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [row for name in batch.column(0).to_pylist() for row in rows(name)]
+                columns = [pa.array([r[k] for r in found], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, names=[f"_{side}_name", "text", number])
+
+        return names.toDF("name").dropna().distinct().mapInArrow(run, f"_{side}_name string, text string, {number} int")
+
+    met = each(left, "a", spelled, "_a_rank").join(each(right, "b", spelled, "_b_rank"), "text").select("_a_name", "_b_name", (F.col("_a_rank") + F.col("_b_rank")).alias("rank"))
+    # left: kind 1 if beyond, else 2; right: kinds 1 and 2 if beyond, else 1
+    far = each(left, "a", keyed(1, 2), "kind").join(each(right, "b", keyed(2, 1), "kind"), ["text", "kind"]).select("_a_name", "_b_name").distinct()
+    ranked = far.select("_a_name", "_b_name", F.udf(common_rank, "int", useArrow=False)("_a_name", "_b_name").alias("rank")).filter("rank IS NOT NULL")
+    return met.unionByName(ranked).groupBy("_a_name", "_b_name").agg(F.min("rank").alias("rank"))

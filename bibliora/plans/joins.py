@@ -315,9 +315,9 @@ def pad_last(t: Tables) -> DataFrame:
 def spelling_join(t: Tables) -> DataFrame:
     """The first two words of texts as names, "Second, First", with the names of other texts that have a spelling in common when
     these are written without marks. SQL cannot rewrite by weights; tests hold it against a search over every pair of names."""
-    words = F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))
-    pairs = t.documents.select(F.get(words, F.lit(0)).alias("first"), F.get(words, F.lit(1)).alias("second")).dropna().distinct()
+    word = lambda pattern: F.nullif(F.regexp_extract("text", pattern, 1), F.lit(""))
+    pairs = t.documents.select(word(r"^\P{L}*+(\p{L}+)").alias("first"), word(r"^\P{L}*+\p{L}++\P{L}++(\p{L}+)").alias("second")).dropna().distinct()
     plain = F.translate(F.concat_ws(" ", "first", "second"), "äöüéèêçñóíáàâîôûÄÖÜÉ", "aoueeecnoiaaaiouAOUE")
     names = pairs.select(F.concat_ws(", ", "second", "first").alias("name")).distinct()
     known = pairs.select(plain.alias("known")).distinct()
-    return spellings.by_spelling(names.withColumn("n", F.col("name")), "n", "name", known.withColumn("k", F.col("known")), "k", "known").toDF("name", "known", "rank")
+    return spellings.meetings(names, known).toDF("name", "known", "rank")

@@ -59,3 +59,33 @@ def test_query_over_the_documents(spark):
     assert {(a, b, r) for a in names for b in known if (r := sp.common_rank(a, b)) is not None} == found
     texts = [re.findall(r"[^\W\d_]+", r.text or "") for r in spark.read.parquet(f"{folder}/documents.parquet").select("text").collect()]
     assert names == {f"{w[1]}, {w[0]}" for w in texts if len(w) > 1}
+
+
+def test_skeletons_join_no_pairs_in_vain(spark, monkeypatch):
+    asked = spark.sparkContext.accumulator(0)
+    search = sp.common_rank
+
+    def counted(a, b):
+        asked.add(1)
+        return search(a, b)
+
+    monkeypatch.setattr(sp, "common_rank", counted)
+    names = [f"Xv{'ü' * k}, Anna" for k in range(5)] + [f"A{chr(97 + k)}na Smith" for k in range(20)] + ["", None, "Annä Smith"]
+    rows = spark.createDataFrame([(n,) for n in names + names[:3]], "name string").repartition(3)
+    found = [tuple(r) for r in sp.meetings(rows, rows, most=20).collect()]
+    expected = {(a, b, rank) for a in names for b in names if (rank := brute_force(a, b)) is not None}
+    assert set(found) == expected and len(found) == len(expected) > 400
+    assert 0 < asked.value < 200  # pairs of names of which both are written out meet without a search
+
+
+def test_beyond_tells_names_that_are_not_written_out():
+    for name in NAMES:
+        for most in (1, 2, 5, 64):
+            assert sp.beyond(name, most) == (not sp.spellings(name, most)[1])
+
+
+def test_first_two_words_of_texts(spark, tmp_path):
+    texts = ["Anna Smith says", " 1. Änna-Smith", "Anna", "", None, "1 2", "b" * 50000, "x" * 30000 + " y", "Ana\nSmyth\nmore", "漢字 Smith"]
+    spark.createDataFrame([(t,) for t in texts], "text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.name for r in catalog.QUERIES["spelling_join"](spark, str(tmp_path)).collect()}
+    assert found == {"Smith, Anna", "Smith, Änna", "y, " + "x" * 30000, "Smyth, Ana", "Smith, 漢字"}
