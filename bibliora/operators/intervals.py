@@ -6,7 +6,8 @@ holds whole.
 
 The first interval of each key: whole ranges are covered by nodes of a binary tree over the ranges, a few for each
 interval, and of the intervals at a node only the first can count, so what the tree holds is as many rows as it has
-nodes. All intervals of each key: the interval goes into every range that it reaches, where each of its copies meets
+nodes. Of the ends in a range only those count whose interval comes before the first one that holds the range whole; in
+a range without such ends no key is swept. All intervals of each key: the interval goes into every range that it reaches, where each of its copies meets
 every key, so copies beyond the two ends' are no more than matches.
 
 Order is that of the type; strings compare by code point. Keys and ends that are null, and intervals that end before they
@@ -104,7 +105,7 @@ def _swept(keys: DataFrame, key: str, placed: DataFrame, low: str, high: str, or
                     found_keys += [at] * len(open_)
                     found += [r for _, r in open_]
                 else:
-                    while open_ and open_[0][1] < at:
+                    while open_ and open_[0][1] is not None and open_[0][1] < at:
                         heapq.heappop(open_)
                     found_keys.append(at)
                     found.append(open_[0][0] if open_ else None)
@@ -121,18 +122,23 @@ def first_intervals(keys: DataFrame, key: str, intervals: DataFrame, low: str, h
     """
     ranged, given, many = _ranged(keys.select(key).distinct(), key, intervals.select(low, high, order), low, high, parts)
     ranked = given.schema[order].dataType.simpleString()
-    ends = given.select(low, high, order, F.explode(F.array_distinct(F.array("_first", "_last"))).alias("_range"), "_first")
-    # where an interval comes from an earlier range, it is open from the range's start on: before every key there
-    least = ranged.groupBy("_range").agg(F.min(key).alias("_least"))
-    placed = ends.join(least, "_range").withColumn("_start", F.when(F.col("_range") > F.col("_first"), F.least("_least", low)).otherwise(F.col(low)))
-    swept = _swept(ranged, key, placed.select("_range", F.col("_start").alias(low), high, order), low, high, order, every=False)
     nodes = F.udf(covering_nodes, "array<int>", useArrow=False)
     whole = given.filter("_last - _first > 1").groupBy("_first", "_last").agg(F.min(order).alias(order))
     tree = whole.select(order, F.explode(nodes(F.col("_first") + 1, F.col("_last") - 1)).alias("_node")).groupBy("_node").agg(F.min(order).alias(order))
     levels = F.array(*[F.shiftright(F.col("_range"), h).bitwiseOR(F.lit(h << 24)) for h in range(many.bit_length() + 1)])
-    above = ranged.select("_range").distinct().select("_range", F.explode(levels).alias("_node")).join(tree, "_node").groupBy("_range").agg(F.min(order).alias("_whole"))
-    inner = ranged.join(F.broadcast(above), "_range").select(key, F.col("_whole").cast(ranked).alias(order))  # at most SAMPLE / 2 rows
-    return swept.unionByName(inner).filter(F.col(order).isNotNull()).groupBy(key).agg(F.min(order).alias(order))
+    ranges = keys.sparkSession.range(many).select(F.col("id").cast("int").alias("_range"))  # at most SAMPLE / 2 rows
+    above = ranges.select("_range", F.explode(levels).alias("_node")).join(tree, "_node").groupBy("_range").agg(F.min(order).alias("_whole"))
+    # an end counts only where the interval comes before the first one that holds the range whole
+    ends = given.select(low, high, order, F.explode(F.array_distinct(F.array("_first", "_last"))).alias("_range"), "_first")
+    counted = ends.join(F.broadcast(above), "_range", "left").filter(F.col("_whole").isNull() | (F.col(order) < F.col("_whole")))
+    swept_in = counted.select("_range").distinct()
+    # a null start: open from the start of the range on, before every key there; a null end: to its end
+    start = F.when(F.col("_range") <= F.col("_first"), F.col(low))
+    behind = above.join(F.broadcast(swept_in), "_range", "left_semi").select("_range", F.lit(None).cast(given.schema[low].dataType).alias(low), F.lit(None).cast(given.schema[high].dataType).alias(high), F.col("_whole").alias(order))
+    placed = counted.select("_range", start.alias(low), high, order).unionByName(behind)
+    swept = _swept(ranged.join(F.broadcast(swept_in), "_range", "left_semi"), key, placed, low, high, order, every=False)
+    held = ranged.join(F.broadcast(above), "_range").join(F.broadcast(swept_in), "_range", "left_anti").select(key, F.col("_whole").alias(order))
+    return swept.filter(F.col(order).isNotNull()).unionByName(held.select(key, F.col(order).cast(ranked).alias(order)))
 
 
 def all_intervals(keys: DataFrame, key: str, intervals: DataFrame, low: str, high: str, order: str, parts: int | None = None) -> DataFrame:

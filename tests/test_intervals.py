@@ -59,3 +59,20 @@ def test_long_intervals_are_not_copied_into_every_range(spark):
     rows, table = spark.createDataFrame(keys, "k string"), spark.createDataFrame(given, "lo string, hi string, o int")
     found = {r.k: r.o for r in intervals.first_intervals(rows, "k", table, "lo", "hi", "o", 64).collect()}
     assert len(found) == 3000 and set(found.values()) == {0}
+
+
+def test_only_ranges_with_ends_that_count_are_swept(spark, monkeypatch):
+    swept, inner = [], intervals._swept
+
+    def counted(keys, key, placed, *more, **named):
+        swept.append((keys.count(), placed.count()))
+        return inner(keys, key, placed, *more, **named)
+
+    monkeypatch.setattr(intervals, "_swept", counted)
+    keys = [(f"{k:06d}",) for k in range(3000)] * 2
+    given = [(f"{n % 100:06d}", f"{2999 - n % 77:06d}", n) for n in range(1000)] + [("001500", "001510", -1)]
+    rows, table = spark.createDataFrame(keys, "k string"), spark.createDataFrame(given, "lo string, hi string, o int")
+    found = [tuple(r) for r in intervals.first_intervals(rows, "k", table, "lo", "hi", "o", 64).collect()]
+    assert set(found) == first_of(brute_force([k for k, in keys], given)) and len(found) == 3000
+    (many, placed), = swept
+    assert many < 3000 // 4 and placed < 1200  # of 2,002 ends
